@@ -32,7 +32,7 @@ TOP = U(0xFFFFFFFFFFFFFFFF)
 _ANCHORS = "kind int, bucket int, doc binary, key binary, ctx binary, pos binary"
 _MARKS = "kind int, doc_id long, spans binary"
 #: Anchors that a task settles at a time.
-ANCHORS = 1_500_000
+ANCHORS = 1_000_000
 
 
 def slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -61,8 +61,10 @@ class Finder:
     TOP where no anchor may be; among the window - span + 1 starts in a window one is less than TOP.
     """
 
-    def __init__(self, units: Callable, ranks: Callable, window: int, span: int) -> None:
+    def __init__(self, units: Callable, ranks: Callable, window: int, span: int, codes: Callable | None = None, decode: Callable | None = None) -> None:
+        """codes(raw): shorter stand-ins of the units to ship, which decode() turns into units."""
         self.units, self.ranks, self.window, self.span = units, ranks, window, span
+        self.codes, self.decode = codes, decode
 
     def anchors(self, raw: np.ndarray):
         """pos, key, ctx of the anchors; None if the text has no window."""
@@ -174,8 +176,9 @@ def _contexts(finder: Finder, buckets: int):
                 key = mix(Prefix(values).span(pos, pos + finder.span))
                 bucket = ((key >> U(32)) % U(buckets)).astype(np.int32)
                 a, b = finder.reach(pos, len(values))
+                sent = finder.codes(raw) if finder.codes else values
                 for i in range(len(pos)):
-                    out.append((bucket[i], doc_id, pos[i], key[i], pos[i] - a[i], values[a[i] : b[i]]))
+                    out.append((bucket[i], doc_id, pos[i], key[i], pos[i] - a[i], sent[a[i] : b[i]].tobytes(), b[i] - a[i]))
             out.sort(key=lambda x: x[0])
             i = 0
             rows = {c: [] for c in ("bucket", "doc", "pos", "key", "left", "size", "units")}
@@ -187,8 +190,8 @@ def _contexts(finder: Finder, buckets: int):
                 rows["bucket"].append(int(part[0][0]))
                 for c, k, t in (("doc", 1, "<i8"), ("pos", 2, "<i4"), ("key", 3, "<u8"), ("left", 4, "<i2")):
                     rows[c].append(np.array([x[k] for x in part]).astype(t).tobytes())
-                rows["size"].append(np.array([len(x[5]) for x in part], "<i2").tobytes())
-                rows["units"].append(np.concatenate([x[5] for x in part]).tobytes())
+                rows["size"].append(np.array([x[6] for x in part], "<i2").tobytes())
+                rows["units"].append(b"".join(x[5] for x in part))
                 i = j
             yield _batch(_CONTEXTS, **rows)
 
@@ -206,7 +209,7 @@ def _compare(finder: Finder):
         join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
         doc, pos, key, left, size = join("doc", "<i8"), join("pos", "<i4").astype(np.int64), join("key", "<u8"), join("left", "<i2").astype(np.int64), join("size", "<i2").astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        prefix = Prefix(join("units", "<u8"))
+        prefix = Prefix(finder.decode(join("units", "u1")) if finder.decode else join("units", "<u8"))
         got_doc, got_start = [], []
         # One place of the window against the anchor at a time, so that memory stays at a few columns.
         for back in range(window - span + 1):

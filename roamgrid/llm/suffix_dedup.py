@@ -25,7 +25,7 @@ SPAN = 20
 
 
 def finder() -> Finder:
-    return Finder(byte_values, lambda values: gram_hashes(values, SPAN) >> np.uint64(1), WINDOW, SPAN)
+    return Finder(byte_values, lambda values: gram_hashes(values, SPAN) >> np.uint64(1), WINDOW, SPAN, codes=lambda raw: raw, decode=byte_values)
 
 
 def _report(raw, mask):

@@ -15,7 +15,7 @@ in three steps, none of which loses a link:
 3. In long lists whose sets aren't all in one component yet, an R-tree over count vectors finds the
    remaining pairs across components within the bound; they are verified too.
 
-Equal sets are one set throughout. Equality of shingles is by 64-bit hash.
+Equal sets are one set throughout. Equality of shingles is by 64-bit hash (40 bits within a pair that is verified).
 """
 
 from __future__ import annotations
@@ -35,13 +35,15 @@ WORDS = 5
 #: Least similarity, in hundredths.
 PERCENT = 75
 #: Dimensions of the count vectors.
-GROUPS = 64
+GROUPS = 256
+#: Bytes of a shingle's hash that verification compares; two of one pair's some thousands agree by chance in one of 10**5 pairs, by one shingle.
+SHIPPED = 5
 #: Lists up to this length give all their pairs.
 SHORT = 24
 #: A shingle is frequent if a task meets it in this many sets; so many of these are ordered last at most.
 FREQUENT, MAX_FREQUENT = 8, 200_000
 LEAF = 16
-_SETS = "kind int, doc_id long, n long, set_id long, check long"
+_SETS = "kind int, doc_id long, n long, set_id long, check long, counts binary"
 
 
 def shingles(raw: np.ndarray) -> np.ndarray:
@@ -69,20 +71,20 @@ def _describe(batches):
         value, count = value[pick].view(np.int64), count[pick]
         zero = np.zeros(len(pick), np.int64)
         held.clear()
-        return _batch(_SETS, kind=np.ones(len(pick), np.int32), doc_id=zero, n=count, set_id=value, check=zero)
+        return _batch(_SETS, kind=np.ones(len(pick), np.int32), doc_id=zero, n=count, set_id=value, check=zero, counts=[b""] * len(pick))
 
     for batch in batches:
         rows = []
         for doc_id, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
             s = shingles(raw)
-            rows.append((0, doc_id, len(s), *(identity(s) if len(s) else (0, 0))))
+            rows.append((0, doc_id, len(s), *(identity(s) if len(s) else (0, 0)), count_vector(s).tobytes()))
             held.append(s)
             size += len(s)
             if size > 3_000_000:
                 yield often()
                 size = 0
         if rows:
-            yield _batch(_SETS, **dict(zip(("kind", "doc_id", "n", "set_id", "check"), zip(*rows, strict=True), strict=True)))
+            yield _batch(_SETS, **dict(zip(("kind", "doc_id", "n", "set_id", "check", "counts"), zip(*rows, strict=True), strict=True)))
     if held:
         yield often()
 
@@ -198,16 +200,23 @@ def _pairs(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(s) >> U(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+    """How many shingles each group has."""
+    return np.bincount((mix(s) >> U(56)).astype(np.int64), minlength=GROUPS).astype("<u4")
 
 
 def _contents(batches):
+    """(set_id, text) to the set's hashes, cut to SHIPPED bytes; only where the text still has that set."""
     for batch in batches:
         sets = [shingles(raw) for raw in texts(batch.column(1))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([count_vector(s).astype("<i4").tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-            names=["set_id", "n", "counts", "hashes"],
-        )
+        same = [len(s) > 0 and identity(s)[0] == i for s, i in zip(sets, batch.column(0).to_pylist(), strict=True)]
+        short = [mix(s).view(np.uint8).reshape(-1, 8)[:, :SHIPPED].tobytes() for s, ok in zip(sets, same, strict=True) if ok]
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same, pa.bool_())), pa.array(short, pa.binary())], names=["set_id", "hashes"])
+
+
+def _restore(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SHIPPED, 8), np.uint8)
+    out[:, :SHIPPED] = np.frombuffer(data, np.uint8).reshape(-1, SHIPPED)
+    return out.view("<u8").ravel()
 
 
 def within_bound(counts_a, counts_b, n_a, n_b):
@@ -218,26 +227,30 @@ def within_bound(counts_a, counts_b, n_a, n_b):
 def _bounded(batches):
     for batch in batches:
         n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-        both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, GROUPS) for c in ("counts_a", "counts_b")]
-        yield batch.select(["a", "b"]).filter(pa.array(within_bound(*both, n_a, n_b)))
+        both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for c in ("counts_a", "counts_b")]
+        yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(within_bound(*both, n_a, n_b)))
 
 
 def _verified(batches):
     for batch in batches:
         ok = []
-        for x, y in zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            overlap = len(x) + len(y) - len(np.union1d(x, y))
-            ok.append(100 * overlap >= PERCENT * (len(x) + len(y) - overlap))
+        for a, b, n_a, n_b in zip(*(batch.column(c).to_pylist() for c in ("hashes_a", "hashes_b", "n_a", "n_b")), strict=True):
+            overlap = len(np.intersect1d(_restore(a), _restore(b)))
+            ok.append(100 * overlap >= PERCENT * (n_a + n_b - overlap))
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs(a, b) to those that are similar: first by bounds on count vectors, then on whole sets."""
+def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs(a, b) to those that are similar: first by bounds on count vectors, then on whole sets,
+    which only documents that pass the bounds are read again for."""
     side = lambda c, what: sets.select(F.col("set_id").alias(c), F.col(what).alias(f"{what}_{c}"), F.col("n").alias(f"n_{c}"))
-    near = pairs.join(side("a", "counts"), "a").join(side("b", "counts"), "b").select("a", "b", "counts_a", "counts_b", "n_a", "n_b").mapInArrow(_bounded, "a long, b long")
-    whole = near.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").select("a", "b", "hashes_a", "hashes_b")
-    return cut(whole.mapInArrow(_verified, "a long, b long"))
+    near = pairs.join(side("a", "counts"), "a").join(side("b", "counts"), "b").select("a", "b", "counts_a", "counts_b", "n_a", "n_b")
+    near = cut(near.mapInArrow(_bounded, "a long, b long, n_a long, n_b long"))
+    wanted = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    shown = sets.join(wanted, "set_id").select("doc_id", "set_id")
+    held = cut(docs.join(shown, "doc_id").select("set_id", "text").mapInArrow(_contents, "set_id long, hashes binary"))
+    whole = near.join(held.toDF("a", "hashes_a"), "a").join(held.toDF("b", "hashes_b"), "b").select("a", "b", "hashes_a", "hashes_b", "n_a", "n_b")
+    return cut(whole.mapInArrow(_verified, "a long, b long").distinct())
 
 
 class CountTree:
@@ -290,7 +303,7 @@ def _across(table: pa.Table) -> pa.Table:
     for i, j in zip(at, np.r_[at[1:], len(lists)], strict=True):
         part = table.slice(i, j - i)
         s, n, comp = (part.column(c).to_numpy() for c in ("a", "n", "component"))
-        counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), "<i4").reshape(-1, GROUPS)
+        counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
         tree = CountTree(counts, n)
         # The members of the largest component needn't be queries: links across have another end.
         names, where, size = np.unique(comp, return_inverse=True, return_counts=True)
@@ -307,8 +320,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links).
 
     Null, empty and blank texts have no shingles and link with nothing, so each is its own
-    component. Rows that repeat an id have one component. Rows with a null id link like others, but
-    a null is never the smallest id unless alone. No rows in: no rows out.
+    component. Rows that repeat an id and text have one component. A set that only rows with a null
+    id hold links with nothing, and its component_id is null. No rows in: no rows out.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -324,21 +337,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     lists = found.filter("kind = 1").select("list", "a", "n")
 
-    # One document for each set that is in a pair or a list, and what it holds.
+    # One document for each set, and what bounds those that are in a pair or a list.
     reps = own.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(lists.select(F.col("a").alias("set_id"))).distinct()
-    shown = reps.join(wanted, "set_id").select("doc_id", "set_id")
-    held = d.join(shown, "doc_id").select("set_id", "text").mapInArrow(_contents, "set_id long, n long, counts binary, hashes binary")
-    sets = cut(held.dropDuplicates(["set_id"]))
+    sets = cut(own.join(reps.join(wanted, "set_id").select("set_id", "doc_id"), ["set_id", "doc_id"]).select("set_id", "doc_id", "n", "counts").dropDuplicates(["set_id"]))
 
-    links = _verify(pairs, sets)
+    links = _verify(pairs, sets, d)
     joined = components(links)
     labelled = lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     mixed = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
     open_lists = labelled.join(mixed, "list").join(sets.select(F.col("set_id").alias("a"), "counts"), "a").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
     more = open_lists.select("bucket", "list", "a", "n", "component", "counts").groupBy("bucket").applyInArrow(_across, "a long, b long").distinct()
     new = more.join(pairs, ["a", "b"], "left_anti")
-    joined = components(links.unionByName(_verify(new, sets)))
+    joined = components(links.unionByName(_verify(new, sets, d)))
 
     # From sets to documents: the smallest id of any copy of any set of the component.
     sets_in = reps.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -13,7 +13,8 @@ in three steps, none of which loses a link:
 2. The pairs' bounds are tested on the count vectors and survivors are verified on whole sets. Links
    are joined to components.
 3. In long lists whose sets aren't all in one component yet, an R-tree over count vectors finds the
-   remaining pairs across components within the bound; they are verified too.
+   remaining pairs across components within the bound; they are verified too: first the two most
+   promising of each set with each other component, which mostly joins them, then all that are left.
 
 Equal sets are one set throughout. Equality of shingles is by 64-bit hash (40 bits within a pair that is verified).
 """
@@ -41,7 +42,7 @@ SHIPPED = 5
 #: Lists up to this length give all their pairs.
 SHORT = 24
 #: A shingle is frequent if a task meets it in this many sets; so many of these are ordered last at most.
-FREQUENT, MAX_FREQUENT = 8, 200_000
+FREQUENT, MAX_FREQUENT = 3, 400_000
 LEAF = 16
 _SETS = "kind int, doc_id long, n long, set_id long, check long, counts binary"
 
@@ -149,7 +150,7 @@ def _fits(n_short, n_long):
 
 
 def _pairs(key: tuple, table: pa.Table) -> pa.Table:
-    """Kind 0: pairs to test; kind 1: the members of long lists."""
+    """Kind 0: pairs to test; kind 1: the members of long lists; kind 2: members (a) and hubs (b) of these."""
     join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
     token, set_id, n, front = join("token", "<u4"), join("set_id", "<i8"), join("n", "<i4").astype(np.int64), join("front", "u1").astype(bool)
     order = np.lexsort((set_id, n, token))
@@ -191,7 +192,7 @@ def _pairs(key: tuple, table: pa.Table) -> pa.Table:
             hub = own.min()
             near = np.abs(cls - c) <= 1
             other = s[near][s[near] != hub]
-            add(0, np.zeros(len(other)), np.minimum(other, hub), np.maximum(other, hub), np.zeros(len(other)))
+            add(2, np.zeros(len(other)), other, np.full(len(other), hub), np.zeros(len(other)))
         number = (int(key[0].as_py()) << 32) + int(token[at[i]])
         add(1, np.full(len(s), number, np.int64), s, front[part], m)
     if not rows["kind"]:
@@ -201,7 +202,16 @@ def _pairs(key: tuple, table: pa.Table) -> pa.Table:
 
 def count_vector(s: np.ndarray) -> np.ndarray:
     """How many shingles each group has."""
-    return np.bincount((mix(s) >> U(56)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    counts = np.bincount((mix(s) >> U(56)).astype(np.int64), minlength=GROUPS)
+    return counts.astype("<u2" if counts.max(initial=0) < 1 << 16 else "<u4")
+
+
+def _counts(column) -> np.ndarray:
+    """Count vectors of a column, one row each."""
+    rows = column.to_pylist()
+    if all(len(x) == 2 * GROUPS for x in rows):
+        return np.frombuffer(b"".join(rows), "<u2").reshape(-1, GROUPS).astype(np.int64)
+    return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in rows]).reshape(-1, GROUPS).astype(np.int64)
 
 
 def _contents(batches):
@@ -227,7 +237,7 @@ def within_bound(counts_a, counts_b, n_a, n_b):
 def _bounded(batches):
     for batch in batches:
         n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-        both = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64) for c in ("counts_a", "counts_b")]
+        both = [_counts(batch.column(c)) for c in ("counts_a", "counts_b")]
         yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(within_bound(*both, n_a, n_b)))
 
 
@@ -292,28 +302,37 @@ class CountTree:
         return self.order[boxes[ok]]
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs within the bound across components, for the lists of one bucket."""
-    a, b = [], []
-    lists = table.column("list").to_numpy()
-    order = np.argsort(lists, kind="stable")
-    table = table.take(pa.array(order))
-    lists = lists[order]
-    at = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-    for i, j in zip(at, np.r_[at[1:], len(lists)], strict=True):
-        part = table.slice(i, j - i)
-        s, n, comp = (part.column(c).to_numpy() for c in ("a", "n", "component"))
-        counts = np.frombuffer(b"".join(part.column("counts").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        tree = CountTree(counts, n)
-        # The members of the largest component needn't be queries: links across have another end.
-        names, where, size = np.unique(comp, return_inverse=True, return_counts=True)
-        for q in np.flatnonzero(where != np.argmax(size)):
-            hit = tree.search(counts[q], int(n[q]))
-            hit = hit[comp[hit] != comp[q]]
-            a.append(np.minimum(s[hit], s[q]))
-            b.append(np.maximum(s[hit], s[q]))
-    both = np.unique(np.stack([np.concatenate(a or [lists[:0]]), np.concatenate(b or [lists[:0]])]), axis=1)
-    return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+def _across(most: int | None):
+    """Pairs within the bound across components, for the lists of one bucket; of each set with each
+    other component all, or the `most` that the bound leaves the greatest overlap."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = [], []
+        table = table.sort_by("list")
+        lists = table.column("list").to_numpy()
+        at = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        for i, j in zip(at, np.r_[at[1:], len(lists)], strict=True):
+            part = table.slice(i, j - i)
+            s, n, comp = (part.column(c).to_numpy() for c in ("a", "n", "component"))
+            counts = _counts(part.column("counts"))
+            tree = CountTree(counts, n)
+            # The members of the largest component needn't be queries: links across have another end.
+            _, where, size = np.unique(comp, return_inverse=True, return_counts=True)
+            for q in np.flatnonzero(where != np.argmax(size)):
+                hit = tree.search(counts[q], int(n[q]))
+                hit = hit[comp[hit] != comp[q]]
+                if most and len(hit) > most:
+                    left = np.minimum(counts[hit], counts[q]).sum(1) / (n[hit] + n[q])
+                    order = np.lexsort((-left, comp[hit]))
+                    hit = hit[order]
+                    first = np.maximum.accumulate(np.where(np.r_[True, comp[hit][1:] != comp[hit][:-1]], np.arange(len(hit)), 0))
+                    hit = hit[np.arange(len(hit)) - first < most]
+                a.append(np.minimum(s[hit], s[q]))
+                b.append(np.maximum(s[hit], s[q]))
+        both = np.unique(np.stack([np.concatenate(a or [lists[:0]]), np.concatenate(b or [lists[:0]])]), axis=1)
+        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+
+    return run
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +353,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast((value[order], count[order]))  # MAX_FREQUENT rows at most
     posts = d.select("text").mapInArrow(_post(buckets, frequent), _POSTS)
     found = cut(posts.groupBy("bucket").applyInArrow(_pairs, _PAIRS))
-    pairs = found.filter("kind = 0").select("a", "b").distinct()
+    # One hub for each set: that links most of a dense group, and what it leaves is found in the lists.
+    hubs = found.filter("kind = 2").groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(found.filter("kind = 0").select("a", "b").unionByName(hubs).distinct())
     lists = found.filter("kind = 1").select("list", "a", "n")
 
     # One document for each set, and what bounds those that are in a pair or a list.
@@ -343,13 +364,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = cut(own.join(reps.join(wanted, "set_id").select("set_id", "doc_id"), ["set_id", "doc_id"]).select("set_id", "doc_id", "n", "counts").dropDuplicates(["set_id"]))
 
     links = _verify(pairs, sets, d)
+    for most in (2, None):
+        joined = components(links)
+        labelled = lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        mixed = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
+        open_lists = labelled.join(mixed, "list").join(sets.select(F.col("set_id").alias("a"), "counts"), "a").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
+        more = open_lists.select("bucket", "list", "a", "n", "component", "counts").groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
+        new = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        links, pairs = links.unionByName(_verify(new, sets, d)), pairs.unionByName(new)
     joined = components(links)
-    labelled = lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    mixed = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
-    open_lists = labelled.join(mixed, "list").join(sets.select(F.col("set_id").alias("a"), "counts"), "a").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
-    more = open_lists.select("bucket", "list", "a", "n", "component", "counts").groupBy("bucket").applyInArrow(_across, "a long, b long").distinct()
-    new = more.join(pairs, ["a", "b"], "left_anti")
-    joined = components(links.unionByName(_verify(new, sets, d)))
 
     # From sets to documents: the smallest id of any copy of any set of the component.
     sets_in = reps.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -1,6 +1,357 @@
-"""Registered queries and their SQL for DuckDB."""
+"""Registered queries and their SQL for DuckDB, by name."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import expr
+from ..operators import geofence, graph, spatial, state, summary
+from ..sources import frames, tables
+from ..streaming import streams
+from . import fixtures as fx
+from .cut import new_dir
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+CENTER = (400.0, 400.0, 600.0, 600.0)
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, with its SQL after the common expressions."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = fx.CTE + sql
+        return f
+
+    return add
+
+
+def latest(s, d):
+    return state.latest_positions(fx.positions(s, d))
+
+
+def grid(s):
+    return tables.road_grid(s, 20, 20, 50.0)
+
+
+@query("SELECT event_id, vehicle_id, ts_ms, x, y FROM p")
+def validate_updates(s, d):
+    return fx.positions(s, d)
+
+
+@query("SELECT event_id, vehicle_id, CASE WHEN isnan(x) THEN 'nan_or_inf' ELSE 'out_of_bounds' END AS reason FROM pr WHERE event_id NOT IN (SELECT event_id FROM p)")
+def rejected_updates(s, d):
+    return expr.rejected_updates(fx.positions_raw(s, d)).select("event_id", "vehicle_id", "reason")
+
+
+@query("SELECT * FROM latest")
+def latest_positions(s, d):
+    return latest(s, d)
+
+
+@query("SELECT i.id AS vehicle_id, x, y, ts_ms FROM (SELECT DISTINCT s_suppkey::BIGINT AS id FROM supplier) i LEFT JOIN latest ON vehicle_id = i.id")
+def position_lookup(s, d):
+    ids = fx.point_queries(s, d).select(F.col("query_id").alias("vehicle_id"))
+    return state.lookup(latest(s, d), ids, "left")
+
+
+@query(f"""
+, s0 AS (SELECT vehicle_id, x, y, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts_ms DESC, event_id DESC) AS rn FROM p WHERE ts_ms <= {fx.AS_OF}) WHERE rn = 1),
+c AS (SELECT 0 AS age, NULL::BIGINT AS seq, 'insert' AS op, * FROM s0 UNION ALL SELECT 1, event_id, CASE event_type WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'insert' ELSE 'update' END, vehicle_id, x, y, ts_ms FROM p WHERE ts_ms > {fx.AS_OF})
+SELECT vehicle_id, x, y, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY age DESC, ts_ms DESC, seq DESC) AS rn FROM c) WHERE rn = 1 AND op <> 'remove'""")
+def apply_changes(s, d):
+    return state.apply_changes(state.snapshot_asof(fx.positions(s, d), fx.AS_OF), fx.changes(s, d).filter(F.col("ts_ms") > fx.AS_OF))
+
+
+@query(f"SELECT vehicle_id, x, y, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts_ms DESC, event_id DESC) AS rn FROM p WHERE ts_ms <= {fx.AS_OF}) WHERE rn = 1")
+def snapshot_asof(s, d):
+    return state.snapshot_asof(fx.positions(s, d), fx.AS_OF)
+
+
+_TICKS = f"t AS (SELECT *, (ts_ms // {fx.TICK} + 1) * {fx.TICK} AS tick FROM p), tk AS (SELECT vehicle_id, tick, x, y, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id, tick ORDER BY ts_ms DESC, event_id DESC) AS rn FROM t) WHERE rn = 1)"
+
+
+@query(f", {_TICKS} SELECT vehicle_id, tick, lead(tick) OVER (PARTITION BY vehicle_id ORDER BY tick) AS valid_to, x, y, ts_ms FROM tk")
+def snapshots_at_ticks(s, d):
+    return state.snapshots_at_ticks(fx.positions(s, d), fx.TICK)
+
+
+@query("SELECT * FROM latest WHERE x BETWEEN 400 AND 600 AND y BETWEEN 400 AND 600")
+def range_query(s, d):
+    return spatial.range_query(latest(s, d), CENTER)
+
+
+@query("SELECT box_id, event_id FROM p JOIN boxes ON x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y")
+def range_join(s, d):
+    return spatial.range_join(fx.positions(s, d), fx.boxes(s, d)).select("box_id", "event_id")
+
+
+@query("SELECT DISTINCT vehicle_id FROM latest WHERE least(49, trunc(x / 20)) BETWEEN 20 AND 30 AND least(49, trunc(y / 20)) BETWEEN 20 AND 30")
+def range_query_coarse(s, d):
+    return spatial.range_query_coarse(latest(s, d), CENTER)
+
+
+@query("SELECT a.vehicle_id, b.vehicle_id AS neighbour_id FROM latest a JOIN latest b ON b.x BETWEEN a.x - 10 AND a.x + 10 AND b.y BETWEEN a.y - 10 AND a.y + 10")
+def neighbours(s, d):
+    return spatial.neighbours(latest(s, d), 10.0)
+
+
+_D2 = "(x - qx) * (x - qx) + (y - qy) * (y - qy)"
+
+
+@query("SELECT vehicle_id, x, y, sqrt((x - 500) * (x - 500) + (y - 500) * (y - 500)) AS distance FROM latest ORDER BY (x - 500) * (x - 500) + (y - 500) * (y - 500), vehicle_id LIMIT 1")
+def nearest(s, d):
+    return spatial.nearest(latest(s, d), 500.0, 500.0)
+
+
+@query(f"SELECT query_id, vehicle_id, x, y, sqrt(d2) AS distance FROM (SELECT *, {_D2} AS d2, row_number() OVER (PARTITION BY query_id ORDER BY {_D2}, vehicle_id) AS rn FROM pq, latest) WHERE rn = 1")
+def nearest_join(s, d):
+    return spatial.nearest_join(fx.point_queries(s, d), latest(s, d))
+
+
+@query(f"SELECT query_id, vehicle_id, x, y, sqrt(d2) AS distance FROM (SELECT *, {_D2} AS d2, row_number() OVER (PARTITION BY query_id ORDER BY {_D2}, vehicle_id) AS rn FROM pq, latest) WHERE rn = 1 AND sqrt(d2) < 50")
+def pick_vehicle(s, d):
+    return spatial.pick(fx.point_queries(s, d), latest(s, d), 50.0)
+
+
+@query(f"SELECT vehicle_id AS query_id, node_id, x, y, sqrt(d2) AS distance FROM (SELECT l.vehicle_id, gn.*, {_D2} AS d2, row_number() OVER (PARTITION BY vehicle_id ORDER BY {_D2}, node_id) AS rn FROM (SELECT vehicle_id, x AS qx, y AS qy FROM latest) l, gn) WHERE rn = 1")
+def snap_to_node(s, d):
+    return spatial.snap_to_node(latest(s, d).select(F.col("vehicle_id").alias("query_id"), "x", "y"), grid(s)[0])
+
+
+@query(f"SELECT event_id, zone_id FROM {fx.inside('p')}")
+def zone_join(s, d):
+    return spatial.zone_join(fx.positions(s, d), fx.zones(s)).select("event_id", "zone_id")
+
+
+@query(f"SELECT zone_id, count(vehicle_id) AS n FROM z LEFT JOIN {fx.inside('latest')} i USING (zone_id) GROUP BY zone_id")
+def zone_occupancy(s, d):
+    return geofence.zone_occupancy(latest(s, d), fx.zones(s))
+
+
+@query(f"""
+, s0 AS (SELECT vehicle_id, x, y FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY ts_ms DESC, event_id DESC) AS rn FROM p WHERE ts_ms <= {fx.AS_OF}) WHERE rn = 1),
+a AS (SELECT zone_id, vehicle_id FROM {fx.inside('s0')}), b AS (SELECT zone_id, vehicle_id FROM {fx.inside('latest')})
+SELECT *, 'ENTER' AS event_type FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'EXIT' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def zone_events_diff(s, d):
+    member = lambda df: geofence.zone_membership(df, fx.zones(s))
+    return geofence.zone_events_diff(member(state.snapshot_asof(fx.positions(s, d), fx.AS_OF)), member(latest(s, d)))
+
+
+def _transitions(points: str, order: str) -> str:
+    return f"""n AS (SELECT *, row_number() OVER () AS id FROM {points}),
+i AS (SELECT id, zone_id FROM {fx.inside('n')}),
+f AS (SELECT n.*, z.zone_id, i.id IS NOT NULL AS now FROM n CROSS JOIN z LEFT JOIN i ON i.id = n.id AND i.zone_id = z.zone_id),
+g AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY vehicle_id, zone_id ORDER BY {order}), false) AS was FROM f)
+SELECT vehicle_id, zone_id, CASE WHEN now THEN 'ENTER' ELSE 'EXIT' END AS event_type, ts_ms FROM g WHERE now <> was"""
+
+
+@query(", " + _transitions("p", "ts_ms, event_id"))
+def zone_transitions(s, d):
+    return geofence.zone_transitions(fx.positions(s, d), fx.zones(s))
+
+
+@query(f", {_TICKS}, ticks AS (SELECT vehicle_id, x, y, tick AS ts_ms FROM tk), " + _transitions("ticks", "ts_ms"))
+def zone_events_ticks(s, d):
+    return geofence.zone_events_ticks(fx.positions(s, d), fx.zones(s), fx.TICK)
+
+
+@query(", g0 AS (" + "SELECT * FROM (WITH " + _transitions("p", "ts_ms, event_id") + ")) SELECT 'ALERT: Vehicle ' || vehicle_id || ' ' || event_type || ' zone ' || zone_id AS line FROM g0")
+def alert_lines(s, d):
+    return geofence.alert_lines(zone_transitions(s, d))
+
+
+@query("SELECT box_id, zone_id FROM boxes b JOIN z ON NOT (b.max_x < z.min_x OR z.max_x < b.min_x OR b.max_y < z.min_y OR z.max_y < b.min_y)")
+def bbox_join(s, d):
+    return spatial.bbox_join(fx.boxes(s, d), fx.zones(s)).select("box_id", "zone_id")
+
+
+@query("SELECT vp_id, vehicle_id, sx, sy FROM (SELECT vp_id, w, h, vehicle_id, trunc((x - min_x) * scale)::INT AS sx, trunc((y - min_y) * scale)::INT AS sy FROM latest JOIN vp ON x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y) WHERE sx >= 0 AND sx < w AND sy >= 0 AND sy < h")
+def viewport_points(s, d):
+    return spatial.viewport_points(latest(s, d), fx.viewports(s))
+
+
+_VERTICES = fx._values([(z, i, *map(float, v)) for z, p, _ in fx.ZONES for i, v in enumerate(p)])
+
+
+@query(f"SELECT vp_id, zone_id, seq, trunc((x - vp.min_x) * scale)::INT AS sx, trunc((y - vp.min_y) * scale)::INT AS sy FROM vp JOIN z ON NOT (vp.max_x < z.min_x OR z.max_x < vp.min_x OR vp.max_y < z.min_y OR z.max_y < vp.min_y) JOIN (VALUES {_VERTICES}) v(zone_id, seq, x, y) USING (zone_id)")
+def viewport_zones(s, d):
+    return spatial.viewport_zones(fx.zones(s), fx.viewports(s))
+
+
+@query("SELECT count(*) AS n FROM latest WHERE x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 1000")
+def vehicle_count(s, d):
+    return state.vehicle_count(latest(s, d))
+
+
+@query("SELECT vehicle_id, x, y, greatest((SELECT count(*) FROM latest) - 10, 0) AS more FROM latest ORDER BY vehicle_id LIMIT 10")
+def sample_positions(s, d):
+    return state.sample_positions(latest(s, d))
+
+
+@query("SELECT abs(vehicle_id) % 2 AS shard, count(*) AS n FROM latest GROUP BY ALL UNION ALL SELECT NULL, count(*) FROM latest")
+def shard_counts(s, d):
+    return summary.shard_counts(latest(s, d), 2)
+
+
+_RATE = "SELECT ts_ms // 60000 * 60000 AS window_ms, abs(vehicle_id) % 2 AS shard, count(*) AS n FROM p GROUP BY ALL"
+
+
+@query(_RATE)
+def update_rate(s, d):
+    return summary.update_rate(fx.positions(s, d), "1 minute")
+
+
+_LAT = ", l AS (SELECT event_type AS grp, round(value * 1000000)::BIGINT AS ns, epoch_us(ts) // 1000 AS ts_ms FROM events)"
+
+
+@query(f"{_LAT} SELECT grp, quantile_disc(ns, 0.5) / 1e6 AS p50, quantile_disc(ns, 0.95) / 1e6 AS p95, quantile_disc(ns, 0.99) / 1e6 AS p99, sum(ns)::BIGINT / count(ns) / 1e6 AS mean, count(ns) AS n FROM l GROUP BY grp")
+def latency_summary(s, d):
+    return summary.latency_summary(fx.latencies(s, d))
+
+
+@query(f"{_LAT} SELECT grp, count(*) / nullif((max(ts_ms) - min(ts_ms)) / 1000, 0) AS throughput FROM l GROUP BY grp")
+def throughput(s, d):
+    return summary.throughput(fx.latencies(s, d))
+
+
+@query(f"{_LAT}, c AS (SELECT grp, count(*) AS n FROM l GROUP BY grp) SELECT grp, n, repeat('=', (n * 40 // (SELECT max(n) FROM c))::INT) AS bar FROM c")
+def relative_bar(s, d):
+    return expr.relative_bar(fx.latencies(s, d).groupBy("grp").agg(F.count("*").alias("n")), "n")
+
+
+@query("""
+, q AS (SELECT d, least(floor(x / (1000 / 2.0 ** d)), 2 ** d - 1)::BIGINT AS cx, least(floor(y / (1000 / 2.0 ** d)), 2 ** d - 1)::BIGINT AS cy FROM p, range(21) t(d)),
+c AS (SELECT d, cx, cy, count(*) AS n FROM q GROUP BY ALL),
+k AS (SELECT d + 1 AS d, 2 * cx + i AS cx, 2 * cy + j AS cy FROM c, range(2) a(i), range(2) b(j) WHERE n > 32 AND d < 20 UNION ALL VALUES (0, 0, 0))
+SELECT k.d::INT AS depth, k.cx * (1000 / 2.0 ** k.d) AS min_x, k.cy * (1000 / 2.0 ** k.d) AS min_y, (k.cx + 1) * (1000 / 2.0 ** k.d) AS max_x, (k.cy + 1) * (1000 / 2.0 ** k.d) AS max_y, coalesce(n, 0) AS n
+FROM k LEFT JOIN c ON c.d = k.d AND c.cx = k.cx AND c.cy = k.cy WHERE coalesce(n, 0) <= 32 OR k.d = 20""")
+def quadtree_leaves(s, d):
+    return spatial.quadtree_leaves(fx.positions(s, d))
+
+
+@query("SELECT vehicle_id, node_id FROM latest JOIN gn ON node_id = trunc(x / 50.0001)::BIGINT + 20 * trunc(y / 50.0001)::BIGINT")
+def road_grid_nodes(s, d):
+    """Vehicles by the grid cell that they are in, named by its node."""
+    n = F.floor(F.col("x") / 50.0001).cast("long") + 20 * F.floor(F.col("y") / 50.0001).cast("long")
+    return latest(s, d).withColumn("node_id", n).join(grid(s)[0].select("node_id"), "node_id").select("vehicle_id", "node_id")
+
+
+_AT = "a AS (SELECT DISTINCT trunc(x / 50.0001)::BIGINT + 20 * trunc(y / 50.0001)::BIGINT AS src FROM latest)"
+
+
+@query(f", {_AT} SELECT src, dst, 50.0::DOUBLE AS weight FROM ge WHERE src IN (SELECT src FROM a)")
+def out_edges(s, d):
+    return graph.out_edges(grid(s)[1], road_grid_nodes(s, d))
+
+
+@query(f", {_AT} SELECT src, count(*) AS degree, count(*) * 50.0::DOUBLE AS weight FROM ge JOIN a USING (src) GROUP BY src")
+def road_grid_edges(s, d):
+    return out_edges(s, d).groupBy("src").agg(F.count("*").alias("degree"), F.sum("weight").alias("weight"))
+
+
+_COST = "CASE WHEN dst < 400 THEN 50.0::DOUBLE * (abs(src % 20 - dst % 20) + abs(src // 20 - dst // 20)) ELSE 0 END"
+
+
+@query(f"SELECT request_id, {_COST} AS total_cost, src = dst OR dst < 400 AS found FROM rq")
+def shortest_path_cost(s, d):
+    return graph.shortest_path_cost(fx.requests(s, d), *grid(s))
+
+
+@query("""
+, nd AS (SELECT i AS node_id, (i * 37 % 1001)::DOUBLE AS x, (i * 91 % 1001)::DOUBLE AS y FROM range(300) t(i)),
+li AS (SELECT l_partkey % 300 AS src, l_orderkey % 300 AS dst, l_quantity FROM lineitem WHERE l_orderkey < 1000),
+ie AS (SELECT src, dst, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) + l_quantity) AS w FROM li JOIN nd a ON a.node_id = src JOIN nd b ON b.node_id = dst WHERE src <> dst GROUP BY src, dst),
+r3 AS (SELECT o_orderkey::BIGINT AS request_id, (o_orderkey * 7 % 300)::BIGINT AS src, (o_custkey % 300)::BIGINT AS dst FROM orders WHERE o_orderkey < 50 UNION ALL VALUES (100000, 5, 5), (100001, 5, 9999)),
+b AS (SELECT DISTINCT src AS source, src AS node, 0.0::DOUBLE AS dist, 0 AS hop FROM r3 UNION ALL
+      SELECT source, node, min(dist), hop FROM (SELECT b.source, ie.dst AS node, b.dist + ie.w AS dist, b.hop + 1 AS hop FROM b JOIN ie ON ie.src = b.node WHERE b.hop < 14) GROUP BY source, node, hop),
+m AS (SELECT source, node, min(dist) AS dist FROM b GROUP BY source, node)
+SELECT request_id, round(CASE WHEN src = dst THEN 0 ELSE coalesce(dist, 0) END, 6) AS total_cost, src = dst OR dist IS NOT NULL AS found FROM r3 LEFT JOIN m ON m.source = src AND m.node = dst""")
+def shortest_path_irregular(s, d):
+    cost = graph.shortest_path_cost(fx.requests(s, d, 300), *fx.irregular_graph(s, d))
+    return cost.withColumn("total_cost", F.round("total_cost", 6))
+
+
+# Walking back from dst with the smallest predecessor: rows first if dst lies in a later row, else columns first.
+_PATH = """
+, r0 AS (SELECT request_id, src, dst, src % 20 AS sc, src // 20 AS sr, dst % 20 AS dc, dst // 20 AS dr FROM rq WHERE dst < 400),
+st AS (SELECT *, abs(sc - dc) + abs(sr - dr) AS len, unnest(range(abs(sc - dc) + abs(sr - dr) + 1)) AS k FROM r0),
+bk AS (SELECT *, CASE WHEN dr > sr THEN least(k, abs(sr - dr)) ELSE greatest(k - abs(sc - dc), 0) END AS kr FROM st),
+pn AS (SELECT request_id, (len - k)::INT AS seq, (dr + CASE WHEN sr > dr THEN kr WHEN sr < dr THEN -kr ELSE 0 END) * 20 + dc + CASE WHEN sc > dc THEN k - kr WHEN sc < dc THEN kr - k ELSE 0 END AS node_id FROM bk)
+"""
+
+
+@query(f"{_PATH} SELECT * FROM pn")
+def shortest_path_nodes(s, d):
+    return graph.shortest_path_nodes(fx.requests(s, d), *grid(s))
+
+
+@query(f"{_PATH}, nx AS (SELECT *, lead(node_id) OVER (PARTITION BY request_id ORDER BY seq) AS nxt FROM pn) SELECT request_id, seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM nx JOIN gn a ON a.node_id = nx.node_id JOIN gn b ON b.node_id = nxt")
+def route_segments(s, d):
+    return graph.route_segments(shortest_path_nodes(s, d), grid(s)[0])
+
+
+def _snap(name: str, points: str) -> str:
+    return f"{name} AS (SELECT query_id, node_id FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY {_D2}, node_id) AS rn FROM ({points}) q, gn) WHERE rn = 1)"
+
+
+_FROM, _TO = "SELECT query_id, qx, qy FROM pq WHERE query_id <= 20", "SELECT query_id, 1000 - qx AS qx, qy / 2 AS qy FROM pq WHERE query_id <= 20"
+
+
+@query(f", {_snap('a', _FROM)}, {_snap('b', _TO)} SELECT query_id AS request_id, a.node_id AS src, b.node_id AS dst, 50.0::DOUBLE * (abs(a.node_id % 20 - b.node_id % 20) + abs(a.node_id // 20 - b.node_id // 20)) AS total_cost, true AS found FROM a JOIN b USING (query_id)")
+def route(s, d):
+    """Routes for the first twenty query points, a fixed number of requests."""
+    q = fx.point_queries(s, d).filter("query_id <= 20")
+    return graph.route(q.select(F.col("query_id").alias("request_id"), "x", "y", (1000 - F.col("x")).alias("dest_x"), (F.col("y") / 2).alias("dest_y")), *grid(s))
+
+
+@query("SELECT vehicle_id, x, y, ts_ms FROM p")
+def frames_roundtrip(s, d):
+    return frames.decode_frames(frames.encode_frames(fx.positions(s, d)))
+
+
+def _stream(s, d):
+    """positions as a stream over files in which updates stand in order of time."""
+    path = new_dir(s, "stream-in")
+    fx.positions(s, d).repartitionByRange(3, "ts_ms", "event_id").sortWithinPartitions("ts_ms", "event_id").write.parquet(path)
+    return tables.read_position_stream(s, path, 10)
+
+
+def _run(writer, s):
+    q = writer.option("checkpointLocation", new_dir(s, "stream-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("SELECT * FROM latest")
+def stream_latest(s, d):
+    path = new_dir(s, "snapshots")
+    streams.write_snapshots(_stream(s, d), path, new_dir(s, "stream-state"), {"availableNow": True}).awaitTermination()
+    return streams.read_snapshot(s, path, streams.SNAPSHOT).select("vehicle_id", "x", "y", "ts_ms")
+
+
+@query(", " + _transitions("p", "ts_ms, event_id"))
+def stream_zone_events(s, d):
+    path = new_dir(s, "stream-out")
+    zones = [{"zone_id": z, "polygon": p, "box": tuple(map(float, b))} for z, p, b in fx.ZONES]
+    _run(streams.zone_event_stream(_stream(s, d), zones).writeStream.format("parquet").option("path", path).outputMode("append"), s)
+    return s.read.schema("vehicle_id long, zone_id string, event_type string, ts_ms long").parquet(path)
+
+
+@query(_RATE)
+def stream_update_rate(s, d):
+    path = new_dir(s, "stream-out")
+    keep = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    _run(streams.update_rate_stream(_stream(s, d), "1 minute", late="3650 days").writeStream.outputMode("update").foreachBatch(keep), s)
+    # A window that several batches changed counts as it was last.
+    rows = s.read.schema("window_ms long, shard long, n long, batch long").parquet(path)
+    return rows.groupBy("window_ms", "shard").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query()
+def summary_csv(s, d):
+    path = new_dir(s, "summary")
+    f = fx.latencies(s, d)
+    tables.write_summary_csv(summary.latency_summary(f).join(summary.throughput(f), "grp").withColumnRenamed("grp", "name"), path)
+    return s.read.option("header", True).schema("name string, throughput double, p50 double, p95 double, p99 double, mean double").csv(path)

@@ -24,12 +24,15 @@ def distances(sources: DataFrame, edges: DataFrame, max_rounds: int = 10_000) ->
     Only what a hop improved goes on to the next one; the loop ends when nothing did.
     """
     state = sources.distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh"))
-    links = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    links = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")).groupBy(F.col("src").alias("node")).agg(F.collect_list(F.struct("dst", "weight")).alias("out"))
     for _ in range(max_rounds):
         for _ in range(HOPS):
-            moved = state.filter("fresh").join(links, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(True).alias("fresh"))
-            both = state.withColumn("fresh", F.lit(False)).unionByName(moved)
-            # Of equal distances the old one counts, so that ties aren't improvements.
+            # Each row stays, no longer fresh, and a fresh one also moves along its edges. Of equal
+            # distances the old one counts, so that ties aren't improvements.
+            moved = F.transform("out", lambda e: F.struct(e["dst"].alias("node"), (F.col("dist") + e["weight"]).alias("dist"), F.lit(True).alias("fresh")))
+            stay = F.array(F.struct("node", "dist", F.lit(False).alias("fresh")))
+            rows = F.explode(F.concat(stay, F.when(F.col("fresh") & F.col("out").isNotNull(), moved).otherwise(F.filter(stay, lambda x: F.lit(False)))))
+            both = state.join(links, "node", "left").select("source", rows.alias("r")).select("source", "r.*")
             state = both.groupBy("source", "node").agg(F.min(F.struct("dist", "fresh")).alias("s")).select("source", "node", "s.*")
         state = cut(state)
         if state.filter("fresh").isEmpty():

@@ -232,7 +232,7 @@ def quadtree_leaves(s, d):
     return spatial.quadtree_leaves(fx.positions(s, d))
 
 
-@query("SELECT vehicle_id, node_id FROM latest JOIN gn ON node_id = trunc(x / 50.0001)::BIGINT + 20 * trunc(y / 50.0001)::BIGINT")
+@query("SELECT vehicle_id, node_id FROM latest JOIN gn ON node_id = trunc(latest.x / 50.0001)::BIGINT + 20 * trunc(latest.y / 50.0001)::BIGINT")
 def road_grid_nodes(s, d):
     """Vehicles by the grid cell that they are in, named by its node."""
     n = F.floor(F.col("x") / 50.0001).cast("long") + 20 * F.floor(F.col("y") / 50.0001).cast("long")

@@ -13,8 +13,8 @@ in three steps, none of which loses a link:
 2. The pairs' bounds are tested on the count vectors and survivors are verified on whole sets. Links
    are joined to components.
 3. In long lists whose sets aren't all in one component yet, an R-tree over count vectors finds the
-   remaining pairs across components within the bound; they are verified too: first the two most
-   promising of each set with each other component, which mostly joins them, then all that are left.
+   remaining pairs across components within the bound; they are verified too: first the most
+   promising one of each set with each other component, which mostly joins them, then all that are left.
 
 Equal sets are one set throughout. Equality of shingles is by 64-bit hash (40 bits within a pair that is verified).
 """
@@ -364,7 +364,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = cut(own.join(reps.join(wanted, "set_id").select("set_id", "doc_id"), ["set_id", "doc_id"]).select("set_id", "doc_id", "n", "counts").dropDuplicates(["set_id"]))
 
     links = _verify(pairs, sets, d)
-    for most in (2, None):
+    for most in (1, None):
         joined = components(links)
         labelled = lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")

@@ -61,11 +61,14 @@ def _sigmoid(x):
 
 def fit(index: list, value: list, grade: np.ndarray, *, epochs: int = 25, batch: int = 256, rate: float = 0.3, ridge: float = 1e-5, least: int = 20, z: float = 8.0):
     """Weights and thresholds by minibatches with rates that adapt to each weight. Features of fewer than `least` rows get no weight, nor do those whose rows' mean grade is less than `z` standard errors from that of all: many small weights would only add up with a text's length."""
-    known, seen = np.unique(np.concatenate(index), return_counts=True)
-    where, total = np.searchsorted(known, np.concatenate(index)), np.repeat(grade, [len(i) for i in index])
-    mean = np.bincount(where, total, minlength=len(known)) / seen
-    far = np.abs(mean - grade.mean()) >= z * grade.std() / np.sqrt(seen)
-    known = known[((seen >= least) & far) | np.isin(known, _FORMS)]
+    seen, total = np.zeros(DIMENSIONS, np.int32), np.zeros(DIMENSIONS, np.float32)
+    for i, y in zip(index, grade, strict=True):  # row by row: all indices at once would take much memory
+        i = np.unique(i)
+        seen[i] += 1
+        total[i] += y
+    enough = np.flatnonzero(seen >= least)
+    far = np.abs(total[enough] / seen[enough] - grade.mean()) >= z * grade.std() / np.sqrt(seen[enough])
+    known = np.union1d(enough[far], _FORMS)
     rows_of = []
     for i, v in zip(index, value, strict=True):
         at = np.minimum(np.searchsorted(known, i), len(known) - 1)

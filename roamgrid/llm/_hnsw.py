@@ -6,6 +6,9 @@ import io
 
 import numpy as np
 
+#: Beams wider than this are as wide as the shard.
+WIDE = 128
+
 
 class Graph:
     """neighbours[layer]: for each node of the layer as many neighbours as fit; -1 pads. Nodes are
@@ -130,18 +133,20 @@ class Graph:
         return ids, sims
 
     def within(self, queries: np.ndarray, least: float, beam: int, block: int = 256):
-        """(query, node, cosine) with cosine >= least; a query whose whole beam is that near gets wider beams until it isn't."""
-        out = []
+        """Yields blocks of (query, node) with cosine >= least. A query whose whole beam is that near
+        gets a wider one; past WIDE the beam is the whole shard, which is one product of matrices."""
         for at in range(0, len(queries), block):
             rows, width = np.arange(at, min(at + block, len(queries))), beam
             while len(rows):
+                if width > WIDE or width >= len(self.vectors):
+                    r, c = np.nonzero(queries[rows] @ self.vectors.T >= least)
+                    yield rows[r], c
+                    break
                 ids, sims = self._beam(queries[rows], 0, width, len(self.vectors))
-                width = ids.shape[1]
-                full = (sims >= least).all(1) & (width < len(self.vectors))
+                full = (sims >= least).all(1)
                 r, c = np.nonzero((sims >= least) & ~full[:, None])
-                out.append((rows[r], ids[r, c], sims[r, c]))
+                yield rows[r], ids[r, c]
                 rows, width = rows[full], width * 4
-        return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, (int, int, float)[i]) for i in range(3))
 
     def dump(self) -> bytes:
         out = io.BytesIO()

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, join_with_hot
-from ._components import components, local_roots
+from ._components import components
 from ._hnsw import Graph
 
 LEAST = 0.98
@@ -49,36 +49,51 @@ def _unit(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def audited(graph: Graph, queries: np.ndarray, least: float = LEAST, beam: int = BEAM):
-    """Links of the queries, with the beam widened until the recall of a sample is RECALL or the beam is the shard."""
+    """Blocks of links of the queries, with the beam widened until the recall of a sample is RECALL or the beam is the shard."""
     sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDITED, len(queries))).astype(int))
     there = np.count_nonzero(queries[sample] @ graph.vectors.T >= least)
     while beam < len(graph.vectors):
-        if len(graph.within(queries[sample], least, beam)[0]) >= RECALL * there:
+        if sum(len(q) for q, _ in graph.within(queries[sample], least, beam)) >= RECALL * there:
             break
         beam *= 2
     return graph.within(queries, least, beam)
 
 
+def _union(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, where every node points to its smallest, with the links (a, b) added."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (up := root[root])).any():
+            root = up
+
+
 _FOUND = "kind int, a long, b long"
 
 
 def _query(key: tuple, graphs: pa.Table, queries: pa.Table) -> pa.Table:
     """Kind 0: a point and how many vectors of other points it links with in this shard (b); kind 1: links, as stars."""
     vectors, points = _unit(queries)
-    a, b, n = [], [], np.zeros(len(points), np.int64)
-    for data in graphs.column("graph").to_pylist():
-        graph = Graph.load(data)
-        q, node, _ = audited(graph, vectors)
-        # Verified again pair by pair, in double precision.
-        ok = (np.einsum("ij,ij->i", vectors[q], graph.vectors[node]) >= LEAST) & (points[q] != graph.ids[node])
-        q, node = q[ok], node[ok]
-        n += np.bincount(q, graph.weights[node], minlength=len(n)).astype(np.int64)
-        a.append(points[q])
-        b.append(graph.ids[node])
-    roots = {x: r for x, r in local_roots(np.concatenate(a or [points[:0]]).tolist(), np.concatenate(b or [points[:0]]).tolist()).items() if x != r}
+    n = np.zeros(len(points), np.int64)
+    loaded = [Graph.load(data) for data in graphs.column("graph").to_pylist()]
+    nodes = np.unique(np.concatenate([points, *[g.ids for g in loaded]]))
+    root, own = np.arange(len(nodes)), np.searchsorted(nodes, points)
+    for graph in loaded:
+        theirs = np.searchsorted(nodes, graph.ids)
+        for q, node in audited(graph, vectors):
+            # Verified again pair by pair, in double precision.
+            ok = (np.einsum("ij,ij->i", vectors[q], graph.vectors[node]) >= LEAST) & (own[q] != theirs[node])
+            q, node = q[ok], node[ok]
+            n += np.bincount(q, graph.weights[node], minlength=len(n)).astype(np.int64)
+            root = _union(root, own[q], theirs[node])
+    led = np.flatnonzero(root != np.arange(len(nodes)))
     some = n > 0
-    kind = np.r_[np.zeros(some.sum(), np.int32), np.ones(len(roots), np.int32)]
-    return pa.table({"kind": pa.array(kind), "a": pa.array(np.r_[points[some], np.array(list(roots), np.int64)], pa.int64()), "b": pa.array(np.r_[n[some], np.array(list(roots.values()), np.int64)], pa.int64())})
+    kind = np.r_[np.zeros(some.sum(), np.int32), np.ones(len(led), np.int32)]
+    return pa.table({"kind": pa.array(kind), "a": pa.array(np.r_[points[some], nodes[led]], pa.int64()), "b": pa.array(np.r_[n[some], nodes[root[led]]], pa.int64())})
 
 
 def link_vectors(vectors: DataFrame) -> DataFrame:

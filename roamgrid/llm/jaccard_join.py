@@ -43,6 +43,8 @@ SHIPPED = 5
 SHORT = 24
 #: A shingle is frequent if a task meets it in this many sets; so many of these are ordered last at most.
 FREQUENT, MAX_FREQUENT = 3, 400_000
+#: Each set carries so many of its smallest long lists, so that few pairs are found in more than one.
+FIRST_LISTS = 32
 LEAF = 16
 _SETS = "kind int, doc_id long, n long, set_id long, check long, counts binary"
 
@@ -304,7 +306,8 @@ class CountTree:
 
 def _across(most: int | None):
     """Pairs within the bound across components, for the lists of one bucket; of each set with each
-    other component all, or the `most` that the bound leaves the greatest overlap."""
+    other component all, or the `most` that the bound leaves the greatest overlap. A pair is left to
+    the smallest list that both have, as far as `firsts`, the smallest lists of each set, show it."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b = [], []
@@ -315,12 +318,15 @@ def _across(most: int | None):
             part = table.slice(i, j - i)
             s, n, comp = (part.column(c).to_numpy() for c in ("a", "n", "component"))
             counts = _counts(part.column("counts"))
+            firsts = [set(x) for x in part.column("firsts").to_pylist()]
             tree = CountTree(counts, n)
             # The members of the largest component needn't be queries: links across have another end.
             _, where, size = np.unique(comp, return_inverse=True, return_counts=True)
             for q in np.flatnonzero(where != np.argmax(size)):
                 hit = tree.search(counts[q], int(n[q]))
                 hit = hit[comp[hit] != comp[q]]
+                if smaller := {x for x in firsts[q] if x < lists[i]}:
+                    hit = hit[np.array([smaller.isdisjoint(firsts[h]) for h in hit], bool)]
                 if most and len(hit) > most:
                     left = np.minimum(counts[hit], counts[q]).sum(1) / (n[hit] + n[q])
                     order = np.lexsort((-left, comp[hit]))
@@ -363,13 +369,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(lists.select(F.col("a").alias("set_id"))).distinct()
     sets = cut(own.join(reps.join(wanted, "set_id").select("set_id", "doc_id"), ["set_id", "doc_id"]).select("set_id", "doc_id", "n", "counts").dropDuplicates(["set_id"]))
 
+    own_lists = lists.groupBy("a").agg(F.slice(F.array_sort(F.collect_list("list")), 1, FIRST_LISTS).alias("firsts"))  # no more lists than the prefix has shingles
+    members = cut(own_lists.join(sets.select(F.col("set_id").alias("a"), "counts"), "a"))
+
     links = _verify(pairs, sets, d)
     for most in (1, None):
         joined = components(links)
         labelled = lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
-        open_lists = labelled.join(mixed, "list").join(sets.select(F.col("set_id").alias("a"), "counts"), "a").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
-        more = open_lists.select("bucket", "list", "a", "n", "component", "counts").groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
+        open_lists = labelled.join(mixed, "list").join(members, "a").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
+        more = open_lists.select("bucket", "list", "a", "n", "component", "counts", "firsts").groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
         new = cut(more.join(pairs, ["a", "b"], "left_anti"))
         links, pairs = links.unionByName(_verify(new, sets, d)), pairs.unionByName(new)
     joined = components(links)

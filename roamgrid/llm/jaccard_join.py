@@ -372,16 +372,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own_lists = lists.groupBy("a").agg(F.slice(F.array_sort(F.collect_list("list")), 1, FIRST_LISTS).alias("firsts"))  # no more lists than the prefix has shingles
     members = cut(own_lists.join(sets.select(F.col("set_id").alias("a"), "counts"), "a"))
 
-    links = _verify(pairs, sets, d)
+    joined = components(_verify(pairs, sets, d))
     for most in (1, None):
-        joined = components(links)
         labelled = lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
         open_lists = labelled.join(mixed, "list").join(members, "a").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
         more = open_lists.select("bucket", "list", "a", "n", "component", "counts", "firsts").groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
         new = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        links, pairs = links.unionByName(_verify(new, sets, d)), pairs.unionByName(new)
-    joined = components(links)
+        pairs = pairs.unionByName(new)
+        joined = components(joined.toDF("a", "b").unionByName(_verify(new, sets, d)))
 
     # From sets to documents: the smallest id of any copy of any set of the component.
     sets_in = reps.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -15,6 +15,7 @@ in three steps, none of which loses a link:
 3. In long lists whose sets aren't all in one component yet, an R-tree over count vectors finds the
    remaining pairs across components within the bound; they are verified too: first the most
    promising one of each set with each other component, which mostly joins them, then all that are left.
+   Of the lists that two sets share the smallest gives the pair, so that a pair found by many shingles is few rows.
 
 Equal sets are one set throughout. Equality of shingles is by 64-bit hash (40 bits within a pair that is verified).
 """

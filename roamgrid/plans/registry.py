@@ -257,7 +257,7 @@ _COST = "CASE WHEN dst < 400 THEN 50.0::DOUBLE * (abs(src % 20 - dst % 20) + abs
 
 @query(f"SELECT request_id, {_COST} AS total_cost, src = dst OR dst < 400 AS found FROM rq")
 def shortest_path_cost(s, d):
-    return graph.shortest_path_cost(fx.requests(s, d), *grid(s))
+    return graph.shortest_path_cost(fx.requests(s, d, below=50), *grid(s))
 
 
 @query("""
@@ -270,7 +270,7 @@ b AS (SELECT DISTINCT src AS source, src AS node, 0.0::DOUBLE AS dist, 0 AS hop
 m AS (SELECT source, node, min(dist) AS dist FROM b GROUP BY source, node)
 SELECT request_id, round(CASE WHEN src = dst THEN 0 ELSE coalesce(dist, 0) END, 6) AS total_cost, src = dst OR dist IS NOT NULL AS found FROM r3 LEFT JOIN m ON m.source = src AND m.node = dst""")
 def shortest_path_irregular(s, d):
-    cost = graph.shortest_path_cost(fx.requests(s, d, 300), *fx.irregular_graph(s, d))
+    cost = graph.shortest_path_cost(fx.requests(s, d, 300, below=50), *fx.irregular_graph(s, d, below=1000))
     return cost.withColumn("total_cost", F.round("total_cost", 6))
 
 
@@ -285,7 +285,7 @@ pn AS (SELECT request_id, (len - k)::INT AS seq, (dr + CASE WHEN sr > dr THEN kr
 
 @query(f"{_PATH} SELECT * FROM pn")
 def shortest_path_nodes(s, d):
-    return graph.shortest_path_nodes(fx.requests(s, d), *grid(s))
+    return graph.shortest_path_nodes(fx.requests(s, d, below=50), *grid(s))
 
 
 @query(f"{_PATH}, nx AS (SELECT *, lead(node_id) OVER (PARTITION BY request_id ORDER BY seq) AS nxt FROM pn) SELECT request_id, seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM nx JOIN gn a ON a.node_id = nx.node_id JOIN gn b ON b.node_id = nxt")
@@ -303,10 +303,39 @@ _FROM, _TO = "SELECT query_id, qx, qy FROM pq WHERE query_id <= 20", "SELECT que
 @query(f", {_snap('a', _FROM)}, {_snap('b', _TO)} SELECT query_id AS request_id, a.node_id AS src, b.node_id AS dst, 50.0::DOUBLE * (abs(a.node_id % 20 - b.node_id % 20) + abs(a.node_id // 20 - b.node_id // 20)) AS total_cost, true AS found FROM a JOIN b USING (query_id)")
 def route(s, d):
     """Routes for the first twenty query points, a fixed number of requests."""
-    q = fx.point_queries(s, d).filter("query_id <= 20")
+    return _routes(s, fx.point_queries(s, d).filter("query_id <= 20"))
+
+
+def _routes(s, q):
     return graph.route(q.select(F.col("query_id").alias("request_id"), "x", "y", (1000 - F.col("x")).alias("dest_x"), (F.col("y") / 2).alias("dest_y")), *grid(s))
 
 
+# The five queries above are cut to few requests and edges by their SQL; these take all rows. Tests compare them with brute force.
+@query()
+def shortest_path_cost_all(s, d):
+    return graph.shortest_path_cost(fx.requests(s, d), *grid(s))
+
+
+@query()
+def shortest_path_irregular_all(s, d):
+    return graph.shortest_path_cost(fx.requests(s, d, 300), *fx.irregular_graph(s, d)).withColumn("total_cost", F.round("total_cost", 6))
+
+
+@query()
+def shortest_path_nodes_all(s, d):
+    return graph.shortest_path_nodes(fx.requests(s, d), *grid(s))
+
+
+@query()
+def route_segments_all(s, d):
+    return graph.route_segments(shortest_path_nodes_all(s, d), grid(s)[0])
+
+
+@query()
+def route_all(s, d):
+    return _routes(s, fx.point_queries(s, d))
+
+
 @query("SELECT vehicle_id, x, y, ts_ms FROM p")
 def frames_roundtrip(s, d):
     return frames.decode_frames(frames.encode_frames(fx.positions(s, d)))

@@ -74,6 +74,17 @@ def test_tokens_are_those_of_the_named_library():
         assert t.encode(text, add_special_tokens=False).ids == list(packing.encoder(packing.VOCABULARY)(text))
 
 
+def test_added_tokens_are_matched_in_the_text():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers as P
+
+    t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    assert list(packing.encoder(packing.VOCABULARY)(f"hello {end} world")) == [31373, 220, 50256, 995]
+    for text in (end, end * 3, f"a{end}b", f" {end}\n\n{end} x", f"<|endof{end}text|>", f"é🙂{end[:-1]}{end}'s", "<|endoftext |>", end.upper()):
+        assert t.encode(text, add_special_tokens=False).ids == list(packing.encoder(packing.VOCABULARY)(text)), text
+
+
 def test_quality(docs, spark):
     labels = spark.createDataFrame([(0, 1, 0), (3, 0, None), (7, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, quality.graded(labels)).collect()

@@ -2,8 +2,9 @@
 
 Three fixed patterns give the base spans. Longer token-like strings with both letters and digits
 are further candidates. Each candidate's hash is counted over all documents, by distinct
-repositories and owners: what many owners hold is an example that was copied; what one owner alone
-holds looks live. Base spans are always reported; candidates that one owner alone holds are added.
+repositories and owners: what many owners or many repositories hold is an example that was copied;
+what one owner alone holds, in few repositories, looks live. Base spans are always reported; candidates
+that look live are added.
 """
 
 from __future__ import annotations
@@ -67,10 +68,13 @@ def ownership(found: DataFrame) -> DataFrame:
     return once.groupBy("value_hash").agg(F.sum("n").alias("n_rows"), F.count_distinct("owner").alias("n_owners"), F.count_distinct("repo").alias("n_repos"))
 
 
-def scan_secrets(docs: DataFrame, *, live_owners: int = 1, example_owners: int = 3, **columns) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, live_owners: int = 1, example_owners: int = 3, live_repos: int = 4, example_repos: int = 10, **columns) -> DataFrame:
     """One row per input row: doc_id, base (array of spans), owned (array of added spans), n_live,
-    n_example (of all its candidates, how many are held by at most `live_owners` owners, or by
-    `example_owners` or more).
+    n_example (of all its candidates, how many are live or copied).
+
+    Live: held by at most `live_owners` (1) owners and at most `live_repos` (4) repositories. Copied: held
+    by `example_owners` (3) owners or more, or by `example_repos` (10) repositories or more. What lies
+    between is neither. A repository is a document unless `repo_col` names another column.
 
     A null text counts as empty. Rows may repeat, and an id too: each row is scanned by itself.
     Empty and clean texts have empty arrays. No rows in: no rows out.
@@ -79,7 +83,8 @@ def scan_secrets(docs: DataFrame, *, live_owners: int = 1, example_owners: int =
     some = F.size("base") + F.size("more") > 0
     each = found.filter(some).select("row", F.explode(F.concat("base", "more")).alias("c")).withColumn("value_hash", F.xxhash64("c.value"))
     known = join_with_hot(each, ownership(found), "value_hash", "n_rows")
-    live, copied = F.col("n_owners") <= live_owners, F.col("n_owners") >= example_owners
+    live = (F.col("n_owners") <= live_owners) & (F.col("n_repos") <= live_repos)
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
     per_row = known.groupBy("row").agg(
         F.array_sort(F.collect_list(F.when((F.col("c.kind") == 3) & live, F.col("c")))).alias("owned"),
         F.count_if(live).alias("n_live"),

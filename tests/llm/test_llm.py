@@ -100,6 +100,19 @@ def test_secrets(spark):
     assert got == [(0, 3), (1, 0), (1, 0), (2, 0)]
 
 
+def test_secrets_that_one_source_copies_are_examples(spark):
+    often, four, five, spread = ("".join(f"{c}{k}" for k in range(10, 20)) for c in "GHJK")
+    held = {often: [(i, "s") for i in range(30)], four: [(i, "s") for i in range(4)], five: [(i, "s") for i in range(5)], spread: [(30, "a"), (31, "b"), (32, "c")]}
+    rows = {}
+    for value, places in held.items():
+        for place in places:
+            rows.setdefault(place, []).append(value)
+    docs = spark.createDataFrame([(i, " ".join(v), s) for (i, s), v in rows.items()], "doc_id long, text string, source string")
+    got = {r["doc_id"]: ([x["value"] for x in r["owned"]], r["n_live"], r["n_example"]) for r in secret_scan.scan_secrets(docs).collect()}
+    want = {i: ([four] if (i, "s") in held[four] else [], int((i, "s") in held[four]), 1) for i, _ in rows}
+    assert got == want
+
+
 def test_chats_come_back(spark):
     texts = ["<|im_end|>", "\\<|", "<\\|im_sep|>", None, "", "a\\\\<|b"]
     rows = [(1, k, r, t) for k, (r, t) in enumerate((r, t) for t in texts for r in ("user", "assistant", "assistant"))] + [(None, None, None, None)]

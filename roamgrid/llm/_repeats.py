@@ -10,6 +10,10 @@ bytes or words) that also starts in a document with a smaller id.
 2. Anchors meet by key. Those with the same context as a smaller document's are settled; where
    contexts under one key differ, the smallest documents of each are looked at again.
 3. For these the units themselves are fetched, and each of their windows is compared.
+   Contexts of a hot key (many contexts in a sample of the documents) don't meet: their anchors are
+   dealt by context, all that are not settled are looked at again, and of their windows a Spark
+   groupBy gives the smallest document of each hash, which is joined back. The sample decides only
+   the way a key takes; the result is the same either way.
 4. Spans are gathered per document and what they cover is taken out.
 
 Equality of contexts and windows is by 64-bit hash.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import Prefix, mix, texts
-from ._common import cut, partitions
+from ._common import cut, join_with_hot, partitions
 
 U = np.uint64
 TOP = U(0xFFFFFFFFFFFFFFFF)
@@ -33,6 +37,9 @@ _ANCHORS = "kind int, bucket int, doc binary, key binary, ctx binary, pos binary
 _MARKS = "kind int, doc_id long, spans binary"
 #: Anchors that a task settles at a time.
 ANCHORS = 1_000_000
+#: A key is hot if one in SAMPLE documents leave it with more than HOT_CONTEXTS contexts: about 16,384 in all.
+SAMPLE = 32
+HOT_CONTEXTS = 512
 
 
 def slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -107,7 +114,28 @@ def _batch(schema: str, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[n], kinds[t]) for n, t in fields], names=[n for n, _ in fields])
 
 
-def _emit(finder: Finder, buckets: int):
+def _pairs(finder: Finder):
+    """Distinct keys and contexts of the anchors of each batch."""
+
+    def run(batches):
+        for batch in batches:
+            found = [x[1:] for raw in texts(batch.column(0)) if (x := finder.anchors(raw)) is not None]
+            if found:
+                pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)]), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["key", "ctx"])
+
+    return run
+
+
+def hot_keys(docs: DataFrame, finder: Finder) -> np.ndarray:
+    """Keys with more than HOT_CONTEXTS contexts in one of SAMPLE documents."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    pairs = some.mapInArrow(_pairs(finder), "key long, ctx long").distinct()
+    hot = pairs.groupBy("key").count().filter(F.col("count") > HOT_CONTEXTS).select("key").collect()
+    return np.array(sorted(r["key"] for r in hot), np.int64).view(np.uint64)
+
+
+def _emit(finder: Finder, buckets: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -118,7 +146,8 @@ def _emit(finder: Finder, buckets: int):
             if len(ids):  # settled here: they pass through
                 yield _batch(_ANCHORS, kind=[1] * len(ids), bucket=(ids % buckets).astype(np.int32), doc=[np.int64(i).tobytes() for i in ids], key=[b""] * len(ids), ctx=[b""] * len(ids), pos=spans)
             key, ctx, doc, pos = key[~done], ctx[~done], doc[~done], pos[~done]
-            bucket = ((key >> U(32)) % U(buckets)).astype(np.int32)
+            # Hot keys are dealt by context.
+            bucket = ((np.where(np.isin(key, hot.value), mix(key ^ ctx), key) >> U(32)) % U(buckets)).astype(np.int32)
             # In each bucket by document, so that ids and places compress well.
             order = np.lexsort((pos, doc, bucket))
             key, ctx, doc, pos, bucket = key[order], ctx[order], doc[order], pos[order], bucket[order]
@@ -142,30 +171,36 @@ def _emit(finder: Finder, buckets: int):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
+def _meet(hot):
     """Anchors of one bucket to marks: kind 1 settled, kind 2 to be looked at again."""
-    kind = table.column("kind").to_numpy()
-    pick = table.filter(pa.array(kind == 0))
-    join = lambda c, t: np.frombuffer(b"".join(pick.column(c).to_pylist()), t)
-    (key, ctx, doc, pos), done = _settle(join("key", "<u4"), join("ctx", "<u8"), join("doc", "<i8"), join("pos", "<i4"))
-    ids, spans = _by_doc(doc[done], pos[done])
-    key, ctx, doc, pos = key[~done], ctx[~done], doc[~done], pos[~done]
-    # Keys that still hold more than one document: their contexts differ.
-    group = np.cumsum(np.r_[False, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    if len(key):
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))[group]
-    else:
-        several = np.zeros(0, bool)
-    more, again = _by_doc(doc[several], pos[several])
-    passed = table.filter(pa.array(kind == 1))
-    kinds = [1] * (len(ids) + passed.num_rows) + [2] * len(more)
-    docs = [*ids.tolist(), *(int.from_bytes(x, "little", signed=True) for x in passed.column("doc").to_pylist()), *more.tolist()]
-    return pa.Table.from_batches([_batch(_MARKS, kind=kinds, doc_id=docs, spans=[*spans, *passed.column("pos").to_pylist(), *again])])
-
-
-def _contexts(finder: Finder, buckets: int):
-    """(doc_id, text, spans) to the units around each anchor, by bucket of its key."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        pick = table.filter(pa.array(kind == 0))
+        join = lambda c, t: np.frombuffer(b"".join(pick.column(c).to_pylist()), t)
+        (key, ctx, doc, pos), done = _settle(join("key", "<u4"), join("ctx", "<u8"), join("doc", "<i8"), join("pos", "<i4"))
+        ids, spans = _by_doc(doc[done], pos[done])
+        key, ctx, doc, pos = key[~done], ctx[~done], doc[~done], pos[~done]
+        # Keys that still hold more than one document: their contexts differ.
+        group = np.cumsum(np.r_[False, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+        if len(key):
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))[group]
+        else:
+            several = np.zeros(0, bool)
+        # The other contexts of a hot key are in other buckets. Other keys with its lower half are only looked at for nothing.
+        several = several | np.isin(key, hot.value.astype(np.uint32))
+        more, again = _by_doc(doc[several], pos[several])
+        passed = table.filter(pa.array(kind == 1))
+        kinds = [1] * (len(ids) + passed.num_rows) + [2] * len(more)
+        docs = [*ids.tolist(), *(int.from_bytes(x, "little", signed=True) for x in passed.column("doc").to_pylist()), *more.tolist()]
+        return pa.Table.from_batches([_batch(_MARKS, kind=kinds, doc_id=docs, spans=[*spans, *passed.column("pos").to_pylist(), *again])])
+
+    return run
+
+
+def _contexts(finder: Finder, buckets: int, hot):
+    """(doc_id, text, spans) to the units around each anchor of a key that isn't hot, by bucket of its key."""
 
     def run(batches):
         for batch in batches:
@@ -174,6 +209,8 @@ def _contexts(finder: Finder, buckets: int):
                 pos = np.unique(np.frombuffer(b"".join(spots), "<i4")).astype(np.int64)
                 values = finder.units(raw)
                 key = mix(Prefix(values).span(pos, pos + finder.span))
+                rest = ~np.isin(key, hot.value)
+                pos, key = pos[rest], key[rest]
                 bucket = ((key >> U(32)) % U(buckets)).astype(np.int32)
                 a, b = finder.reach(pos, len(values))
                 sent = finder.codes(raw) if finder.codes else values
@@ -201,6 +238,46 @@ def _contexts(finder: Finder, buckets: int):
 _CONTEXTS = "bucket int, doc binary, pos binary, key binary, left binary, size binary, units binary"
 
 
+def _windows(finder: Finder, hot):
+    """(doc_id, text, spans) to hash, doc_id and start of the windows around each anchor of a hot key."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for doc_id, raw, spots in zip(batch.column(0).to_numpy(zero_copy_only=False), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                pos = np.unique(np.frombuffer(b"".join(spots), "<i4")).astype(np.int64)
+                values = finder.units(raw)
+                prefix = Prefix(values)
+                key = mix(prefix.span(pos, pos + finder.span))
+                pick = np.isin(key, hot.value)
+                pos, key = pos[pick], key[pick]
+                start = (pos[:, None] - np.arange(finder.window - finder.span + 1)).ravel()
+                key = np.repeat(key, finder.window - finder.span + 1)
+                ok = (start >= 0) & (start + finder.window <= len(values))
+                start, key = start[ok], key[ok]
+                h = mix(prefix.span(start, start + finder.window) + key)
+                rows.append((h.view(np.int64), np.full(len(h), doc_id, np.int64), start.astype(np.int32)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], names=["h", "doc_id", "start"])
+
+    return run
+
+
+def _marked(batches):
+    """(doc_id, start) to kind 3 marks."""
+    for batch in batches:
+        ids, starts = _by_doc(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        yield _batch(_MARKS, kind=[3] * len(ids), doc_id=ids, spans=starts)
+
+
+def _compare_hot(spots: DataFrame, finder: Finder, hot) -> DataFrame:
+    """The same as _compare for windows around anchors of hot keys, by groupBy and join over window hashes."""
+    windows = cut(spots.mapInArrow(_windows(finder, hot), "h long, doc_id long, start int"))
+    firsts = cut(windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").select("h", "first", "n"))
+    later = join_with_hot(windows, firsts, "h", "n").filter("first < doc_id")
+    return later.select("doc_id", "start").mapInArrow(_marked, _MARKS)
+
+
 def _compare(finder: Finder):
     """Windows of the contexts of one bucket: those that a smaller document has, as kind 3 marks (starts of windows)."""
     window, span = finder.window, finder.span
@@ -251,11 +328,15 @@ def repeats(docs: DataFrame, finder: Finder, report: Callable, schema: str) -> D
     n = 4 * partitions(docs.sparkSession)
     # The same filter everywhere, so that the texts' exchange by id is made once and used twice.
     known = docs.filter("doc_id is not null")
-    anchors = known.mapInArrow(_emit(finder, n), _ANCHORS)
-    marks = cut(anchors.groupBy("bucket").applyInArrow(_meet, _MARKS))
+    keys = hot_keys(known, finder)
+    hot = docs.sparkSession.sparkContext.broadcast(keys)
+    anchors = known.mapInArrow(_emit(finder, n, hot), _ANCHORS)
+    marks = cut(anchors.groupBy("bucket").applyInArrow(_meet(hot), _MARKS))
     again = marks.filter("kind = 2").groupBy("doc_id").agg(F.collect_list("spans").alias("spots"))
-    contexts = known.join(again, "doc_id").select("doc_id", "text", "spots").mapInArrow(_contexts(finder, n), _CONTEXTS)
-    more = contexts.groupBy("bucket").applyInArrow(_compare(finder), _MARKS)
+    spots = known.join(again, "doc_id").select("doc_id", "text", "spots")
+    more = spots.mapInArrow(_contexts(finder, n, hot), _CONTEXTS).groupBy("bucket").applyInArrow(_compare(finder), _MARKS)
+    if len(keys):
+        more = more.unionByName(_compare_hot(spots, finder, hot))
     spans = marks.filter("kind = 1").unionByName(more)
     per_doc = spans.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("kind") == 1, F.col("spans"))).alias("settled"),

@@ -3,7 +3,8 @@
 Documents of a source are put in a seeded random order and cut into blocks of about `block_size`.
 Of C slots, in which a source of quota c gets c, its j-th block (from 0) is released at slot
 floor(j*C/c) and due by ceil((j+1)*C/c); every slot goes to the released block with the earliest
-deadline. Then no source is ever a whole block away from its share. All sources stand exactly at
+deadline. Then no source is ever a whole block away from the share that its rounded quota gives; from
+its exact weight it can be further (see RESOLUTION and the README). All sources stand exactly at
 their shares after each frame of C slots, so frames are independent: the schedule of one frame is a
 bounded table, and each block's slot follows from its number alone. Where a source ends, the frames
 from there on have a new make-up with the quotas of the sources that remain.

@@ -117,12 +117,13 @@ def valid_point(x="x", y="y", bounds=BOUNDS) -> Column:
 
 
 def validate_updates(df: DataFrame, bounds=BOUNDS) -> DataFrame:
-    """Updates with finite coordinates on the map; also on streams."""
+    """Updates with an id and finite coordinates on the map; also on streams."""
     return df.filter(valid_point(bounds=bounds) & (F.col("vehicle_id") != F.lit(-(2**63))))
 
 
 def rejected_updates(df: DataFrame, bounds=BOUNDS) -> DataFrame:
-    """the others, with `reason`."""
+    """all others, with `reason`: nan_or_inf (null too), out_of_bounds or bad_id (null, or the smallest long, which has no absolute value)."""
     bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    reason = F.when(bad("x") | bad("y"), "nan_or_inf").when(~valid_point(bounds=bounds), "out_of_bounds").when(F.col("vehicle_id") == F.lit(-(2**63)), "bad_id")
+    no_id = F.col("vehicle_id").isNull() | (F.col("vehicle_id") == F.lit(-(2**63)))
+    reason = F.when(bad("x") | bad("y"), "nan_or_inf").when(~valid_point(bounds=bounds), "out_of_bounds").when(no_id, "bad_id")
     return df.withColumn("reason", reason).filter("reason is not null")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import to_screen
+from ..functions.expr import dist, to_screen
 from ..plans.cut import cut
 from .spatial import snap_to_node
 
-#: Hops that a round takes before its result is written.
-HOPS = 6
+#: Hops of a round, and steps back of a path, before the result is written.
+HOPS, STEPS = 6, 6
+#: Slack of lower bounds, for rounding.
+SLACK = 1 - 1e-9
 
 
 def out_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -18,26 +20,52 @@ def out_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi").select("src", "dst", "weight")
 
 
-def distances(sources: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def distances(sources: DataFrame, edges: DataFrame, max_rounds: int = 10_000, goals: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """(source, node, dist): least cost from each of sources(source) to each node that it reaches.
+    Weights must not be negative or null.
 
-    Only what a hop improved goes on to the next one; the loop ends when nothing did.
+    Only rows that a hop improved meet edges in the next one; the loop ends when none was. With goals(source, goal) and nodes the result is final for goals and for what lies on the
+    way to them only: before each round, rows whose lower bound of the cost to any goal of their
+    source exceeds the dearest of these goals' best known costs don't go on. The bound is the
+    straight line to the box of the source's goals, times the least weight of an edge per length.
+    More than max_rounds rounds of HOPS hops raise an error.
     """
+    edges = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    edges = cut(edges)
+    bad = edges.filter("weight < 0 or weight is null or isnan(weight)")
+    if not bad.isEmpty():
+        raise ValueError("negative or missing weights")
+    links = cut(edges.groupBy(F.col("src").alias("node"), F.lit(True).alias("fresh")).agg(F.collect_list(F.struct("dst", "weight")).alias("out")))
+    if goals is not None:
+        # What a row needs for its bound: coordinates of its node, the box of its source's goals.
+        at = nodes.groupBy("node_id").agg(F.max(F.struct("x", "y")).alias("p")).select(F.col("node_id").alias("node"), "p.x", "p.y")
+        ends = lambda k, s: at.select(F.col("node").alias(k), F.col("x").alias(f"{s}x"), F.col("y").alias(f"{s}y"))
+        length = dist("ax", "ay", "bx", "by")
+        per_length = edges.join(ends("src", "a"), "src").join(ends("dst", "b"), "dst").filter(length > 0).agg(F.min(F.col("weight") / length).alias("w")).first()["w"] or 0.0
+        boxed = goals.join(at.withColumnRenamed("node", "goal"), "goal").groupBy("source").agg(*[f(c).alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "low_"), (F.max, "high_"))])
+        goals, boxed, at = cut(goals.distinct()), cut(boxed), cut(at)
     state = sources.distinct().select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh"))
-    links = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")).groupBy(F.col("src").alias("node")).agg(F.collect_list(F.struct("dst", "weight")).alias("out"))
+    none = F.lit(None).cast("double")
     for _ in range(max_rounds):
         for _ in range(HOPS):
-            # Each row stays, no longer fresh, and a fresh one also moves along its edges. Of equal
-            # distances the old one counts, so that ties aren't improvements.
-            moved = F.transform("out", lambda e: F.struct(e["dst"].alias("node"), (F.col("dist") + e["weight"]).alias("dist"), F.lit(True).alias("fresh")))
-            stay = F.array(F.struct("node", "dist", F.lit(False).alias("fresh")))
-            rows = F.explode(F.concat(stay, F.when(F.col("fresh") & F.col("out").isNotNull(), moved).otherwise(F.filter(stay, lambda x: F.lit(False)))))
-            both = state.join(links, "node", "left").select("source", rows.alias("r")).select("source", "r.*")
-            state = both.groupBy("source", "node").agg(F.min(F.struct("dist", "fresh")).alias("s")).select("source", "node", "s.*")
+            # Each row stays, no longer fresh, and a fresh one also moves along its edges; others find
+            # no edges. Of equal costs the old one counts, so that ties aren't improvements.
+            moved = F.transform("out", lambda e: F.struct(e["dst"].alias("node"), none.alias("old"), (F.col("dist") + e["weight"]).alias("new")))
+            stay = F.array(F.struct("node", F.col("dist").alias("old"), none.alias("new")))
+            both = state.join(links, ["node", "fresh"], "left").select("source", F.explode(F.concat(stay, F.coalesce(moved, F.filter(stay, lambda x: F.lit(False))))).alias("r"))
+            least = both.select("source", "r.*").groupBy("source", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
+            state = least.select("source", "node", F.least("old", "new").alias("dist"), F.coalesce(F.col("new") < F.col("old"), F.col("old").isNull()).alias("fresh"))
+        if goals is not None:
+            reached = goals.join(state.select("source", F.col("node").alias("goal"), F.col("dist").alias("cost")), ["source", "goal"], "left")
+            most = reached.groupBy("source").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("most"))
+            away = lambda c: F.greatest(F.col(f"low_{c}") - F.col(c), F.col(c) - F.col(f"high_{c}"), F.lit(0.0))
+            bound = F.col("dist") + SLACK * per_length * F.sqrt(away("x") * away("x") + away("y") * away("y"))
+            near = F.col("fresh") & F.coalesce(bound <= F.col("most"), F.lit(False))
+            state = state.join(at, "node", "left").join(boxed.join(most, "source"), "source", "left").select("source", "node", "dist", near.alias("fresh"))
         state = cut(state)
         if state.filter("fresh").isEmpty():
-            break
-    return state.drop("fresh")
+            return state.drop("fresh")
+    raise RuntimeError(f"costs still change after {max_rounds} rounds")
 
 
 def shortest_path_cost(requests: DataFrame, nodes: DataFrame, edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
@@ -59,34 +87,51 @@ def known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reach(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    starts = requests.filter("src <> dst").select(F.col("src").alias("source")).join(nodes.select(F.col("node_id").alias("source")), "source", "left_semi")
-    return distances(starts, known_edges(nodes, edges))
+    """distances() from the sources of requests, final for their destinations and what lies on the way."""
+    ids = nodes.select("node_id").distinct()
+    goals = requests.filter("src <> dst").select(F.col("src").alias("source"), F.col("dst").alias("goal")).distinct()
+    goals = goals.join(ids.withColumnRenamed("node_id", "source"), "source", "left_semi").join(ids.withColumnRenamed("node_id", "goal"), "goal", "left_semi")
+    return distances(goals.select("source"), known_edges(nodes, edges), goals=goals, nodes=nodes)
 
 
 def shortest_path_nodes(requests: DataFrame, nodes: DataFrame, edges: DataFrame, reached: DataFrame | None = None) -> DataFrame:
-    """request_id, seq (from 0), node_id along each path; of equally good predecessors the smallest id."""
+    """request_id, seq (from 0), node_id along each path; of equally good predecessors the smallest id.
+
+    A predecessor costs less than the node. Nodes that only edges of weight 0 reach at their cost get
+    one of equal cost that has a predecessor already, so that no path runs in a circle.
+    """
     if reached is None:
         reached = reach(requests, nodes, edges)
-    near = known_edges(nodes, edges).filter("weight > 0").groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    near = known_edges(nodes, edges).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     ends = reached.select("source", F.col("node").alias("dst"), F.col("dist").alias("end"))
-    steps = reached.join(near, F.col("node") == F.col("src")).join(ends, ["source", "dst"]).filter(F.col("dist") + F.col("weight") == F.col("end"))
-    before = cut(steps.groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("prev")))
-    same = requests.filter("src = dst").select("request_id", F.array("src").alias("path"))
-    open_ = requests.filter("src <> dst").select("request_id", F.col("src").alias("source"), F.col("dst").alias("node"), F.array("dst").alias("path"))
-    open_ = open_.join(reached.select("source", "node"), ["source", "node"], "left_semi")
-    done = [same]
+    tight = reached.join(near, F.col("node") == F.col("src")).join(ends, ["source", "dst"]).filter((F.col("dist") + F.col("weight") == F.col("end")) & (F.col("source") != F.col("dst")))
+    tight = cut(tight.select("source", "src", F.col("dst").alias("node"), (F.col("dist") < F.col("end")).alias("less")))
+    smallest = lambda df: df.groupBy("source", "node").agg(F.min("src").alias("prev"))
+    before = cut(smallest(tight.filter("less")))
+    level = tight.filter("not less").join(before, ["source", "node"], "left_anti")
+    while not level.isEmpty():
+        known = before.select("source", F.col("node").alias("src")).unionByName(reached.select("source", F.col("source").alias("src")).distinct())
+        more = cut(smallest(level.join(known, ["source", "src"], "left_semi")))
+        if more.isEmpty():
+            break
+        before = cut(before.unionByName(more))
+        level = cut(level.join(more, ["source", "node"], "left_anti"))
+    # One path for each pair of ends, whatever the number of requests.
+    open_ = requests.filter("src <> dst").select(F.col("src").alias("source"), F.col("dst").alias("node")).distinct()
+    open_ = open_.join(reached.select("source", "node"), ["source", "node"], "left_semi").select("source", F.col("node").alias("goal"), "node", F.array("node").alias("path"))
+    done = []
     while not open_.isEmpty():
-        for _ in range(HOPS):
+        for _ in range(STEPS):
             # A path that has arrived stays as it is.
             step = open_.join(before, ["source", "node"], "left")
-            open_ = step.select("request_id", "source", F.coalesce("prev", "node").alias("node"), F.when(F.col("prev").isNull(), F.col("path")).otherwise(F.concat(F.array("prev"), "path")).alias("path"))
+            open_ = step.select("source", "goal", F.coalesce("prev", "node").alias("node"), F.when(F.col("prev").isNull(), F.col("path")).otherwise(F.concat(F.array("prev"), "path")).alias("path"))
         open_ = cut(open_)
-        done.append(open_.filter("node = source").select("request_id", "path"))
+        done.append(open_.filter("node = source").select("source", "goal", "path"))
         open_ = open_.filter("node <> source")
-    paths = done[0]
-    for x in done[1:]:
-        paths = paths.unionByName(x)
-    return paths.select("request_id", F.posexplode("path").alias("seq", "node_id"))
+    out = requests.filter("src = dst").select("request_id", F.array("src").alias("path"))
+    for x in done:
+        out = out.unionByName(requests.select("request_id", F.col("src").alias("source"), F.col("dst").alias("goal")).join(x, ["source", "goal"]).select("request_id", "path"))
+    return out.select("request_id", F.posexplode("path").alias("seq", "node_id"))
 
 
 def route(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

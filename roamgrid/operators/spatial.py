@@ -7,7 +7,9 @@ box always covers a few cells; a point has one cell in each level that occurs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import BOUNDS, _c, boxes_meet, dist2, grid_cell, in_box, on_screen, point_in_polygon, quad_index, to_screen, viewport_box
@@ -17,20 +19,39 @@ from .state import lookup
 BOX = ("min_x", "min_y", "max_x", "max_y")
 
 
+#: The one column that these joins add for a time; points and boxes must not have one of this name.
+CELL = "_cell"
+
+
 def _level(cell: float) -> Column:
     side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(cell))
     return F.ceil(F.log2(side / cell)).cast("int")
 
 
-def _range(low: Column, high: Column, size: Column) -> Column:
-    return F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long"))
+def _cell_of(level, x, y, cell: float) -> Column:
+    """struct(level, cx, cy) of the cell that holds (x, y)."""
+    size = F.pow(F.lit(2.0), level) * cell
+    return F.struct(level.alias("level"), F.floor(x / size).cast("long").alias("cx"), F.floor(y / size).cast("long").alias("cy"))
+
+
+def _cells(level, cell: float) -> Column:
+    """All cells of a level that the box of a row meets: at most nine, at its own level or a coarser one."""
+    size = F.pow(F.lit(2.0), level) * cell
+    side = lambda c: F.sequence(F.floor(F.col(f"min_{c}") / size).cast("long"), F.floor(F.col(f"max_{c}") / size).cast("long"))
+    return F.flatten(F.transform(side("x"), lambda x: F.transform(side("y"), lambda y: F.struct(level.alias("level"), x.alias("cx"), y.alias("cy")))))
+
 
+def _own_name(*dfs: DataFrame) -> None:
+    if any(CELL in df.columns for df in dfs):
+        raise ValueError(f"the column name {CELL} is reserved")
 
-def _celled(boxes: DataFrame, cell: float) -> DataFrame:
-    """boxes by (level, cx, cy): at most nine rows for each."""
-    b = boxes.filter((F.col("min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("max_y"))).withColumn("level", _level(cell))
-    size = F.pow(F.lit(2.0), F.col("level")) * cell
-    return b.withColumn("cx", F.explode(_range(F.col("min_x"), F.col("max_x"), size))).withColumn("cy", F.explode(_range(F.col("min_y"), F.col("max_y"), size)))
+
+def _proper(boxes: DataFrame) -> DataFrame:
+    return boxes.filter((F.col("min_x") <= F.col("max_x")) & (F.col("min_y") <= F.col("max_y")))
+
+
+def _levels(boxes: DataFrame, cell: float) -> list[int]:
+    return sorted(r["level"] for r in boxes.select(_level(cell).alias("level")).distinct().collect())  # a few dozen at most
 
 
 def range_query(points: DataFrame, box) -> DataFrame:
@@ -40,14 +61,13 @@ def range_query(points: DataFrame, box) -> DataFrame:
 
 def range_join(points: DataFrame, boxes: DataFrame, cell: float = 50.0) -> DataFrame:
     """Points with every box that holds them. Columns of both, whose names must differ."""
-    celled = _celled(boxes, cell)
-    levels = [r["level"] for r in boxes.select(_level(cell).alias("level")).distinct().collect()]  # a few dozen at most
+    _own_name(points, boxes)
+    boxes = _proper(boxes)
+    levels = _levels(boxes, cell)
     if not levels:
         return points.join(boxes, F.lit(False))
-    p = points.filter(~F.isnan("x") & ~F.isnan("y")).withColumn("level", F.explode(F.array(*[F.lit(x) for x in levels])))
-    size = F.pow(F.lit(2.0), F.col("level")) * cell
-    p = p.withColumn("cx", F.floor(F.col("x") / size).cast("long")).withColumn("cy", F.floor(F.col("y") / size).cast("long"))
-    return p.join(celled, ["level", "cx", "cy"]).filter(in_box("x", "y", *BOX)).drop("level", "cx", "cy")
+    p = points.filter(~F.isnan("x") & ~F.isnan("y")).withColumn(CELL, F.explode(F.array(*[_cell_of(F.lit(x), F.col("x"), F.col("y"), cell) for x in levels])))
+    return p.join(boxes.withColumn(CELL, F.explode(_cells(_level(cell), cell))), CELL).filter(in_box("x", "y", *BOX)).drop(CELL)
 
 
 def range_query_coarse(points: DataFrame, box, bounds=BOUNDS, nx: int = 50, ny: int = 50) -> DataFrame:
@@ -68,38 +88,51 @@ def nearest(points: DataFrame, x: float, y: float) -> DataFrame:
     return p.agg(_nearest(dist2("x", "y", F.lit(x), F.lit(y))).alias("n")).select("n.*")
 
 
-def nearest_join(queries: DataFrame, points: DataFrame, cell: float = 25.0, id_col: str = "vehicle_id") -> DataFrame:
-    """queries(query_id, x, y) with their nearest point: query_id, id, x, y, distance (nulls without points).
+def nearest_join(queries: DataFrame, points: DataFrame, cell: float | None = None, id_col: str = "vehicle_id") -> DataFrame:
+    """queries(query_id, x, y) with their nearest point: query_id, id, x, y, distance (nulls without points, and for queries at NaN or null).
 
-    Each round looks at 3 x 3 cells and doubles the cells for queries that aren't settled: a best
-    distance strictly below the distance to what wasn't looked at is final.
+    Points are counted by cells of doubling size first. A query takes the smallest size at which its
+    own cell holds a point: then its nearest point is at most that cell's diagonal away, in the 3 x 3
+    cells of twice the size around it. These are followed down to the finest cells that hold points;
+    of those only the ones that can be nearer than the farthest corner of another are joined with the
+    points, which are shuffled once. `cell` is the finest size; None: about four points to a cell on average.
     """
     p = points.filter(~F.isnan("x") & ~F.isnan("y")).select(id_col, "x", "y")
     q = queries.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
-    spans = [p.agg(*[f(c).alias(f"{n}{c}") for f, n in ((F.min, "a"), (F.max, "b")) for c in "xy"]).first(), q.agg(*[f(f"q{c}").alias(f"{n}{c}") for f, n in ((F.min, "a"), (F.max, "b")) for c in "xy"]).first()]
-    out = None
-    if spans[0]["ax"] is not None and spans[1]["ax"] is not None:
-        extent = max(max(s[f"b{c}"] for s in spans) - min(s[f"a{c}"] for s in spans) for c in "xy")
-        size, open_ = cell, q
-        while True:
-            last = size > extent
-            cq, cp = (lambda c: F.floor(F.col(c) / size).cast("long")), (lambda c: F.floor(F.col(c) / size).cast("long"))
-            around = F.sequence(F.lit(-1), F.lit(1))
-            asked = open_.withColumn("cx", F.explode(F.transform(around, lambda d: cq("qx") + d))).withColumn("cy", F.explode(F.transform(around, lambda d: cq("qy") + d)))
-            there = p.withColumn("cx", cp("x")).withColumn("cy", cp("y"))
-            d2 = dist2("x", "y", "qx", "qy")
-            best = asked.join(there, ["cx", "cy"]).groupBy("query_id", "qx", "qy").agg(_nearest(d2, id_col).alias("n"))
-            edge = lambda c: F.least(F.col(c) - F.floor(F.col(c) / size) * size, (F.floor(F.col(c) / size) + 1) * size - F.col(c))
-            sure = best if last else best.filter(F.col("n.distance") < size + F.least(edge("qx"), edge("qy")))
-            sure = cut(sure.select("query_id", F.col("n.vehicle_id").alias(id_col), "n.x", "n.y", "n.distance"))
-            out = sure if out is None else out.unionByName(sure)
-            open_ = cut(open_.join(sure, "query_id", "left_anti"))
-            if last or open_.isEmpty():
-                break
-            size *= 2
-    if out is None:
+    corners = lambda df, x, y: df.agg(*[f(c).alias(n) for c, n in ((x, "x"), (y, "y")) for f, n in ((F.min, f"a{n}"), (F.max, f"b{n}"))], F.count(F.lit(1)).alias("n")).first()
+    there, asked = corners(p, "x", "y"), corners(q.filter(~F.isnan("qx") & ~F.isnan("qy")), "qx", "qy")
+    if there["ax"] is None or asked["ax"] is None:
         kind = dict(points.dtypes)[id_col]
         return q.select("query_id", F.lit(None).cast(kind).alias(id_col), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "distance")])
+    low = {c: min(there[f"a{c}"], asked[f"a{c}"]) for c in "xy"}
+    extent = max(max(there[f"b{c}"], asked[f"b{c}"]) - low[c] for c in "xy")
+    if cell is None:
+        own = max(max(there[f"b{c}"] - there[f"a{c}"] for c in "xy"), extent / 1024)
+        cell = max(own / max(1.0, (there["n"] / 4) ** 0.5), extent / (1 << 20)) or 1.0
+    levels = max(0, math.ceil(math.log2(max(extent / cell, 1)))) + 1  # at most 21 by default; one cell holds all at the last
+    at = lambda level, x, y: _cell_of(F.lit(level), F.col(x) - low["x"], F.col(y) - low["y"], cell)
+    dealt = p.withColumn("fine", at(0, "x", "y"))
+    fine = cut(dealt.groupBy("fine").agg(F.count(F.lit(1)).alias("n")))
+    above = lambda c, level: F.struct(F.lit(level).alias("level"), F.expr(f"shiftright({c}.cx, {level})").alias("cx"), F.expr(f"shiftright({c}.cy, {level})").alias("cy"))
+    pyramid = fine.select("fine", F.explode(F.array(*[above("fine", k) for k in range(levels + 1)])).alias("cell"))
+    # The smallest size at which a query's own cell holds points.
+    own = q.filter(~F.isnan("qx") & ~F.isnan("qy")).withColumn("cell", F.explode(F.array(*[at(k, "qx", "qy") for k in range(levels + 1)])))
+    first = own.join(pyramid.select("cell").distinct(), "cell").groupBy("query_id", "qx", "qy").agg(F.min("cell").alias("c"))
+    around = F.sequence(F.lit(-1), F.lit(1))
+    up = F.struct((F.col("c.level") + 1).alias("level"), F.shiftright("c.cx", 1).alias("cx"), F.shiftright("c.cy", 1).alias("cy"))
+    block = F.flatten(F.transform(around, lambda i: F.transform(around, lambda j: F.struct(F.col("u.level").alias("level"), (F.col("u.cx") + i).alias("cx"), (F.col("u.cy") + j).alias("cy")))))
+    near = first.withColumn("u", up).select("query_id", "qx", "qy", F.explode(block).alias("cell"))
+    top = fine.select("fine", F.explode(F.array(*[above("fine", k) for k in range(levels + 2)])).alias("cell"))
+    pairs = near.join(top, "cell").select("query_id", "qx", "qy", "fine")
+    side = lambda c: (F.col(f"fine.c{c}") * cell + low[c], (F.col(f"fine.c{c}") + 1) * cell + low[c], F.col(f"q{c}"))
+    gap = lambda c: F.greatest(side(c)[0] - side(c)[2], side(c)[2] - side(c)[1], F.lit(0.0))
+    reach = lambda c: F.greatest(F.abs(side(c)[2] - side(c)[0]), F.abs(side(c)[1] - side(c)[2]))
+    pairs = pairs.withColumns({"gap": F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")), "reach": F.sqrt(reach("x") * reach("x") + reach("y") * reach("y"))})
+    # A little slack covers the rounding of cells' borders.
+    bound = F.min("reach").over(Window.partitionBy("query_id", "qx", "qy"))
+    kept = pairs.withColumn("bound", bound).filter(F.col("gap") <= F.col("bound") * 1.000001 + extent * 1e-9).select("query_id", "qx", "qy", "fine")
+    best = kept.join(dealt, "fine").groupBy("query_id").agg(_nearest(dist2("x", "y", "qx", "qy"), id_col).alias("n"))
+    out = best.select("query_id", F.col("n.vehicle_id").alias(id_col), "n.x", "n.y", "n.distance")
     return q.select("query_id").join(out, "query_id", "left")
 
 
@@ -127,20 +160,23 @@ def with_boxes(zones: DataFrame) -> DataFrame:
 def bbox_join(a: DataFrame, b: DataFrame, cell: float = 100.0) -> DataFrame:
     """Boxes of a with boxes of b that they meet; both have min_x to max_y, which are left out of the result; other names must differ.
 
-    Both go to one grid; of the cells that a pair shares, only the lowest one reports it.
+    Boxes lie on grids of doubling cells by their size. A pair meets at the coarser of its two levels,
+    where each covers at most nine cells; of the cells that it shares, only the lowest one reports it.
     """
-    rename = lambda df, s: df.withColumnsRenamed({c: f"{c}_{s}" for c in BOX})
-    size = F.lit(float(cell))
-
-    def spread(df, s):
-        x = F.explode(_range(F.col("min_x"), F.col("max_x"), size))
-        y = F.explode(_range(F.col("min_y"), F.col("max_y"), size))
-        return rename(df.withColumn("cx", x).withColumn("cy", y), s)
-
-    met = spread(a, "a").join(spread(b, "b"), ["cx", "cy"])
+    _own_name(a, b)
+    a, b = _proper(a), _proper(b)
+    sides = {}
+    for s, df, other in (("a", a, b), ("b", b, a)):
+        more = _levels(other, cell)
+        level = _level(cell)
+        every = F.array_distinct(F.concat(F.array(level), F.filter(F.array(*[F.lit(x) for x in more]), lambda x: x > level))) if more else F.array(level)
+        cells = F.explode(F.flatten(F.transform(every, lambda x: _cells(x, cell))))
+        sides[s] = df.withColumn(f"_level_{s}", level).withColumn(CELL, cells).withColumnsRenamed({c: f"{c}_{s}" for c in BOX})
+    met = sides["a"].join(sides["b"], CELL).filter(F.col(f"{CELL}.level") == F.greatest("_level_a", "_level_b"))
     meets = boxes_meet([f"{c}_a" for c in BOX], [f"{c}_b" for c in BOX])
-    own = lambda c, k: F.col(k) == F.floor(F.greatest(f"min_{c}_a", f"min_{c}_b") / size)
-    return met.filter(meets & own("x", "cx") & own("y", "cy")).drop("cx", "cy", *[f"{c}_{s}" for c in BOX for s in "ab"])
+    size = F.pow(F.lit(2.0), F.col(f"{CELL}.level")) * cell
+    own = lambda c: F.col(f"{CELL}.c{c}") == F.floor(F.greatest(f"min_{c}_a", f"min_{c}_b") / size)
+    return met.filter(meets & own("x") & own("y")).drop(CELL, *[f"{c}_{s}" for c in (*BOX, "_level") for s in "ab"])
 
 
 def viewport_points(snapshot: DataFrame, viewports: DataFrame) -> DataFrame:
@@ -163,7 +199,7 @@ def neighbours(points: DataFrame, r: float, cell: float | None = None) -> DataFr
     return range_join(points.select("vehicle_id", "x", "y"), boxes, cell or 2 * r).select(F.col("center_id").alias("vehicle_id"), F.col("vehicle_id").alias("neighbour_id"))
 
 
-def snap_to_node(points: DataFrame, nodes: DataFrame, cell: float = 25.0) -> DataFrame:
+def snap_to_node(points: DataFrame, nodes: DataFrame, cell: float | None = None) -> DataFrame:
     """points(query_id, x, y) with node_id, x, y, distance of the nearest node; ties go to the smallest id."""
     return nearest_join(points, nodes, cell, "node_id")
 

@@ -66,22 +66,18 @@ def viewports(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(VIEWPORTS, "vp_id int, w int, h int, cx double, cy double, scale double")
 
 
-def requests(spark: SparkSession, sf_dir: str, n: int = 400, below: int | None = None) -> DataFrame:
-    """Route requests between node numbers below n, from all orders, with one to the same node (-1) and one to an unknown node (-2).
-
-    With `below` only from orders with smaller keys, as in the SQL, which numbers the two 100000 and 100001; orders of sf0.1 have these keys too.
-    """
+def requests(spark: SparkSession, sf_dir: str, n: int = 400) -> DataFrame:
+    """Route requests between node numbers below n, from all orders, with one to the same node (-1) and one to an unknown node (-2)."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    o = (o if below is None else o.filter(F.col("o_orderkey") < below)).select(F.col("o_orderkey").cast("long").alias("request_id"), (F.col("o_orderkey") * 7 % n).cast("long").alias("src"), (F.col("o_custkey") % n).cast("long").alias("dst"))
-    same, unknown = (-1, -2) if below is None else (100000, 100001)
-    return o.unionByName(spark.createDataFrame([(same, 5, 5), (unknown, 5, 9999)], "request_id long, src long, dst long"))
+    o = o.select(F.col("o_orderkey").cast("long").alias("request_id"), (F.col("o_orderkey") * 7 % n).cast("long").alias("src"), (F.col("o_custkey") % n).cast("long").alias("dst"))
+    return o.unionByName(spark.createDataFrame([(-1, 5, 5), (-2, 5, 9999)], "request_id long, src long, dst long"))
 
 
-def irregular_graph(spark: SparkSession, sf_dir: str, below: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges from all of lineitem, or as in the SQL from rows with smaller l_orderkey than `below`."""
+def irregular_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes, and edges from all of lineitem."""
     nodes = spark.range(300).select(F.col("id").alias("node_id"), (F.col("id") * 37 % 1001).cast("double").alias("x"), (F.col("id") * 91 % 1001).cast("double").alias("y"))
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    li = (li if below is None else li.filter(F.col("l_orderkey") < below)).select((F.col("l_partkey") % 300).cast("long").alias("src"), (F.col("l_orderkey") % 300).cast("long").alias("dst"), "l_quantity").filter("src <> dst")
+    li = li.select((F.col("l_partkey") % 300).cast("long").alias("src"), (F.col("l_orderkey") % 300).cast("long").alias("dst"), "l_quantity").filter("src <> dst")
     # Parallel edges differ by l_quantity alone; the smallest of each pair is taken before coordinates are joined.
     li = li.groupBy("src", "dst").agg(F.min("l_quantity").alias("l_quantity"))
     at = lambda s: nodes.select(F.col("node_id").alias(s), F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y"))
@@ -108,7 +104,7 @@ pq AS (SELECT s_suppkey::BIGINT AS query_id, (s_suppkey * 37 % 1001)::DOUBLE AS
 vp AS (SELECT *, cx - w / 2 / scale AS min_x, cy - h / 2 / scale AS min_y, cx + w / 2 / scale AS max_x, cy + h / 2 / scale AS max_y FROM (VALUES {_values(VIEWPORTS)}) t(vp_id, w, h, cx, cy, scale)),
 gn AS (SELECT i AS node_id, (i % 20) * 50.0::DOUBLE AS x, (i // 20) * 50.0::DOUBLE AS y FROM range(400) t(i)),
 ge AS (SELECT i AS src, i + 1 AS dst FROM range(400) t(i) WHERE i % 20 < 19 UNION ALL SELECT i + 1, i FROM range(400) t(i) WHERE i % 20 < 19 UNION ALL SELECT i, i + 20 FROM range(380) t(i) UNION ALL SELECT i + 20, i FROM range(380) t(i)),
-rq AS (SELECT o_orderkey::BIGINT AS request_id, (o_orderkey * 7 % 400)::BIGINT AS src, (o_custkey % 400)::BIGINT AS dst FROM orders WHERE o_orderkey < 50 UNION ALL VALUES (100000, 5, 5), (100001, 5, 9999))
+rq AS (SELECT o_orderkey::BIGINT AS request_id, (o_orderkey * 7 % 400)::BIGINT AS src, (o_custkey % 400)::BIGINT AS dst FROM orders UNION ALL VALUES (-1, 5, 5), (-2, 5, 9999))
 """
 
 

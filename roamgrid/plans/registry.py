@@ -9,10 +9,12 @@ from ..operators import geofence, graph, spatial, state, summary
 from ..sources import frames, tables
 from ..streaming import streams
 from . import fixtures as fx
-from .cut import new_dir
+from .cut import cut, new_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: Corners of a box in order, for SQL.
+_CORNERS = "(0, min_x, min_y), (1, max_x, min_y), (2, max_x, max_y), (3, min_x, max_y)"
 CENTER = (400.0, 400.0, 600.0, 600.0)
 
 
@@ -173,12 +175,19 @@ def viewport_points(s, d):
     return spatial.viewport_points(latest(s, d), fx.viewports(s))
 
 
-_VERTICES = fx._values([(z, i, *map(float, v)) for z, p, _ in fx.ZONES for i, v in enumerate(p)])
+# A viewport of its own size and scale around each query point, and zones of the boxes beside the fixed ones.
+_VERTICES = f"SELECT zone_id, seq, vx, vy, min_x, min_y, max_x, max_y FROM z JOIN (VALUES {fx._values([(z, i, *map(float, v)) for z, p, _ in fx.ZONES for i, v in enumerate(p)])}) v(zone_id, seq, vx, vy) USING (zone_id) UNION ALL SELECT 'box ' || box_id, seq, t.x, t.y, min_x, min_y, max_x, max_y FROM boxes, LATERAL (VALUES {_CORNERS}) t(seq, x, y)"
 
 
-@query(f"SELECT vp_id, zone_id, seq, trunc((x - vp.min_x) * scale)::INT AS sx, trunc((y - vp.min_y) * scale)::INT AS sy FROM vp JOIN z ON NOT (vp.max_x < z.min_x OR z.max_x < vp.min_x OR vp.max_y < z.min_y OR z.max_y < vp.min_y) JOIN (VALUES {_VERTICES}) v(zone_id, seq, x, y) USING (zone_id)")
+@query(f"""
+, v0 AS (SELECT query_id AS vp_id, (100 + query_id % 7 * 50)::DOUBLE AS w, (100 + query_id % 5 * 50)::DOUBLE AS h, qx, qy, (1 + query_id % 3)::DOUBLE / 2 AS scale FROM pq),
+v1 AS (SELECT *, qx - w / 2 / scale AS ax, qy - h / 2 / scale AS ay, qx + w / 2 / scale AS ox, qy + h / 2 / scale AS oy FROM v0), vz AS ({_VERTICES})
+SELECT vp_id, zone_id, seq, trunc((vx - ax) * scale)::INT AS sx, trunc((vy - ay) * scale)::INT AS sy FROM v1 JOIN vz ON NOT (ox < min_x OR max_x < ax OR oy < min_y OR max_y < ay)""")
 def viewport_zones(s, d):
-    return spatial.viewport_zones(fx.zones(s), fx.viewports(s))
+    zones = fx.zones(s).unionByName(tables.box_zones(fx.boxes(s, d), F.concat(F.lit("box "), "box_id")))
+    q = F.col("query_id")
+    vps = fx.point_queries(s, d).select(q.alias("vp_id"), (100 + q % 7 * 50).cast("double").alias("w"), (100 + q % 5 * 50).cast("double").alias("h"), F.col("x").alias("cx"), F.col("y").alias("cy"), ((1 + q % 3) / 2).alias("scale"))
+    return spatial.viewport_zones(zones, vps)
 
 
 @query("SELECT count(*) AS n FROM latest WHERE x BETWEEN 0 AND 1000 AND y BETWEEN 0 AND 1000")
@@ -223,9 +232,9 @@ def relative_bar(s, d):
 
 
 @query("""
-, q AS (SELECT d, least(floor(x / (1000 / 2.0 ** d)), 2 ** d - 1)::BIGINT AS cx, least(floor(y / (1000 / 2.0 ** d)), 2 ** d - 1)::BIGINT AS cy FROM p, range(21) t(d)),
-c AS (SELECT d, cx, cy, count(*) AS n FROM q GROUP BY ALL),
-k AS (SELECT d + 1 AS d, 2 * cx + i AS cx, 2 * cy + j AS cy FROM c, range(2) a(i), range(2) b(j) WHERE n > 32 AND d < 20 UNION ALL VALUES (0, 0, 0))
+, q AS MATERIALIZED (SELECT d, least(floor(x / (1000 / 2.0 ** d)), 2 ** d - 1)::BIGINT AS cx, least(floor(y / (1000 / 2.0 ** d)), 2 ** d - 1)::BIGINT AS cy FROM p, range(21) t(d)),
+c AS MATERIALIZED (SELECT d, cx, cy, count(*) AS n FROM q GROUP BY ALL),
+k AS MATERIALIZED (SELECT d + 1 AS d, 2 * cx + i AS cx, 2 * cy + j AS cy FROM c, range(2) a(i), range(2) b(j) WHERE n > 32 AND d < 20 UNION ALL VALUES (0, 0, 0))
 SELECT k.d::INT AS depth, k.cx * (1000 / 2.0 ** k.d) AS min_x, k.cy * (1000 / 2.0 ** k.d) AS min_y, (k.cx + 1) * (1000 / 2.0 ** k.d) AS max_x, (k.cy + 1) * (1000 / 2.0 ** k.d) AS max_y, coalesce(n, 0) AS n
 FROM k LEFT JOIN c ON c.d = k.d AND c.cx = k.cx AND c.cy = k.cy WHERE coalesce(n, 0) <= 32 OR k.d = 20""")
 def quadtree_leaves(s, d):
@@ -257,20 +266,20 @@ _COST = "CASE WHEN dst < 400 THEN 50.0::DOUBLE * (abs(src % 20 - dst % 20) + abs
 
 @query(f"SELECT request_id, {_COST} AS total_cost, src = dst OR dst < 400 AS found FROM rq")
 def shortest_path_cost(s, d):
-    return graph.shortest_path_cost(fx.requests(s, d, below=50), *grid(s))
+    return graph.shortest_path_cost(fx.requests(s, d), *grid(s))
 
 
 @query("""
 , nd AS (SELECT i AS node_id, (i * 37 % 1001)::DOUBLE AS x, (i * 91 % 1001)::DOUBLE AS y FROM range(300) t(i)),
-li AS (SELECT l_partkey % 300 AS src, l_orderkey % 300 AS dst, l_quantity FROM lineitem WHERE l_orderkey < 1000),
+li AS (SELECT l_partkey % 300 AS src, l_orderkey % 300 AS dst, l_quantity FROM lineitem),
 ie AS (SELECT src, dst, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) + l_quantity) AS w FROM li JOIN nd a ON a.node_id = src JOIN nd b ON b.node_id = dst WHERE src <> dst GROUP BY src, dst),
-r3 AS (SELECT o_orderkey::BIGINT AS request_id, (o_orderkey * 7 % 300)::BIGINT AS src, (o_custkey % 300)::BIGINT AS dst FROM orders WHERE o_orderkey < 50 UNION ALL VALUES (100000, 5, 5), (100001, 5, 9999)),
+r3 AS (SELECT o_orderkey::BIGINT AS request_id, (o_orderkey * 7 % 300)::BIGINT AS src, (o_custkey % 300)::BIGINT AS dst FROM orders UNION ALL VALUES (-1, 5, 5), (-2, 5, 9999)),
 b AS (SELECT DISTINCT src AS source, src AS node, 0.0::DOUBLE AS dist, 0 AS hop FROM r3 UNION ALL
       SELECT source, node, min(dist), hop FROM (SELECT b.source, ie.dst AS node, b.dist + ie.w AS dist, b.hop + 1 AS hop FROM b JOIN ie ON ie.src = b.node WHERE b.hop < 14) GROUP BY source, node, hop),
 m AS (SELECT source, node, min(dist) AS dist FROM b GROUP BY source, node)
 SELECT request_id, round(CASE WHEN src = dst THEN 0 ELSE coalesce(dist, 0) END, 6) AS total_cost, src = dst OR dist IS NOT NULL AS found FROM r3 LEFT JOIN m ON m.source = src AND m.node = dst""")
 def shortest_path_irregular(s, d):
-    cost = graph.shortest_path_cost(fx.requests(s, d, 300, below=50), *fx.irregular_graph(s, d, below=1000))
+    cost = graph.shortest_path_cost(fx.requests(s, d, 300), *fx.irregular_graph(s, d))
     return cost.withColumn("total_cost", F.round("total_cost", 6))
 
 
@@ -285,7 +294,7 @@ pn AS (SELECT request_id, (len - k)::INT AS seq, (dr + CASE WHEN sr > dr THEN kr
 
 @query(f"{_PATH} SELECT * FROM pn")
 def shortest_path_nodes(s, d):
-    return graph.shortest_path_nodes(fx.requests(s, d, below=50), *grid(s))
+    return graph.shortest_path_nodes(fx.requests(s, d), *grid(s))
 
 
 @query(f"{_PATH}, nx AS (SELECT *, lead(node_id) OVER (PARTITION BY request_id ORDER BY seq) AS nxt FROM pn) SELECT request_id, seq, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM nx JOIN gn a ON a.node_id = nx.node_id JOIN gn b ON b.node_id = nxt")
@@ -297,88 +306,163 @@ def _snap(name: str, points: str) -> str:
     return f"{name} AS (SELECT query_id, node_id FROM (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY {_D2}, node_id) AS rn FROM ({points}) q, gn) WHERE rn = 1)"
 
 
-_FROM, _TO = "SELECT query_id, qx, qy FROM pq WHERE query_id <= 20", "SELECT query_id, 1000 - qx AS qx, qy / 2 AS qy FROM pq WHERE query_id <= 20"
+_FROM, _TO = "SELECT query_id, qx, qy FROM pq", "SELECT query_id, 1000 - qx AS qx, qy / 2 AS qy FROM pq"
 
 
 @query(f", {_snap('a', _FROM)}, {_snap('b', _TO)} SELECT query_id AS request_id, a.node_id AS src, b.node_id AS dst, 50.0::DOUBLE * (abs(a.node_id % 20 - b.node_id % 20) + abs(a.node_id // 20 - b.node_id // 20)) AS total_cost, true AS found FROM a JOIN b USING (query_id)")
 def route(s, d):
-    """Routes for the first twenty query points, a fixed number of requests."""
-    return _routes(s, fx.point_queries(s, d).filter("query_id <= 20"))
-
-
-def _routes(s, q):
+    q = fx.point_queries(s, d)
     return graph.route(q.select(F.col("query_id").alias("request_id"), "x", "y", (1000 - F.col("x")).alias("dest_x"), (F.col("y") / 2).alias("dest_y")), *grid(s))
 
 
-# The five queries above are cut to few requests and edges by their SQL; these take all rows. Tests compare them with brute force.
-@query()
-def shortest_path_cost_all(s, d):
-    return graph.shortest_path_cost(fx.requests(s, d), *grid(s))
+# The names under which the routing queries over whole tables were registered at first.
+for _name in ("shortest_path_cost", "shortest_path_irregular", "shortest_path_nodes", "route_segments", "route"):
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
 
 
-@query()
-def shortest_path_irregular_all(s, d):
-    return graph.shortest_path_cost(fx.requests(s, d, 300), *fx.irregular_graph(s, d)).withColumn("total_cost", F.round("total_cost", 6))
-
+@query("SELECT vehicle_id, x, y, ts_ms FROM p")
+def frames_roundtrip(s, d):
+    return frames.decode_frames(frames.encode_frames(fx.positions(s, d)))
 
-@query()
-def shortest_path_nodes_all(s, d):
-    return graph.shortest_path_nodes(fx.requests(s, d), *grid(s))
 
+#: Batches of the streams, of one file for each ROWS updates; the stream is stopped and started again after the first few.
+FILES, FIRST, ROWS = 6, 3, 1_000_000
 
-@query()
-def route_segments_all(s, d):
-    return graph.route_segments(shortest_path_nodes_all(s, d), grid(s)[0])
 
+def _key(c="event_id"):
+    """Which batch an update lies in: by time, but every 50th comes one batch later than its time."""
+    return F.least(F.col("age") + F.when(F.col(c) % 50 == 7, 1).otherwise(0), F.lit(FILES - 1))
 
-@query()
-def route_all(s, d):
-    return _routes(s, fx.point_queries(s, d))
 
+_AGE = f"least((ts_ms - lo) * {FILES} // (hi - lo + 1), {FILES - 1})"
+#: SQL for positions with the number of their file.
+_FILED = f"lim AS (SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM pr), fp AS (SELECT p.*, least({_AGE} + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END, {FILES - 1}) AS part FROM p, lim)"
 
-@query("SELECT vehicle_id, x, y, ts_ms FROM p")
-def frames_roundtrip(s, d):
-    return frames.decode_frames(frames.encode_frames(fx.positions(s, d)))
 
+def _stream(s, d, start):
+    """All raw updates through start(stream of valid positions), a writer that ends when all files are read.
 
-def _stream(s, d):
-    """positions as a stream over files in which updates stand in order of time."""
-    path = new_dir(s, "stream-in")
-    fx.positions(s, d).repartitionByRange(3, "ts_ms", "event_id").sortWithinPartitions("ts_ms", "event_id").write.parquet(path)
-    return tables.read_position_stream(s, path, 10)
+    Batches arrive one by one and are read one by one; after FIRST of them the stream ends and goes on
+    from its checkpoint when all are there. Some updates come a batch later than their time.
+    """
+    path, state = new_dir(s, "stream-in"), new_dir(s, "stream-state")
+    raw = fx.positions_raw(s, d)
+    span = raw.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi")).first()
+    if span["lo"] is None:
+        span = {"lo": 0, "hi": 0}
+    files = max(1, raw.count() // (FILES * ROWS))  # of each batch
+    dealt = cut(raw.withColumn("age", F.least(F.expr(f"(ts_ms - {span['lo']}) * {FILES} div {span['hi'] - span['lo'] + 1}"), F.lit(FILES - 1))).withColumn("part", _key()))
+    for k in range(FILES):
+        rows = dealt.filter(F.col("part") == k).select("event_id", "vehicle_id", "ts_ms", "x", "y")
+        rows.repartition(files).write.mode("append").parquet(path)
+        if k in (FIRST - 1, FILES - 1):
+            start(expr.validate_updates(tables.read_position_stream(s, path, files)), state)
 
 
-def _run(writer, s):
-    q = writer.option("checkpointLocation", new_dir(s, "stream-state")).trigger(availableNow=True).start()
-    q.awaitTermination()
+def _run(writer, state):
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 @query("SELECT * FROM latest")
 def stream_latest(s, d):
     path = new_dir(s, "snapshots")
-    streams.write_snapshots(_stream(s, d), path, new_dir(s, "stream-state"), {"availableNow": True}).awaitTermination()
-    return streams.read_snapshot(s, path, streams.SNAPSHOT).select("vehicle_id", "x", "y", "ts_ms")
+    _stream(s, d, lambda stream, state: streams.write_snapshots(stream, path, state, {"availableNow": True}, publish_max_rows=50, compact_every=4).awaitTermination())
+    streams.publish(s, path)
+    return streams.read_snapshot(s, path).select("vehicle_id", "x", "y", "ts_ms")
 
 
-@query(", " + _transitions("p", "ts_ms, event_id"))
+def _zone_events(s, d, write):
+    zones = [{"zone_id": z, "polygon": p, "box": tuple(map(float, b))} for z, p, b in fx.ZONES]
+    _stream(s, d, lambda stream, state: write(streams.zone_event_stream(stream, zones), state))
+
+
+# Of a vehicle's updates those count that aren't older than the newest of the files before.
+_ON_TIME = f", {_FILED}, nw AS (SELECT vehicle_id, part, max(ts_ms::HUGEINT * 10000000000 + event_id) AS newest FROM fp GROUP BY ALL), bf AS (SELECT vehicle_id, part, max(newest) OVER (PARTITION BY vehicle_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM nw), ot AS (SELECT fp.* FROM fp JOIN bf USING (vehicle_id, part) WHERE before IS NULL OR ts_ms::HUGEINT * 10000000000 + event_id >= before), "
+
+
+@query(_ON_TIME + _transitions("ot", "ts_ms, event_id"))
 def stream_zone_events(s, d):
     path = new_dir(s, "stream-out")
-    zones = [{"zone_id": z, "polygon": p, "box": tuple(map(float, b))} for z, p, b in fx.ZONES]
-    _run(streams.zone_event_stream(_stream(s, d), zones).writeStream.format("parquet").option("path", path).outputMode("append"), s)
+    _zone_events(s, d, lambda events, state: _run(events.writeStream.format("parquet").option("path", path).outputMode("append"), state))
     return s.read.schema("vehicle_id long, zone_id string, event_type string, ts_ms long").parquet(path)
 
 
+@query(_ON_TIME + "g0 AS (SELECT * FROM (WITH " + _transitions("ot", "ts_ms, event_id") + ")) SELECT 'ALERT: Vehicle ' || vehicle_id || ' ' || event_type || ' zone ' || zone_id AS line FROM g0")
+def stream_alert_lines(s, d):
+    path = new_dir(s, "stream-out")
+    _zone_events(s, d, lambda events, state: streams.write_alert_stream(events, path, state, {"availableNow": True}).awaitTermination())
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
 @query(_RATE)
 def stream_update_rate(s, d):
     path = new_dir(s, "stream-out")
     keep = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-    _run(streams.update_rate_stream(_stream(s, d), "1 minute", late="3650 days").writeStream.outputMode("update").foreachBatch(keep), s)
+    _stream(s, d, lambda stream, state: _run(streams.update_rate_stream(stream, "1 minute", late="3650 days").writeStream.outputMode("update").foreachBatch(keep), state))
     # A window that several batches changed counts as it was last.
     rows = s.read.schema("window_ms long, shard long, n long, batch long").parquet(path)
     return rows.groupBy("window_ms", "shard").agg(F.max_by("n", "batch").alias("n"))
 
 
-@query()
+@query("SELECT event_id, vehicle_id, ts_ms, x, y FROM p")
+def read_positions(s, d):
+    path = new_dir(s, "positions")
+    fx.positions(s, d).select("event_id", "vehicle_id", "ts_ms", "x", "y").write.parquet(path)
+    return tables.read_positions(s, path)
+
+
+
+
+@query(f"SELECT 'box ' || box_id AS zone_id, seq, t.x, t.y, min_x, max_y FROM boxes, LATERAL (VALUES {_CORNERS}) t(seq, x, y)")
+def read_zones(s, d):
+    """Zones of the boxes' corners, written as JSON and read back."""
+    path = new_dir(s, "zones")
+    tables.box_zones(fx.boxes(s, d), F.concat(F.lit("box "), "box_id")).write.json(path)
+    return tables.read_zones(s, path).select("zone_id", F.posexplode("polygon").alias("seq", "v"), "min_x", "max_y").select("zone_id", "seq", "v.x", "v.y", "min_x", "max_y")
+
+
+@query("""
+, e AS (SELECT l_partkey % 300 AS src, l_orderkey % 330 AS dst, l_quantity AS weight FROM lineitem),
+g AS (SELECT * FROM e WHERE dst < 300)
+SELECT src, dst, weight, (src * 37 % 1001)::DOUBLE AS x, (src * 91 % 1001)::DOUBLE AS y, (SELECT count(*) FROM e) - (SELECT count(*) FROM g) AS dangling FROM g""")
+def read_graph(s, d):
+    """Edges with the place of their start; each node was written twice, wrong at first."""
+    nodes, edges = new_dir(s, "nodes"), new_dir(s, "edges")
+    n = s.range(300).select(F.col("id").alias("node_id"), (F.col("id") * 37 % 1001).cast("double").alias("x"), (F.col("id") * 91 % 1001).cast("double").alias("y"))
+    n.withColumn("x", F.col("x") + 5000).withColumn("round", F.lit(0)).unionByName(n.withColumn("round", F.lit(1))).coalesce(1).sortWithinPartitions("round").drop("round").write.parquet(nodes)
+    li = s.read.parquet(f"{d}/lineitem.parquet")
+    li.select((F.col("l_partkey") % 300).cast("long").alias("src"), (F.col("l_orderkey") % 330).cast("long").alias("dst"), F.col("l_quantity").alias("weight")).write.parquet(edges)
+    n, e, dangling = tables.read_graph(s, nodes, edges)
+    return e.join(n.withColumnRenamed("node_id", "src"), "src").join(F.broadcast(dangling)).select("src", "dst", "weight", "x", "y", "dangling")
+
+
+_QUAD = "least(floor({0} / (1000 / 256.0)), 255)::BIGINT"
+
+
+@query(f"SELECT event_id, (SELECT string_agg(((1 - ({_QUAD.format('y')} >> (8 - i)) % 2) * 2 + ({_QUAD.format('x')} >> (8 - i)) % 2)::VARCHAR, '' ORDER BY i) FROM range(1, 9) t(i)) AS quad_key FROM p")
+def quad_keys(s, d):
+    return fx.positions(s, d).select("event_id", expr.quad_key("x", "y", depth=8).alias("quad_key"))
+
+
+@query("SELECT vp_id, vehicle_id, (sx / scale + min_x)::DOUBLE AS x, (sy / scale + min_y)::DOUBLE AS y FROM (SELECT *, trunc((x - min_x) * scale)::INT AS sx, trunc((y - min_y) * scale)::INT AS sy FROM latest JOIN vp ON x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y) WHERE sx >= 0 AND sx < w AND sy >= 0 AND sy < h")
+def screen_to_world(s, d):
+    """Where on the map the pixels of viewport_points lie."""
+    vps = fx.viewports(s).select("vp_id", "scale", *expr.viewport_box("w", "h", "cx", "cy", "scale"))
+    return viewport_points(s, d).join(vps, "vp_id").select("vp_id", "vehicle_id", *expr.to_world("sx", "sy", "min_x", "min_y", "scale"))
+
+
+@query("SELECT vehicle_id, printf('Vehicle %d: (%.1f, %.1f)', vehicle_id, x, y) AS line FROM latest")
+def vehicle_lines(s, d):
+    return latest(s, d).select("vehicle_id", expr.vehicle_line().alias("line"))
+
+
+@query(f"SELECT query_id, printf('Vehicle %d: (%.1f, %.1f) dist %.2f', vehicle_id, x, y, sqrt(d2)) AS line FROM (SELECT *, {_D2} AS d2, row_number() OVER (PARTITION BY query_id ORDER BY {_D2}, vehicle_id) AS rn FROM pq, latest) WHERE rn = 1 AND sqrt(d2) < 50")
+def pick_lines(s, d):
+    return pick_vehicle(s, d).select("query_id", expr.pick_line().alias("line"))
+
+
+@query(f"""{_LAT}, m AS (SELECT grp, count(*) / nullif((max(ts_ms) - min(ts_ms)) / 1000, 0) AS throughput, quantile_disc(ns, 0.5) / 1e6 AS p50, quantile_disc(ns, 0.95) / 1e6 AS p95, quantile_disc(ns, 0.99) / 1e6 AS p99, sum(ns)::BIGINT / count(ns) / 1e6 AS mean FROM l GROUP BY grp)
+SELECT grp AS name, printf('%.1f', throughput)::DOUBLE AS throughput, {", ".join(f"printf('%.2f', {c})::DOUBLE AS {c}" for c in ("p50", "p95", "p99", "mean"))} FROM m""")
 def summary_csv(s, d):
     path = new_dir(s, "summary")
     f = fx.latencies(s, d)

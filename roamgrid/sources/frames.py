@@ -2,25 +2,44 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed layout of a frame.
 FRAME = np.dtype([("vehicle_id", ">i8"), ("x", ">f8"), ("y", ">f8"), ("ts_ms", ">i8")])
 
 
+def read_frame_files(spark: SparkSession, path: str, part: int = 1 << 25) -> DataFrame:
+    """S3: captured files, however large, as rows(path, content): ranges of `part` bytes (a multiple of
+    a frame), each read by its own task through Hadoop's reader of fixed-length records.
+    """
+    size = FRAME.itemsize
+    records = spark.sparkContext.binaryRecords(path, size).mapPartitions(lambda it: _joined(it, part // size))
+    return spark.createDataFrame(records, "content binary")
+
+
+def _joined(records, n):
+    while chunk := list(islice(records, n)):
+        yield (bytearray(b"".join(chunk)),)
+
+
 def decode_frames(df: DataFrame, col: str = "content") -> DataFrame:
-    """S3: all whole frames of a binary column (files, Kafka values); a trailing part of a frame is left out."""
+    """S3: all whole frames of a binary column (files, Kafka values); a trailing part of a frame is left out.
+
+    The values of a batch are joined and decoded at once."""
+    size = FRAME.itemsize
 
     def run(batches):
-        for pdf in batches:
-            for data in pdf[col]:
-                if data is not None:
-                    a = np.frombuffer(data, FRAME, len(data) // FRAME.itemsize)
-                    yield pd.DataFrame({n: a[n].astype(a[n].dtype.newbyteorder("=")) for n in FRAME.names})
+        for batch in batches:
+            whole = [v[: len(v) // size * size] for v in batch.column(0).to_pylist() if v]
+            a = np.frombuffer(b"".join(whole), FRAME)
+            yield pa.RecordBatch.from_arrays([pa.array(a[n].astype(a[n].dtype.newbyteorder("="))) for n in FRAME.names], names=list(FRAME.names))
 
-    return df.select(col).mapInPandas(run, "vehicle_id long, x double, y double, ts_ms long")
+    return df.select(col).mapInArrow(run, "vehicle_id long, x double, y double, ts_ms long")
 
 
 def encode_frames(df: DataFrame) -> DataFrame:

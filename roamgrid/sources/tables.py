@@ -36,6 +36,13 @@ def zones_of(spark: SparkSession, rows: list[tuple[str, list, tuple]]) -> DataFr
     return spark.createDataFrame([(z, [tuple(map(float, v)) for v in p], *map(float, b)) for z, p, b in rows], ZONES)
 
 
+def box_zones(boxes: DataFrame, zone_id) -> DataFrame:
+    """Zones from boxes(min_x to max_y): their corners as polygon."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    corners = F.array(corner("min_x", "min_y"), corner("max_x", "min_y"), corner("max_x", "max_y"), corner("min_x", "max_y"))
+    return boxes.select(zone_id.alias("zone_id"), corners.alias("polygon"), "min_x", "min_y", "max_x", "max_y")
+
+
 def demo_zones(spark: SparkSession) -> DataFrame:
     """The two fixed zones of the demonstration."""
     return zones_of(spark, [("center", square(400, 600), (400, 400, 600, 600)), ("airport", square(800, 900), (800, 800, 900, 900))])
@@ -52,8 +59,10 @@ def road_grid(spark: SparkSession, cols: int, rows: int, spacing: float, id_offs
 
 
 def read_graph(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges between them, and one row with the number of edges left out. Nodes that repeat an id count once, with the largest (x, y)."""
-    n = spark.read.schema(NODES).parquet(nodes).groupBy("node_id").agg(F.max(F.struct("x", "y")).alias("p")).select("node_id", "p.*")
+    """Nodes, edges between them, and one row with the number of edges left out. Of rows that repeat
+    a node's id the last one counts, in the order of the files' names and of rows in a file."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index")
+    n = spark.read.schema(NODES).parquet(nodes).groupBy("node_id").agg(F.max_by(F.struct("x", "y"), place).alias("p")).select("node_id", "p.*")
     e = spark.read.schema(EDGES).parquet(edges)
     ids = n.select("node_id")
     good = e.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")

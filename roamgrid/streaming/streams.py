@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,67 +21,121 @@ def latest_position_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("vehicle_id").agg(last).select("vehicle_id", "p.*")
 
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+def _batches(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the batches that are whole under path/kind."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(f"{path}/{kind}")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    done = spark._jvm.org.apache.hadoop.fs.Path
     names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id=") and fs.exists(done(f"{path}/{n}/_SUCCESS")))
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch_id=") and fs.exists(hadoop(f"{path}/{kind}/{n}/_SUCCESS")))
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The snapshot published last, and no part of one that is being written."""
-    found = _batches(spark, path)
-    if not found:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/batch_id={found[-1]}")
+def _remove(spark: SparkSession, path: str, kind: str, batches: list[int]) -> None:
+    for b in batches:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/batch_id={b}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 SNAPSHOT = "vehicle_id long, x double, y double, ts_ms long, event_id long"
 
 
-def write_snapshots(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """After each batch the whole state is written under its own batch id; a batch that is
-    run again writes the same again. trigger: {"processingTime": ...} or {"availableNow": True};
-    rows per batch are bounded at the source."""
-
-    def publish(changed: DataFrame, batch: int) -> None:
+def _state(spark: SparkSession, path: str, upto: int) -> DataFrame:
+    """The state after batch `upto`: the newest whole base up to there and the changes after it."""
+    bases = [b for b in _batches(spark, path, "base") if b <= upto]
+    since = bases[-1] if bases else -1
+    parts = [f"{path}/base/batch_id={since}"] if bases else []
+    parts += [f"{path}/changes/batch_id={b}" for b in _batches(spark, path, "changes") if since < b <= upto]
+    rows = spark.read.schema(SNAPSHOT).parquet(*parts) if parts else spark.createDataFrame([], SNAPSHOT)
+    last = F.max_by(F.struct("x", "y", "ts_ms", "event_id"), F.struct("ts_ms", "event_id")).alias("p")
+    return rows.groupBy("vehicle_id").agg(last).select("vehicle_id", "p.*")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The snapshot published last, and nothing of batches after it or of one that is being written."""
+    found = _batches(spark, path, "published")
+    return _state(spark, path, found[-1] if found else -1)
+
+
+def publish(spark: SparkSession, path: str) -> None:
+    """Makes all whole batches visible now."""
+    if found := _batches(spark, path, "changes"):
+        spark.createDataFrame([(int(time.time() * 1000),)], "at_ms long").coalesce(1).write.mode("overwrite").parquet(f"{path}/published/batch_id={found[-1]}")
+
+
+def write_snapshots(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    *,
+    publish_max_rows: int = 1,
+    publish_interval: float = 0.0,
+    compact_every: int = 16,
+):
+    """Each batch writes the vehicles that it changed under its own batch id; a batch that is
+    run again writes the same again.
+
+    It becomes visible once at least publish_max_rows changed rows wait, or publish_interval seconds
+    have passed since the last time (0: only rows count); publish() does it at once, as for the
+    rest when the stream is stopped. Every compact_every batches the state is written whole as a new
+    base; bases and changes that only readers of older snapshots need are removed one base later.
+    trigger: {"processingTime": ...} or {"availableNow": True}; rows per batch are bounded at the source.
+    """
+
+    def step(changed: DataFrame, batch: int) -> None:
         spark = changed.sparkSession
-        before = [b for b in _batches(spark, path) if b < batch]
-        old = spark.read.schema(SNAPSHOT).parquet(f"{path}/batch_id={before[-1]}") if before else spark.createDataFrame([], SNAPSHOT)
-        last = F.max_by(F.struct("x", "y", "ts_ms", "event_id"), F.struct("ts_ms", "event_id")).alias("p")
-        new = old.unionByName(changed.select(*old.columns)).groupBy("vehicle_id").agg(last).select("vehicle_id", "p.*")
-        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch}")
-
-    return latest_position_stream(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "20 milliseconds"})).foreachBatch(publish).start()
+        changed.select("vehicle_id", "x", "y", "ts_ms", "event_id").write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch}")
+        shown = [b for b in _batches(spark, path, "published") if b < batch]
+        waiting = [b for b in _batches(spark, path, "changes") if b > (shown[-1] if shown else -1)]
+        rows = spark.read.schema(SNAPSHOT).parquet(*[f"{path}/changes/batch_id={b}" for b in waiting]).count()
+        due = False
+        if publish_interval and shown:
+            due = time.time() * 1000 - spark.read.schema("at_ms long").parquet(f"{path}/published/batch_id={shown[-1]}").first()["at_ms"] >= publish_interval * 1000
+        if rows >= publish_max_rows or due:
+            publish(spark, path)
+            _remove(spark, path, "published", shown[:-1])
+        if batch % compact_every == compact_every - 1:
+            _state(spark, path, batch).write.mode("overwrite").parquet(f"{path}/base/batch_id={batch}")
+            bases = _batches(spark, path, "base")
+            old = min(bases[-2] if len(bases) > 1 else -1, shown[-1] if shown else -1)
+            keep = max([b for b in bases if b <= old], default=-1)
+            _remove(spark, path, "base", [b for b in bases if b < keep])
+            _remove(spark, path, "changes", [b for b in _batches(spark, path, "changes") if b <= keep])
+
+    return latest_position_stream(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).foreachBatch(step).start()
 
 
 def zone_event_stream(stream: DataFrame, zones: list[dict]) -> DataFrame:
     """vehicle_id, zone_id, event_type, ts_ms. zones: zone_id, polygon [(x, y)], box; a bounded
     list that becomes part of the plan. For each vehicle the zones that it is in are its state; rows
     older than the state are left out."""
+    names = [z["zone_id"] for z in zones]
     inside = []
-    for z in zones:
+    for i, z in enumerate(zones):
         polygon = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in z["polygon"]])
-        inside.append(F.when(in_box("x", "y", *z["box"]) & point_in_polygon("x", "y", polygon), F.lit(z["zone_id"])))
+        inside.append(F.when(in_box("x", "y", *z["box"]) & point_in_polygon("x", "y", polygon), F.lit(i)))
     rows = stream.select("vehicle_id", "ts_ms", "event_id", F.filter(F.array(*inside), lambda v: v.isNotNull()).alias("zones"))
 
     def step(key, pdfs, state):
-        at, event, now = state.get if state.exists else (-(2**63), -(2**63), "")
-        now = set(filter(None, now.split("\x1f")))
-        out = []
-        for row in pd.concat(list(pdfs)).sort_values(["ts_ms", "event_id"]).itertuples():
-            if (row.ts_ms, row.event_id) < (at, event):
-                continue
-            new = set(row.zones)
-            out += [(key[0], z, "ENTER", row.ts_ms) for z in sorted(new - now)] + [(key[0], z, "EXIT", row.ts_ms) for z in sorted(now - new)]
-            at, event, now = row.ts_ms, row.event_id, new
-        state.update((int(at), int(event), "\x1f".join(sorted(now))))
-        yield pd.DataFrame(out, columns=["vehicle_id", "zone_id", "event_type", "ts_ms"])
-
-    return rows.groupBy("vehicle_id").applyInPandasWithState(step, "vehicle_id long, zone_id string, event_type string, ts_ms long", "ts_ms long, event_id long, zones string", "append", GroupStateTimeout.NoTimeout)
+        at, event, now = state.get if state.exists else (-(2**63), -(2**63), [])
+        pdf = pd.concat(list(pdfs)).sort_values(["ts_ms", "event_id"])
+        pdf = pdf[(pdf["ts_ms"] > at) | ((pdf["ts_ms"] == at) & (pdf["event_id"] >= event))]
+        if not len(pdf):
+            return
+        # Row 0 is the state; a change from one row to the next is an event of the later one.
+        member = np.zeros((len(pdf) + 1, len(names)), np.int8)
+        member[0, list(now)] = 1
+        size = pdf["zones"].map(len).to_numpy()
+        member[np.repeat(np.arange(1, len(pdf) + 1), size), np.concatenate([np.asarray(z, int) for z in pdf["zones"]])] = 1
+        turn = np.diff(member, axis=0)
+        row, zone = np.nonzero(turn)
+        ts = pdf["ts_ms"].to_numpy()
+        state.update((int(ts[-1]), int(pdf["event_id"].iloc[-1]), np.flatnonzero(member[-1]).tolist()))
+        yield pd.DataFrame({"vehicle_id": key[0], "zone_id": np.array(names, object)[zone], "event_type": np.where(turn[row, zone] > 0, "ENTER", "EXIT"), "ts_ms": ts[row]})
+
+    return rows.groupBy("vehicle_id").applyInPandasWithState(step, "vehicle_id long, zone_id string, event_type string, ts_ms long", "ts_ms long, event_id long, zones array<int>", "append", GroupStateTimeout.NoTimeout)
 
 
 def update_rate_stream(stream: DataFrame, width: str = "1 second", n: int = 2, late: str = "10 minutes") -> DataFrame:

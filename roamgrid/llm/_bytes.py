@@ -1,7 +1,12 @@
-"""Polynomial hashes of byte and word sequences with numpy, modulo 2**64."""
+"""Hashes of words, and polynomial hashes of byte and word sequences with numpy, modulo 2**64.
+
+Polynomial hashes modulo 2**64 have known collisions, so what they find equal is compared again by
+the operators: over the bytes themselves or by a cryptographic digest of them."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -9,9 +14,6 @@ _MASK = (1 << 64) - 1
 #: Odd base of the polynomial, and a random odd value for each byte, both drawn from a fixed seed.
 BASE = 0x9E3779B97F4A7C17
 _TABLE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-#: Bytes that separate words: space and \x09 to \x0D.
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -88,19 +90,31 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a text's bytes."""
-    solid = np.zeros(len(raw) + 2, np.int8)
-    solid[1:-1] = ~_IS_SPACE[raw]
-    turn = np.diff(solid)
-    return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+class _WordHashes(dict):
+    """BLAKE2b of words, 8 bytes, for words met lately."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_HASH_OF = _WordHashes()
+
+
+def words(raw: np.ndarray, lower: bool = False) -> list[bytes]:
+    """Words of a text's bytes: what space and \\x09 to \\x0D separate, with A-Z lower-cased on demand."""
+    data = raw.tobytes()
+    return (data.lower() if lower else data).split()  # of bytes, both look at ASCII only
 
 
-def word_hashes(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mixed hash, start and end of each word."""
-    a, b = word_spans(raw)
-    prefix = Prefix(byte_values(_LOWER[raw] if lower else raw))
-    return mix(prefix.span(a, b) + (b - a).astype(np.uint64)), a, b
+def word_hashes(raw: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A hash of each word; only words' own bytes enter it."""
+    all_ = words(raw, lower)
+    return np.fromiter(map(_HASH_OF.__getitem__, all_), np.uint64, len(all_))
 
 
 def texts(column):

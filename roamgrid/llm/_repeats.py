@@ -9,18 +9,21 @@ bytes or words) that also starts in a document with a smaller id.
    anchor per task.
 2. Anchors meet by key. Those with the same context as a smaller document's are settled; where
    contexts under one key differ, the smallest documents of each are looked at again.
-3. For these the units themselves are fetched, and each of their windows is compared.
+3. For these the units themselves are fetched, and each of their windows is compared by the
+   operator's own compare().
    Contexts of a hot key (many contexts in a sample of the documents) don't meet: their anchors are
    dealt by context, all that are not settled are looked at again, and of their windows a Spark
    groupBy gives the smallest document of each hash, which is joined back. The sample decides only
    the way a key takes; the result is the same either way.
-4. Spans are gathered per document and what they cover is taken out.
-
-Equality of contexts and windows is by 64-bit hash.
+4. What was found so far is equal by 64-bit hash. Matches of one document with another at one
+   distance are joined to spans, and each span is verified by BLAKE2b digests of the very texts at
+   both ends. If one fails (two texts with one hash), all is done again with other hashes.
+5. What verified spans cover is taken out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,13 +36,18 @@ from ._common import cut, join_with_hot, partitions
 
 U = np.uint64
 TOP = U(0xFFFFFFFFFFFFFFFF)
-_ANCHORS = "kind int, bucket int, doc binary, key binary, ctx binary, pos binary"
+_ANCHORS = "kind int, bucket int, doc binary, key binary, ctx binary, pos binary, reach binary"
+#: Kind 1: matches by hash; 2: anchors to be looked at again; 4: matches whose units were compared. spans holds MATCH records.
 _MARKS = "kind int, doc_id long, spans binary"
+#: Units pos - left to pos + right of a document equal those around `at` in document src.
+MATCH = np.dtype([("pos", "<i4"), ("at", "<i4"), ("src", "<i8"), ("left", "u1"), ("right", "u1")])
 #: Anchors that a task settles at a time.
 ANCHORS = 1_000_000
 #: A key is hot if one in SAMPLE documents leave it with more than HOT_CONTEXTS contexts: about 16,384 in all.
 SAMPLE = 32
 HOT_CONTEXTS = 512
+#: Hash functions that are tried before different texts with equal hashes are an error.
+SEEDS = 4
 
 
 def slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -62,19 +70,22 @@ def chosen(rank: np.ndarray, w: int) -> np.ndarray:
 
 
 class Finder:
-    """Units of a text, ranks of its possible anchors, and lengths.
+    """How an operator reads a text. All hashes depend on `seed`.
 
     units(raw): 64-bit values of the units. ranks(units): a rank for each start of `span` units,
     TOP where no anchor may be; among the window - span + 1 starts in a window one is less than TOP.
+    pieces(raw): a function from (a, b) to the bytes of units a to b, for digests.
+    codes(raw): shorter stand-ins of the units to ship, where compare() wants them.
+    compare(finder, contexts): matches among the windows of Contexts, and their kind.
     """
 
-    def __init__(self, units: Callable, ranks: Callable, window: int, span: int, codes: Callable | None = None, decode: Callable | None = None) -> None:
-        """codes(raw): shorter stand-ins of the units to ship, which decode() turns into units."""
-        self.units, self.ranks, self.window, self.span = units, ranks, window, span
-        self.codes, self.decode = codes, decode
+    def __init__(self, units: Callable, ranks: Callable, window: int, span: int, pieces: Callable, compare: Callable, codes: Callable | None = None, seed: int = 0) -> None:
+        self.seed = U((seed * 0x9E3779B97F4A7C15 + (seed > 0)) & 0xFFFFFFFFFFFFFFFF)
+        self.units = (lambda raw: mix(units(raw) ^ self.seed)) if seed else units
+        self.ranks, self.window, self.span, self.pieces, self.compare, self.codes = ranks, window, span, pieces, compare, codes
 
     def anchors(self, raw: np.ndarray):
-        """pos, key, ctx of the anchors; None if the text has no window."""
+        """pos, key, ctx, left, right of the anchors; None if the text has no window."""
         values = self.units(raw)
         n = len(values)
         if n < self.window:
@@ -83,29 +94,37 @@ class Finder:
         prefix = Prefix(values)
         a, b = self.reach(pos, n)
         ctx = mix(prefix.span(a, b) + mix((pos - a).astype(np.uint64) * U(4096) + (b - pos).astype(np.uint64)))
-        return pos, mix(prefix.span(pos, pos + self.span)), ctx
+        return pos, mix(prefix.span(pos, pos + self.span)), ctx, pos - a, b - pos
 
     def reach(self, pos: np.ndarray, n: int):
         """The units that the windows around each anchor reach."""
         return np.maximum(pos + self.span - self.window, 0), np.minimum(pos + self.window, n)
 
 
-def _settle(key, ctx, doc, pos):
-    """Splits anchors into those whose (key, ctx) a smaller document has, and the rest, sorted by key, ctx, doc."""
+def _settle(key, ctx, doc, pos, left, right):
+    """Anchors sorted by key, ctx, doc, pos; which of them have a (key, ctx) that a smaller document has; and these as matches."""
     order = np.lexsort((pos, doc, ctx, key))
-    key, ctx, doc, pos = key[order], ctx[order], doc[order], pos[order]
+    key, ctx, doc, pos, left, right = (x[order] for x in (key, ctx, doc, pos, left, right))
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])
-    first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else doc
-    return (key, ctx, doc, pos), doc > first
+    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, int)
+    done = doc > doc[first]
+    return (key, ctx, doc, pos, left, right), done, matches(pos[done], pos[first[done]], doc[first[done]], left[done], right[done])
+
+
+def matches(pos, at, src, left, right) -> np.ndarray:
+    out = np.empty(len(pos), MATCH)
+    for name, value in (("pos", pos), ("at", at), ("src", src), ("left", left), ("right", right)):
+        out[name] = value
+    return out
 
 
-def _by_doc(doc, pos):
-    """(doc_id, positions as bytes) for each document."""
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
+def _by_doc(doc, rows):
+    """(doc_id, matches as bytes) for each document."""
+    order = np.lexsort((rows["pos"], doc))
+    doc, rows = doc[order], rows[order]
     at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
-    return doc[at], [x.astype("<i4").tobytes() for x in np.split(pos, at[1:])] if len(doc) else []
+    return doc[at], [x.tobytes() for x in np.split(rows, at[1:])] if len(doc) else []
 
 
 def _batch(schema: str, **columns) -> pa.RecordBatch:
@@ -119,7 +138,7 @@ def _pairs(finder: Finder):
 
     def run(batches):
         for batch in batches:
-            found = [x[1:] for raw in texts(batch.column(0)) if (x := finder.anchors(raw)) is not None]
+            found = [x[1:3] for raw in texts(batch.column(0)) if (x := finder.anchors(raw)) is not None]
             if found:
                 pairs = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)]), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["key", "ctx"])
@@ -140,27 +159,28 @@ def _emit(finder: Finder, buckets: int, hot):
         held, size = [], 0
 
         def flush():
-            key, ctx, doc, pos = (np.concatenate([h[i] for h in held]) for i in range(4))
-            (key, ctx, doc, pos), done = _settle(key, ctx, doc, pos)
-            ids, spans = _by_doc(doc[done], pos[done])
+            (key, ctx, doc, pos, left, right), done, found = _settle(*(np.concatenate([h[i] for h in held]) for i in range(6)))
+            held.clear()
+            ids, spans = _by_doc(doc[done], found)
             if len(ids):  # settled here: they pass through
-                yield _batch(_ANCHORS, kind=[1] * len(ids), bucket=(ids % buckets).astype(np.int32), doc=[np.int64(i).tobytes() for i in ids], key=[b""] * len(ids), ctx=[b""] * len(ids), pos=spans)
-            key, ctx, doc, pos = key[~done], ctx[~done], doc[~done], pos[~done]
+                none = [b""] * len(ids)
+                yield _batch(_ANCHORS, kind=[1] * len(ids), bucket=(ids % buckets).astype(np.int32), doc=[np.int64(i).tobytes() for i in ids], key=none, ctx=none, pos=spans, reach=none)
+            key, ctx, doc, pos, left, right = (x[~done] for x in (key, ctx, doc, pos, left, right))
             # Hot keys are dealt by context.
             bucket = ((np.where(np.isin(key, hot.value), mix(key ^ ctx), key) >> U(32)) % U(buckets)).astype(np.int32)
             # In each bucket by document, so that ids and places compress well.
             order = np.lexsort((pos, doc, bucket))
-            key, ctx, doc, pos, bucket = key[order], ctx[order], doc[order], pos[order], bucket[order]
+            key, ctx, doc, pos, bucket, left, right = (x[order] for x in (key, ctx, doc, pos, bucket, left, right))
             at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
             cut_up = lambda x, kind: [y.astype(kind).tobytes() for y in np.split(x, at[1:])] if len(at) else []
-            yield _batch(_ANCHORS, kind=[0] * len(at), bucket=bucket[at], doc=cut_up(doc, "<i8"), key=cut_up(key & U(0xFFFFFFFF), "<u4"), ctx=cut_up(ctx, "<u8"), pos=cut_up(pos, "<i4"))
-            held.clear()
+            reach = cut_up(np.stack([left, right], axis=1), "u1")
+            yield _batch(_ANCHORS, kind=[0] * len(at), bucket=bucket[at], doc=cut_up(doc, "<i8"), key=cut_up(key & U(0xFFFFFFFF), "<u4"), ctx=cut_up(ctx, "<u8"), pos=cut_up(pos, "<i4"), reach=reach)
 
         for batch in batches:
             for doc_id, raw in zip(batch.column(0).to_numpy(zero_copy_only=False), texts(batch.column(1)), strict=True):
                 if (found := finder.anchors(raw)) is not None and len(found[0]):
-                    pos, key, ctx = found
-                    held.append((key, ctx, np.full(len(pos), doc_id, np.int64), pos.astype(np.int64)))
+                    pos, key, ctx, left, right = found
+                    held.append((key, ctx, np.full(len(pos), doc_id, np.int64), pos.astype(np.int32), left.astype(np.uint8), right.astype(np.uint8)))
                     size += len(pos)
                     if size >= ANCHORS:
                         yield from flush()
@@ -178,9 +198,10 @@ def _meet(hot):
         kind = table.column("kind").to_numpy()
         pick = table.filter(pa.array(kind == 0))
         join = lambda c, t: np.frombuffer(b"".join(pick.column(c).to_pylist()), t)
-        (key, ctx, doc, pos), done = _settle(join("key", "<u4"), join("ctx", "<u8"), join("doc", "<i8"), join("pos", "<i4"))
-        ids, spans = _by_doc(doc[done], pos[done])
-        key, ctx, doc, pos = key[~done], ctx[~done], doc[~done], pos[~done]
+        reach = join("reach", "u1").reshape(-1, 2)
+        (key, ctx, doc, pos, left, right), done, found = _settle(join("key", "<u4"), join("ctx", "<u8"), join("doc", "<i8"), join("pos", "<i4"), reach[:, 0], reach[:, 1])
+        ids, spans = _by_doc(doc[done], found)
+        key, doc, pos, left, right = (x[~done] for x in (key, doc, pos, left, right))
         # Keys that still hold more than one document: their contexts differ.
         group = np.cumsum(np.r_[False, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
         if len(key):
@@ -190,7 +211,7 @@ def _meet(hot):
             several = np.zeros(0, bool)
         # The other contexts of a hot key are in other buckets. Other keys with its lower half are only looked at for nothing.
         several = several | np.isin(key, hot.value.astype(np.uint32))
-        more, again = _by_doc(doc[several], pos[several])
+        more, again = _by_doc(doc[several], matches(*(x[several] for x in (pos, pos, doc, left, right))))
         passed = table.filter(pa.array(kind == 1))
         kinds = [1] * (len(ids) + passed.num_rows) + [2] * len(more)
         docs = [*ids.tolist(), *(int.from_bytes(x, "little", signed=True) for x in passed.column("doc").to_pylist()), *more.tolist()]
@@ -206,7 +227,7 @@ def _contexts(finder: Finder, buckets: int, hot):
         for batch in batches:
             out = []
             for doc_id, raw, spots in zip(batch.column(0).to_numpy(zero_copy_only=False), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                pos = np.unique(np.frombuffer(b"".join(spots), "<i4")).astype(np.int64)
+                pos = np.unique(np.frombuffer(b"".join(spots), MATCH)["pos"]).astype(np.int64)
                 values = finder.units(raw)
                 key = mix(Prefix(values).span(pos, pos + finder.span))
                 rest = ~np.isin(key, hot.value)
@@ -245,7 +266,7 @@ def _windows(finder: Finder, hot):
         for batch in batches:
             rows = []
             for doc_id, raw, spots in zip(batch.column(0).to_numpy(zero_copy_only=False), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                pos = np.unique(np.frombuffer(b"".join(spots), "<i4")).astype(np.int64)
+                pos = np.unique(np.frombuffer(b"".join(spots), MATCH)["pos"]).astype(np.int64)
                 values = finder.units(raw)
                 prefix = Prefix(values)
                 key = mix(prefix.span(pos, pos + finder.span))
@@ -263,73 +284,147 @@ def _windows(finder: Finder, hot):
     return run
 
 
-def _marked(batches):
-    """(doc_id, start) to kind 3 marks."""
-    for batch in batches:
-        ids, starts = _by_doc(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-        yield _batch(_MARKS, kind=[3] * len(ids), doc_id=ids, spans=starts)
+def _marked(window: int):
+    """(doc_id, start, src, at) to matches of windows."""
+
+    def run(batches):
+        for batch in batches:
+            doc, start, src, at = (batch.column(i).to_numpy() for i in range(4))
+            ids, spans = _by_doc(doc, matches(start, at, src, 0, window))
+            yield _batch(_MARKS, kind=[1] * len(ids), doc_id=ids, spans=spans)
+
+    return run
 
 
 def _compare_hot(spots: DataFrame, finder: Finder, hot) -> DataFrame:
-    """The same as _compare for windows around anchors of hot keys, by groupBy and join over window hashes."""
+    """The same as compare() for windows around anchors of hot keys, by groupBy and join over window hashes."""
     windows = cut(spots.mapInArrow(_windows(finder, hot), "h long, doc_id long, start int"))
-    firsts = cut(windows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").select("h", "first", "n"))
-    later = join_with_hot(windows, firsts, "h", "n").filter("first < doc_id")
-    return later.select("doc_id", "start").mapInArrow(_marked, _MARKS)
+    firsts = windows.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = cut(firsts.filter("first.doc_id < last").select("h", F.col("first.doc_id").alias("src"), F.col("first.start").alias("at"), "n"))
+    later = join_with_hot(windows, firsts, "h", "n").filter("src < doc_id")
+    return later.select("doc_id", "start", "src", "at").mapInArrow(_marked(finder.window), _MARKS)
 
 
-def _compare(finder: Finder):
-    """Windows of the contexts of one bucket: those that a smaller document has, as kind 3 marks (starts of windows)."""
-    window, span = finder.window, finder.span
+class Contexts:
+    """Units around anchors that meet: for each its document, its place there, its key, and how many
+    units of `size` lie before it; `data` holds all units (or codes), `begin` where each context's start."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def __init__(self, table: pa.Table, kind: str) -> None:
         join = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-        doc, pos, key, left, size = join("doc", "<i8"), join("pos", "<i4").astype(np.int64), join("key", "<u8"), join("left", "<i2").astype(np.int64), join("size", "<i2").astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        prefix = Prefix(finder.decode(join("units", "u1")) if finder.decode else join("units", "<u8"))
-        got_doc, got_start = [], []
-        # One place of the window against the anchor at a time, so that memory stays at a few columns.
-        for back in range(window - span + 1):
-            a = left - back
-            ok = (a >= 0) & (a + window <= size)
-            if not ok.any():
-                continue
-            at = begin[ok] + a[ok]
-            h = mix(prefix.span(at, at + window) + key[ok])
-            d, s = doc[ok], pos[ok] - back
-            order = np.lexsort((d, h))
-            h, d, s = h[order], d[order], s[order]
-            first = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], np.arange(len(h)), 0))
-            later = d > d[first]
-            got_doc.append(d[later])
-            got_start.append(s[later])
-        ids, starts = _by_doc(np.concatenate(got_doc or [doc[:0]]), np.concatenate(got_start or [pos[:0]]))
-        return pa.Table.from_batches([_batch(_MARKS, kind=[3] * len(ids), doc_id=ids, spans=starts)])
+        self.doc, self.pos, self.key = join("doc", "<i8"), join("pos", "<i4").astype(np.int64), join("key", "<u8")
+        self.left, self.size = join("left", "<i2").astype(np.int64), join("size", "<i2").astype(np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)[:-1]]).astype(np.int64)
+        self.data = join("units", kind)
+
+
+def window_matches(contexts: Contexts, window: int, span: int, name: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and matches of windows that a smaller document has. name(back, at, rows): for windows that
+    start `back` units before the anchors of `rows`, at `at` in the data, numbers that are equal where
+    windows are. One place of the window against the anchor at a time, so that memory stays at a few columns."""
+    docs, found = [contexts.doc[:0]], [np.empty(0, MATCH)]
+    for back in range(window - span + 1):
+        a = contexts.left - back
+        rows = np.flatnonzero((a >= 0) & (a + window <= contexts.size))
+        if not len(rows):
+            continue
+        h = name(back, contexts.begin[rows] + a[rows], rows)
+        d, s = contexts.doc[rows], contexts.pos[rows] - back
+        order = np.lexsort((s, d, h))
+        h, d, s = h[order], d[order], s[order]
+        first = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], np.arange(len(h)), 0))
+        later = d > d[first]
+        docs.append(d[later])
+        found.append(matches(s[later], s[first[later]], d[first[later]], 0, window))
+    return np.concatenate(docs), np.concatenate(found)
+
+
+def compare_hashes(finder: Finder, contexts: Contexts):
+    """Windows are equal where their hashes are; still to be verified."""
+    prefix = Prefix(contexts.data)
+    return 1, *window_matches(contexts, finder.window, finder.span, lambda back, at, rows: mix(prefix.span(at, at + finder.window) + contexts.key[rows]))
+
+
+def _compare(finder: Finder):
+    def run(table: pa.Table) -> pa.Table:
+        kind, doc, found = finder.compare(finder, Contexts(table, "u1" if finder.codes else "<u8"))
+        ids, spans = _by_doc(doc, found)
+        return pa.Table.from_batches([_batch(_MARKS, kind=[kind] * len(ids), doc_id=ids, spans=spans)])
 
     return run
 
 
-def covered(finder: Finder, n: int, settled: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which of n units anchors that are settled and windows that start at `starts` cover."""
-    a, b = finder.reach(np.unique(settled).astype(np.int64), n)
-    s = np.unique(starts).astype(np.int64)
-    turn = np.bincount(np.r_[a, s], minlength=n + 1)[: n + 1] - np.bincount(np.r_[b, s + finder.window], minlength=n + 1)[: n + 1]
-    return np.cumsum(turn)[:n] > 0
+_SPANS = "kind int, doc_id long, a int, b int, src long, at int"
 
 
-def repeats(docs: DataFrame, finder: Finder, report: Callable, schema: str) -> DataFrame:
-    """docs(doc_id, text) to report(raw, mask of covered units or None) per row; it returns the
-    values of `schema`, which follow doc_id.
+def _joined(batches):
+    """(kind, doc_id, matches) to spans: what matches with one document at one distance cover, joined where they overlap or touch."""
+    for batch in batches:
+        out = []
+        for kind, doc_id, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            m = np.frombuffer(b"".join(rows), MATCH)
+            a, b, shift = m["pos"].astype(np.int64) - m["left"], m["pos"].astype(np.int64) + m["right"], m["at"].astype(np.int64) - m["pos"]
+            if kind == 4:  # verified: with which document doesn't matter any more
+                src, shift = np.full(len(m), doc_id), np.zeros(len(m), np.int64)
+            else:
+                src = m["src"]
+            order = np.lexsort((b, a, shift, src))
+            a, b, shift, src = a[order], b[order], shift[order], src[order]
+            other = np.r_[True, (src[1:] != src[:-1]) | (shift[1:] != shift[:-1])]
+            # The farthest end so far within (src, shift): ends are lifted by the group's number.
+            lift = np.cumsum(other) * (1 << 40)
+            far = np.maximum.accumulate(b + lift)
+            new = other | np.r_[True, a[1:] + lift[1:] > far[:-1]]
+            at = np.flatnonzero(new)
+            ends = np.maximum.reduceat(b, at)
+            out.append((np.full(len(at), kind, np.int32), np.full(len(at), doc_id, np.int64), a[at].astype(np.int32), ends.astype(np.int32), src[at].astype(np.int64), (a[at] + shift[at]).astype(np.int32)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=[x.split()[0] for x in _SPANS.split(", ")])
+
+
+def _digests(finder: Finder):
+    """(doc_id, text, parts) to the digest of each part (a, n) of the text's units."""
 
-    Null texts count as empty. Rows that repeat an id are taken to repeat its text, and don't count
-    as smaller than each other. Rows with a null id take no part: nothing of them is removed, and
-    they remove nothing. No rows in: no rows out.
-    """
-    n = 4 * partitions(docs.sparkSession)
-    # The same filter everywhere, so that the texts' exchange by id is made once and used twice.
-    known = docs.filter("doc_id is not null")
+    def run(batches):
+        for batch in batches:
+            out = {"doc_id": [], "a": [], "n": [], "digest": []}
+            for doc_id, raw, parts in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                piece = finder.pieces(raw)
+                for p in parts:
+                    out["doc_id"].append(doc_id)
+                    out["a"].append(p["a"])
+                    out["n"].append(p["n"])
+                    out["digest"].append(hashlib.blake2b(piece(p["a"], p["a"] + p["n"]), digest_size=16).digest())
+            yield _batch("doc_id long, a int, n int, digest binary", **out)
+
+    return run
+
+
+def _verified(spans: DataFrame, known: DataFrame, finder: Finder) -> DataFrame | None:
+    """Spans whose texts have the same digest at both ends, as (doc_id, a, b); None if the hashes of some were equal and the texts not."""
+    found = spans.filter("kind = 1").select("doc_id", "a", "b", "src", "at", (F.col("b") - F.col("a")).alias("n"))
+    asked = found.select("doc_id", "a", "n").unionByName(found.select(F.col("src").alias("doc_id"), F.col("at").alias("a"), "n")).distinct()
+    parts = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n")).alias("parts"))
+    # Rows that repeat an id are taken to repeat its text.
+    digests = known.join(parts, "doc_id").select("doc_id", "text", "parts").mapInArrow(_digests(finder), "doc_id long, a int, n int, digest binary")
+    digests = cut(digests.groupBy("doc_id", "a", "n").agg(F.min("digest").alias("digest")))
+    own = found.join(digests, ["doc_id", "a", "n"])
+    # One source may be that of a third of all spans: keys with many are joined by broadcast.
+    key = lambda *c: F.concat_ws(":", *c)
+    many = found.groupBy(key("src", "at", "n").alias("k")).agg(F.count(F.lit(1)).alias("rows"))
+    theirs = digests.select(key("doc_id", "a", "n").alias("k"), F.col("digest").alias("theirs")).join(many, "k")
+    both = join_with_hot(own.withColumn("k", key("src", "at", "n")), theirs, "k", "rows")
+    both = cut(both.select("doc_id", "a", "b", F.coalesce(F.col("digest") == F.col("theirs"), F.lit(False)).alias("same")))
+    if not both.filter("not same").isEmpty():
+        return None
+    return both.select("doc_id", "a", "b").unionByName(spans.filter("kind = 4").select("doc_id", "a", "b"))
+
+
+def _found(known: DataFrame, finder: Finder) -> DataFrame:
+    """Spans of all documents, by hash (kind 1) or compared (kind 4)."""
+    spark = known.sparkSession
+    n = 4 * partitions(spark)
     keys = hot_keys(known, finder)
-    hot = docs.sparkSession.sparkContext.broadcast(keys)
+    hot = spark.sparkContext.broadcast(keys)
     anchors = known.mapInArrow(_emit(finder, n, hot), _ANCHORS)
     marks = cut(anchors.groupBy("bucket").applyInArrow(_meet(hot), _MARKS))
     again = marks.filter("kind = 2").groupBy("doc_id").agg(F.collect_list("spans").alias("spots"))
@@ -337,26 +432,47 @@ def repeats(docs: DataFrame, finder: Finder, report: Callable, schema: str) -> D
     more = spots.mapInArrow(_contexts(finder, n, hot), _CONTEXTS).groupBy("bucket").applyInArrow(_compare(finder), _MARKS)
     if len(keys):
         more = more.unionByName(_compare_hot(spots, finder, hot))
-    spans = marks.filter("kind = 1").unionByName(more)
-    per_doc = spans.groupBy("doc_id").agg(
-        F.collect_list(F.when(F.col("kind") == 1, F.col("spans"))).alias("settled"),
-        F.collect_list(F.when(F.col("kind") == 3, F.col("spans"))).alias("starts"),
-    )
+    every = marks.filter("kind = 1").unionByName(more)
+    return cut(every.groupBy("kind", "doc_id").agg(F.collect_list("spans").alias("rows")).mapInArrow(_joined, _SPANS))
+
+
+def repeats(docs: DataFrame, finder: Callable[[int], Finder], report: Callable, schema: str) -> DataFrame:
+    """docs(doc_id, text) to report(raw, a, b) per row, where a and b hold the starts and ends of its
+    verified spans; it returns the values of `schema`, which follow doc_id. finder(seed) makes the finder.
+
+    Null texts count as empty. Rows that repeat an id are taken to repeat its text, and don't count
+    as smaller than each other. Rows with a null id take no part: nothing of them is removed, and
+    they remove nothing. No rows in: no rows out.
+    """
+    # The same filter everywhere, so that the texts' exchange by id is made once and used again.
+    known = docs.filter("doc_id is not null")
+    for seed in range(SEEDS):
+        with_seed = finder(seed)
+        spans = _verified(_found(known, with_seed), known, with_seed)
+        if spans is not None:
+            break
+    else:
+        raise RuntimeError(f"different texts with equal hashes for each of {SEEDS} hash functions")
+    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def last(batches):
         for batch in batches:
             rows = []
-            for doc_id, raw, settled, starts in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                mask = None
-                if settled or starts:
-                    mask = covered(finder, len(finder.units(raw)), np.frombuffer(b"".join(settled), "<i4"), np.frombuffer(b"".join(starts), "<i4"))
-                rows.append((doc_id, *report(raw, mask)))
+            for doc_id, raw, found in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2), strict=True):
+                pairs = found.values.flatten() if found.is_valid else None
+                a, b = (x.to_numpy(zero_copy_only=False) for x in pairs) if pairs is not None else (None, None)
+                rows.append((doc_id, *report(raw, a, b)))
             if rows:
                 yield _batch(full, **dict(zip(names, zip(*rows, strict=True), strict=True)))
 
     full = f"doc_id long, {schema}"
     names = [x.split()[0] for x in full.split(", ")]
-    none = F.array().cast("array<binary>")
-    rest = docs.filter("doc_id is null").select("doc_id", "text", none.alias("settled"), none.alias("starts"))
-    whole = known.join(per_doc, "doc_id", "left").select("doc_id", "text", "settled", "starts").unionByName(rest)
+    rest = docs.filter("doc_id is null").select("doc_id", "text", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
+    whole = known.join(per_doc, "doc_id", "left").select("doc_id", "text", "spans").unionByName(rest)
     return whole.mapInArrow(last, full)
+
+
+def covered(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of n units the spans a to b cover."""
+    turn = np.bincount(a, minlength=n + 1)[: n + 1] - np.bincount(b, minlength=n + 1)[: n + 1]
+    return np.cumsum(turn)[:n] > 0

@@ -17,17 +17,22 @@ in three steps, none of which loses a link:
    promising one of each set with each other component, which mostly joins them, then all that are left.
    Of the lists that two sets share the smallest gives the pair, so that a pair found by many shingles is few rows.
 
-Equal sets are one set throughout. Equality of shingles is by 64-bit hash (40 bits within a pair that is verified).
+Equal sets are one set throughout; they are told apart by BLAKE2b digests of their shingles' hashes, two
+for each set, and should two sets share one digest and not the other, all is done again with other digests.
+Candidates and bounds go by 64-bit hashes of shingles; a pair is verified on the words of both texts.
 """
 
 from __future__ import annotations
 
+import hashlib
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import gram_hashes, mix, texts, word_hashes
+from ._bytes import gram_hashes, mix, texts, word_hashes, words
 from ._common import cut, documents, join_with_hot, partitions
 from ._components import components
 from ._repeats import _batch
@@ -38,8 +43,10 @@ WORDS = 5
 PERCENT = 75
 #: Dimensions of the count vectors.
 GROUPS = 256
-#: Bytes of a shingle's hash that verification compares; two of one pair's some thousands agree by chance in one of 10**5 pairs, by one shingle.
-SHIPPED = 5
+#: Words of verified sets that a task keeps, about.
+HELD_WORDS = 500_000
+#: Digests that are tried before different sets with equal ones are an error.
+SEEDS = 4
 #: Lists up to this length give all their pairs.
 SHORT = 24
 #: A shingle is frequent if a task meets it in this many sets; so many of these are ordered last at most.
@@ -52,19 +59,18 @@ _SETS = "kind int, doc_id long, n long, set_id long, check long, counts binary"
 
 def shingles(raw: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; with fewer words, of the whole sequence."""
-    words = word_hashes(raw, lower=True)[0]
-    k = min(WORDS, len(words))
-    return np.unique(gram_hashes(words, k) + U(k)) if k else words
+    h = word_hashes(raw, lower=True)
+    k = min(WORDS, len(h))
+    return np.unique(gram_hashes(h, k) + U(k)) if k else h
 
 
-def identity(s: np.ndarray) -> tuple[int, int]:
-    """Two hashes of a set as signed 64-bit numbers."""
-    both = np.array([mix(s).sum(dtype=np.uint64) + U(len(s)), mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64)
-    a, b = mix(both).view(np.int64)
-    return int(a), int(b)
+def identity(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two digests of a set as signed 64-bit numbers."""
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16, salt=bytes([seed])).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _describe(batches):
+def _describe(batches, seed: int):
     """Kind 0: each document's set; kind 1: shingles that this task meets often (hash, count in n)."""
     held, size = [], 0
 
@@ -81,7 +87,7 @@ def _describe(batches):
         rows = []
         for doc_id, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
             s = shingles(raw)
-            rows.append((0, doc_id, len(s), *(identity(s) if len(s) else (0, 0)), count_vector(s).tobytes()))
+            rows.append((0, doc_id, len(s), *(identity(s, seed) if len(s) else (0, 0)), count_vector(s).tobytes()))
             held.append(s)
             size += len(s)
             if size > 3_000_000:
@@ -104,7 +110,7 @@ def prefix_lengths(n: int) -> tuple[int, int]:
     return longer, shorter
 
 
-def _post(buckets: int, frequent):
+def _post(buckets: int, frequent, seed: int):
     def run(batches):
         last, count = frequent.value
         known: set[int] = set()
@@ -127,7 +133,7 @@ def _post(buckets: int, frequent):
                 s = shingles(raw)
                 if not len(s):
                     continue
-                set_id = identity(s)[0]
+                set_id = identity(s, seed)[0]
                 if set_id in known:  # an equal set was here
                     continue
                 known.add(set_id)
@@ -217,19 +223,25 @@ def _counts(column) -> np.ndarray:
     return np.array([np.frombuffer(x, "<u2" if len(x) == 2 * GROUPS else "<u4") for x in rows]).reshape(-1, GROUPS).astype(np.int64)
 
 
-def _contents(batches):
-    """(set_id, text) to the set's hashes, cut to SHIPPED bytes; only where the text still has that set."""
-    for batch in batches:
-        sets = [shingles(raw) for raw in texts(batch.column(1))]
-        same = [len(s) > 0 and identity(s)[0] == i for s, i in zip(sets, batch.column(0).to_pylist(), strict=True)]
-        short = [mix(s).view(np.uint8).reshape(-1, 8)[:, :SHIPPED].tobytes() for s, ok in zip(sets, same, strict=True) if ok]
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same, pa.bool_())), pa.array(short, pa.binary())], names=["set_id", "hashes"])
+def _contents(seed: int):
+    """(set_id, text) to the text's words, lower-cased and joined by one space; only where the text still has that set."""
+
+    def run(batches):
+        for batch in batches:
+            raws = list(texts(batch.column(1)))
+            sets = [shingles(raw) for raw in raws]
+            same = [len(s) > 0 and identity(s, seed)[0] == i for s, i in zip(sets, batch.column(0).to_pylist(), strict=True)]
+            said = [b" ".join(words(raw, lower=True)) for raw, ok in zip(raws, same, strict=True) if ok]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(same, pa.bool_())), pa.array(said, pa.binary())], names=["set_id", "words"])
 
+    return run
 
-def _restore(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // SHIPPED, 8), np.uint8)
-    out[:, :SHIPPED] = np.frombuffer(data, np.uint8).reshape(-1, SHIPPED)
-    return out.view("<u8").ravel()
+
+def word_shingles(said: bytes) -> set:
+    """The shingles themselves of words joined by one space."""
+    w = said.split(b" ")
+    k = min(WORDS, len(w))
+    return set(zip(*(w[i:] for i in range(k)), strict=False))
 
 
 def within_bound(counts_a, counts_b, n_a, n_b):
@@ -245,15 +257,28 @@ def _bounded(batches):
 
 
 def _verified(batches):
+    known, size = {}, 0
+
+    def of(set_id: int, said) -> set:
+        nonlocal size
+        if set_id not in known:
+            if size > HELD_WORDS:
+                known.clear()
+                size = 0
+            known[set_id] = word_shingles(said.as_py())
+            size += len(known[set_id])
+        return known[set_id]
+
     for batch in batches:
         ok = []
-        for a, b, n_a, n_b in zip(*(batch.column(c).to_pylist() for c in ("hashes_a", "hashes_b", "n_a", "n_b")), strict=True):
-            overlap = len(np.intersect1d(_restore(a), _restore(b)))
-            ok.append(100 * overlap >= PERCENT * (n_a + n_b - overlap))
+        for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+            x, y = of(a, batch.column("words_a")[i]), of(b, batch.column("words_b")[i])
+            both = len(x & y)
+            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
     """pairs(a, b) to those that are similar: first by bounds on count vectors, then on whole sets,
     which only documents that pass the bounds are read again for."""
     side = lambda c, what: sets.select(F.col("set_id").alias(c), F.col(what).alias(f"{what}_{c}"), F.col("n").alias(f"n_{c}"))
@@ -261,8 +286,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     near = cut(near.mapInArrow(_bounded, "a long, b long, n_a long, n_b long"))
     wanted = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     shown = sets.join(wanted, "set_id").select("doc_id", "set_id")
-    held = cut(docs.join(shown, "doc_id").select("set_id", "text").mapInArrow(_contents, "set_id long, hashes binary"))
-    whole = near.join(held.toDF("a", "hashes_a"), "a").join(held.toDF("b", "hashes_b"), "b").select("a", "b", "hashes_a", "hashes_b", "n_a", "n_b")
+    held = cut(docs.join(shown, "doc_id").select("set_id", "text").mapInArrow(_contents(seed), "set_id long, words binary"))
+    whole = near.join(held.toDF("a", "words_a"), "a").join(held.toDF("b", "words_b"), "b").select("a", "b", "words_a", "words_b")
     return cut(whole.mapInArrow(_verified, "a long, b long").distinct())
 
 
@@ -352,13 +377,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = 4 * partitions(spark)
-    described = cut(d.mapInArrow(_describe, _SETS))
-    own = described.filter("kind = 0").drop("kind")
+    for seed in range(SEEDS):
+        described = cut(d.mapInArrow(partial(_describe, seed=seed), _SETS))
+        own = described.filter("kind = 0").drop("kind")
+        shared = own.filter("n > 0").groupBy("set_id").agg(F.min(F.struct("check", "n")).alias("low"), F.max(F.struct("check", "n")).alias("high"))
+        if shared.filter("low <> high").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"different sets with equal digests for each of {SEEDS} salts")
     often = described.filter("kind = 1").groupBy("set_id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "set_id").limit(MAX_FREQUENT).toArrow()
     value, count = often.column("set_id").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(value)
     frequent = spark.sparkContext.broadcast((value[order], count[order]))  # MAX_FREQUENT rows at most
-    posts = d.select("text").mapInArrow(_post(buckets, frequent), _POSTS)
+    posts = d.select("text").mapInArrow(_post(buckets, frequent, seed), _POSTS)
     found = cut(posts.groupBy("bucket").applyInArrow(_pairs, _PAIRS))
     # One hub for each set: that links most of a dense group, and what it leaves is found in the lists.
     hubs = found.filter("kind = 2").groupBy("a").agg(F.min("b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -373,7 +404,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own_lists = lists.groupBy("a").agg(F.slice(F.array_sort(F.collect_list("list")), 1, FIRST_LISTS).alias("firsts"))  # no more lists than the prefix has shingles
     members = cut(own_lists.join(sets.select(F.col("set_id").alias("a"), "counts"), "a"))
 
-    joined = components(_verify(pairs, sets, d))
+    joined = components(_verify(pairs, sets, d, seed))
     for most in (1, None):
         labelled = lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
@@ -381,7 +412,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         more = open_lists.select("bucket", "list", "a", "n", "component", "counts", "firsts").groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
         new = cut(more.join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.unionByName(new)
-        joined = components(joined.toDF("a", "b").unionByName(_verify(new, sets, d)))
+        joined = components(joined.toDF("a", "b").unionByName(_verify(new, sets, d, seed)))
 
     # From sets to documents: the smallest id of any copy of any set of the component.
     sets_in = reps.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

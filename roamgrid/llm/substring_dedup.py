@@ -5,8 +5,8 @@ means the same everywhere without a table of names: first runs of two, then twic
 `left` and a `right` symbol (which of both a symbol is follows from its name). Inside equal stretches
 of words the symbols are equal, but for at most MARGIN words at either end; a symbol holds at most
 BLOCK words. (Longer runs stay apart: what they would be named depends on text outside a window.)
-Symbols that are shared, with the words around them that every window holds, reveal repeats, which
-are verified over whole windows.
+Symbols that are shared, with the words around them that every window holds, reveal repeats; joined
+to the longest spans that two documents share, these are verified by digests of their words.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import gram_hashes, mix, power, word_hashes
+from ._bytes import words as split
 from ._common import documents
-from ._repeats import TOP, Finder, repeats
+from ._repeats import TOP, Finder, compare_hashes, covered, repeats
 
 U = np.uint64
 WINDOW = 50
@@ -62,13 +63,17 @@ def ranks(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def finder() -> Finder:
-    return Finder(lambda raw: word_hashes(raw)[0], ranks, WINDOW, SPAN)
+def finder(seed: int = 0) -> Finder:
+    def pieces(raw):
+        all_ = split(raw)
+        return lambda a, b: b" ".join(all_[a:b])
 
+    return Finder(word_hashes, ranks, WINDOW, SPAN, pieces, compare_hashes, seed=seed)
 
-def _report(raw, mask):
-    words = raw.tobytes().split()  # bytes.split() separates at space and \x09 to \x0D
-    kept = words if mask is None else list(compress(words, ~mask))
+
+def _report(raw, a, b):
+    words = split(raw)
+    kept = words if a is None else list(compress(words, ~covered(len(words), a, b)))
     text = b" ".join(kept)
     return len(words), len(words) - len(kept), hashlib.sha256(text).hexdigest(), text.decode()
 
@@ -79,7 +84,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     document with a smaller id. Null, empty and short texts lose nothing; see repeats() for ids.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return repeats(d, finder(), _report, "n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return repeats(d, finder, _report, "n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

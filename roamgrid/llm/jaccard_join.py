@@ -54,6 +54,8 @@ FREQUENT, MAX_FREQUENT = 3, 400_000
 #: Each set carries so many of its smallest long lists, so that few pairs are found in more than one.
 FIRST_LISTS = 32
 LEAF = 16
+#: Members of a long list that a task takes, about: as points of its tree, and as queries.
+BLOCK = 4096
 _SETS = "kind int, doc_id long, n long, set_id long, check long, counts binary"
 
 
@@ -331,25 +333,28 @@ class CountTree:
 
 
 def _across(most: int | None):
-    """Pairs within the bound across components, for the lists of one bucket; of each set with each
-    other component all, or the `most` that the bound leaves the greatest overlap. A pair is left to
+    """Pairs within the bound across components, for the blocks of lists of one bucket; of each set with
+    each other component all, or the `most` that the bound leaves the greatest overlap. A pair is left to
     the smallest list that both have, as far as `firsts`, the smallest lists of each set, show it."""
 
     def run(table: pa.Table) -> pa.Table:
         a, b = [], []
-        table = table.sort_by("list")
-        lists = table.column("list").to_numpy()
-        at = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+        table = table.sort_by([("list", "ascending"), ("cell", "ascending")])
+        lists, cells = table.column("list").to_numpy(), table.column("cell").to_numpy()
+        at = np.flatnonzero(np.r_[True, (lists[1:] != lists[:-1]) | (cells[1:] != cells[:-1])])
         for i, j in zip(at, np.r_[at[1:], len(lists)], strict=True):
             part = table.slice(i, j - i)
-            s, n, comp = (part.column(c).to_numpy() for c in ("a", "n", "component"))
+            s, n, comp, main, role = (part.column(c).to_numpy(zero_copy_only=False) for c in ("a", "n", "component", "main", "role"))
             counts = _counts(part.column("counts"))
             firsts = [set(x) for x in part.column("firsts").to_pylist()]
-            tree = CountTree(counts, n)
-            # The members of the largest component needn't be queries: links across have another end.
-            _, where, size = np.unique(comp, return_inverse=True, return_counts=True)
-            for q in np.flatnonzero(where != np.argmax(size)):
-                hit = tree.search(counts[q], int(n[q]))
+            points = np.flatnonzero(role != 1)
+            # The members of the list's main component needn't be queries: links across have another end.
+            asked = np.flatnonzero((role != 0) & (comp != main))
+            if not len(points) or not len(asked):
+                continue
+            tree = CountTree(counts[points], n[points])
+            for q in asked:
+                hit = points[tree.search(counts[q], int(n[q]))]
                 hit = hit[comp[hit] != comp[q]]
                 if smaller := {x for x in firsts[q] if x < lists[i]}:
                     hit = hit[np.array([smaller.isdisjoint(firsts[h]) for h in hit], bool)]
@@ -367,6 +372,25 @@ def _across(most: int | None):
     return run
 
 
+def _open_lists(labelled: DataFrame, members: DataFrame, buckets: int) -> DataFrame:
+    """Members of lists that hold several components, dealt to cells. A list of up to BLOCK members is one
+    cell, where each is point and query (role 2); a longer one is cut into blocks, and each block of points
+    (role 0) meets each block of queries (role 1) in a cell of its own. main: the component that most members of the list have."""
+    each = labelled.groupBy("list", "component").agg(F.count(F.lit(1)).alias("rows"))
+    found = each.groupBy("list").agg(F.count(F.lit(1)).alias("several"), F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("rows"))
+    found = cut(found.filter("several > 1").select("list", "main", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")))
+    mixed = join_with_hot(labelled, found, "list", "rows").filter("main is not null")
+    own = F.pmod(F.xxhash64("a"), "blocks").cast("int")
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cell = lambda p, q, role: F.struct((p * F.col("blocks") + q).cast("long").alias("cell"), F.lit(role).alias("role"))
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(2).alias("role")))
+    split = F.concat(F.transform(others, lambda q: cell(F.col("own"), q, 0)), F.transform(others, lambda p: cell(p, F.col("own"), 1)))
+    dealt = mixed.withColumn("own", own).withColumn("at", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(split)))
+    dealt = dealt.select("list", "a", "n", "component", "main", "at.cell", "at.role").filter("role <> 1 or component <> main")
+    bucket = F.pmod(F.xxhash64("list", "cell"), F.lit(buckets)).alias("bucket")
+    return dealt.join(members, "a").select(bucket, "list", "cell", "role", "a", "n", "component", "main", "counts", "firsts")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links).
 
@@ -406,10 +430,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     joined = components(_verify(pairs, sets, d, seed))
     for most in (1, None):
-        labelled = lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        mixed = labelled.groupBy("list").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("list")
-        open_lists = labelled.join(mixed, "list").join(members, "a").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
-        more = open_lists.select("bucket", "list", "a", "n", "component", "counts", "firsts").groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
+        labelled = cut(lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")))
+        more = _open_lists(labelled, members, buckets).groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
         new = cut(more.join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.unionByName(new)
         joined = components(joined.toDF("a", "b").unionByName(_verify(new, sets, d, seed)))

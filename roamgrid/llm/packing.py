@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,11 @@ from ._common import cut, documents, partitions
 CAPACITY = 1024
 EOS = 2
 VOCABULARY = "byte_bpe_50k"
-_PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
+#: Documents in a row that pack_in_order() packs by themselves.
+SEGMENT = 8192
+_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_NAMES = [x.split()[0] for x in _PLACED.split(", ")]
+_PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, place long"
 WHITE = 50_000
 SPACES = re.compile(r"\s+")
 _ENCODERS: dict[str, object] = {}
@@ -70,22 +75,22 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 
 
 def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, eos: int = EOS, with_ids: bool = False) -> DataFrame:
-    """docs(doc_id, text) to pieces: doc_id, piece, start, length, ids_crc32, with ids on demand."""
+    """docs(doc_id, text, place) to pieces: doc_id, piece, start, length, ids_crc32, place, with ids on demand."""
 
     def run(batches):
         encode = encoder(vocabulary)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text, spot in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), eos], "<u4")
                 at = 0
                 for k, n in enumerate(cut_lengths(len(ids), capacity)):
                     part = ids[at : at + n]
-                    rows.append((doc_id, k, at, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
+                    rows.append((doc_id, k, at, n, zlib.crc32(part.tobytes()), spot, *([part.astype(np.int32)] if with_ids else [])))
                     at += n
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(rows[0])])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "place", "ids"][: len(rows[0])])
 
     return docs.mapInArrow(run, _PIECES + ", ids array<int>" * with_ids)
 
@@ -149,7 +154,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     rows like others. No rows in: no rows out.
     """
     spark = docs.sparkSession
-    tokens = tokenize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), vocabulary, capacity, eos)
+    tokens = tokenize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("place")), vocabulary, capacity, eos)
     buckets = 4 * partitions(spark)
     pieces = cut(tokens.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))))
     # Ranks within a length in two levels: one length may be that of a third of all pieces.
@@ -162,21 +167,69 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     table = spark.sparkContext.broadcast(plan(histogram, capacity))
 
     def place(batches):
-        length, first, _, times, bin_, offset = table.value.T
-        key = (length << 44) + first
         for batch in batches:
             n, rank = batch.column("length").to_numpy().astype(np.int64), batch.column("rank").to_numpy()
-            i = np.searchsorted(key, (n << 44) + rank, side="right") - 1
-            k = rank - first[i]
-            sequence, at = bin_[i] + k // times[i], offset[i] + k % times[i] * n
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start")), pa.array(n), batch.column("ids_crc32"), pa.array(sequence), pa.array(at)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            sequence, at = placed(table.value, n, rank)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start")), pa.array(n), batch.column("ids_crc32"), pa.array(sequence), pa.array(at)], names=_NAMES)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, _PLACED)
+
+
+def placed(table: np.ndarray, n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of the rank-th piece of length n, by the rows of plan()."""
+    length, first, _, times, bin_, offset = table.T
+    i = np.searchsorted((length << 44) + first, (n << 44) + rank, side="right") - 1
+    k = rank - first[i]
+    return bin_[i] + k // times[i], offset[i] + k % times[i] * n
+
+
+def pack_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, eos: int = EOS, segment: int = SEGMENT) -> DataFrame:
+    """As pack(), for docs read from files whose order (by file name and row) is to show in the
+    sequences: each `segment` documents in a row are packed by themselves, and sequences are
+    numbered by segment, gapless from 0, and in it by their first document. That takes at most a few
+    sequences more for each segment. Where docs isn't read from files as it is, rows have no order
+    and segments are made by a hash of the id.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if _from_files(docs) else []))
+    if "file" in d.columns:
+        files = d.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # one row for each file
+        earlier = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+        files = files.select("file", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+        rows = d.join(F.broadcast(files), "file").select("doc_id", "text", (F.col("earlier") + F.col("row")).alias("place"))
+    else:
+        rows = d.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, d.count()))))
+    pieces = tokenize(rows, vocabulary, capacity, eos)
+
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "ascending"), ("place", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        n, spot = table.column("length").to_numpy().astype(np.int64), table.column("place").to_numpy()
+        lengths, first, count = np.unique(n, return_index=True, return_counts=True)
+        rank = np.arange(len(n)) - np.repeat(first, count)
+        bin_, at = placed(plan(dict(zip(lengths.tolist(), count.tolist(), strict=True)), capacity), n, rank)
+        earliest = np.full(bin_.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(earliest, bin_, spot)
+        number = np.empty(len(earliest), np.int64)
+        number[np.argsort(earliest, kind="stable")] = np.arange(len(earliest))
+        return pa.table([*(table.column(c) for c in ("doc_id", "piece", "start")), pa.array(n), table.column("ids_crc32"), pa.array(number[bin_]), pa.array(at), table.column("segment")], names=[*_NAMES, "segment"])
+
+    filled = cut(pieces.withColumn("segment", F.expr(f"place div {segment}")).groupBy("segment").applyInArrow(fill, f"{_PLACED}, segment long"))
+    used = filled.groupBy("segment").agg((F.max("sequence_id") + 1).alias("n"))  # one row for each segment
+    earlier = F.sum("n").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    used = used.select("segment", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    return filled.join(used, "segment").withColumn("sequence_id", F.col("sequence_id") + F.col("earlier")).select(*_NAMES)
+
+
+def _from_files(docs: DataFrame) -> bool:
+    try:
+        docs.select("_metadata.file_path")
+    except AnalysisException:
+        return False
+    return True
 
 
 def sequences(docs: DataFrame, packed: DataFrame, **options) -> DataFrame:
     """The token ids of each sequence: sequence_id, ids. docs(doc_id, text) as packed, ids distinct."""
-    pieces = tokenize(docs.select("doc_id", "text"), with_ids=True, **options)
+    pieces = tokenize(docs.select("doc_id", "text", F.lit(0).cast("long").alias("place")), with_ids=True, **options)
     placed = pieces.select("doc_id", "piece", "ids").join(packed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
     parts = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
     return parts.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))

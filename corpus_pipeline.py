@@ -33,13 +33,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents' pieces and their places in sequences."""
-    return packing.pack(docs)
+    """All documents' pieces and their places in sequences, which follow the order of the mix: stretches of it are packed one by one."""
+    return packing.pack_in_order(docs)
 
 
 STAGES = [("quality classifier", classify), ("exact dedup", dedup_exact), ("n-gram Jaccard join", dedup_near), ("mixing sources", mix_sources), ("best-fit packing", pack)]
 
-#: The classifier and the packing can't be expressed in SQL; tests compare run() with a brute-force version.
+#: The classifier and the packing can't be expressed in SQL; tests/llm/test_pipeline.py compares all stages with plain versions.
 ORACLE_SQL = None
 
 

@@ -16,7 +16,7 @@ bytes or words) that also starts in a document with a smaller id.
    groupBy gives the smallest document of each hash, which is joined back. The sample decides only
    the way a key takes; the result is the same either way.
 4. What was found so far is equal by 64-bit hash. Matches of one document with another at one
-   distance are joined to spans, and each span is verified by BLAKE2b digests of the very texts at
+   distance are joined to spans; of these as many as cover all are kept, and each is verified by BLAKE2b digests of the very texts at
    both ends. If one fails (two texts with one hash), all is done again with other hashes.
 5. What verified spans cover is taken out.
 """
@@ -356,27 +356,46 @@ def _compare(finder: Finder):
 _SPANS = "kind int, doc_id long, a int, b int, src long, at int"
 
 
+def _cover(a: list, b: list) -> list[int]:
+    """Which intervals (sorted by start, then longest first) cover all that these cover: from each end on, the one that reaches farthest."""
+    picked, end, best = [], -1, -1
+    for i in range(len(a)):
+        if best >= 0 and a[i] > end and b[best] > end:
+            picked.append(best)
+            end = b[best]
+        if a[i] > end:  # nothing reaches it
+            picked.append(i)
+            end, best = b[i], i
+        elif best < 0 or b[i] > b[best]:
+            best = i
+    if best >= 0 and b[best] > end:
+        picked.append(best)
+    return picked
+
+
 def _joined(batches):
-    """(kind, doc_id, matches) to spans: what matches with one document at one distance cover, joined where they overlap or touch."""
+    """(doc_id, marks) to spans: what matches with one document at one distance cover, joined where they
+    overlap or touch; of these as many as are needed to cover what all of them do."""
     for batch in batches:
         out = []
-        for kind, doc_id, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            m = np.frombuffer(b"".join(rows), MATCH)
-            a, b, shift = m["pos"].astype(np.int64) - m["left"], m["pos"].astype(np.int64) + m["right"], m["at"].astype(np.int64) - m["pos"]
-            if kind == 4:  # verified: with which document doesn't matter any more
-                src, shift = np.full(len(m), doc_id), np.zeros(len(m), np.int64)
-            else:
-                src = m["src"]
-            order = np.lexsort((b, a, shift, src))
-            a, b, shift, src = a[order], b[order], shift[order], src[order]
-            other = np.r_[True, (src[1:] != src[:-1]) | (shift[1:] != shift[:-1])]
-            # The farthest end so far within (src, shift): ends are lifted by the group's number.
+        for doc_id, marks in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            m = np.frombuffer(b"".join(x["spans"] for x in marks), MATCH)
+            kind = np.repeat([x["kind"] for x in marks], [len(x["spans"]) // MATCH.itemsize for x in marks])
+            true = kind == 4  # compared already: with which document doesn't matter any more
+            a, b = m["pos"].astype(np.int64) - m["left"], m["pos"].astype(np.int64) + m["right"]
+            src = np.where(true, -1, m["src"])
+            shift = np.where(true, 0, m["at"].astype(np.int64) - m["pos"])
+            order = np.lexsort((b, a, shift, src, kind))
+            a, b, shift, src, kind = a[order], b[order], shift[order], src[order], kind[order]
+            other = np.r_[True, (src[1:] != src[:-1]) | (shift[1:] != shift[:-1]) | (kind[1:] != kind[:-1])]
+            # The farthest end so far within a group: ends are lifted by the group's number.
             lift = np.cumsum(other) * (1 << 40)
             far = np.maximum.accumulate(b + lift)
-            new = other | np.r_[True, a[1:] + lift[1:] > far[:-1]]
-            at = np.flatnonzero(new)
-            ends = np.maximum.reduceat(b, at)
-            out.append((np.full(len(at), kind, np.int32), np.full(len(at), doc_id, np.int64), a[at].astype(np.int32), ends.astype(np.int32), src[at].astype(np.int64), (a[at] + shift[at]).astype(np.int32)))
+            at = np.flatnonzero(other | np.r_[True, a[1:] + lift[1:] > far[:-1]])
+            ends, a, shift, src, kind = np.maximum.reduceat(b, at), a[at], shift[at], src[at], kind[at]
+            order = np.lexsort((-kind, -ends, a))
+            pick = order[_cover(a[order].tolist(), ends[order].tolist())]
+            out.append((kind[pick].astype(np.int32), np.full(len(pick), doc_id, np.int64), a[pick].astype(np.int32), ends[pick].astype(np.int32), src[pick].astype(np.int64), (a[pick] + shift[pick]).astype(np.int32)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=[x.split()[0] for x in _SPANS.split(", ")])
 
@@ -433,7 +452,7 @@ def _found(known: DataFrame, finder: Finder) -> DataFrame:
     if len(keys):
         more = more.unionByName(_compare_hot(spots, finder, hot))
     every = marks.filter("kind = 1").unionByName(more)
-    return cut(every.groupBy("kind", "doc_id").agg(F.collect_list("spans").alias("rows")).mapInArrow(_joined, _SPANS))
+    return cut(every.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "spans")).alias("marks")).mapInArrow(_joined, _SPANS))
 
 
 def repeats(docs: DataFrame, finder: Callable[[int], Finder], report: Callable, schema: str) -> DataFrame:

@@ -1,62 +1,69 @@
 """Mixing sources to target weights by Pfair windows and earliest deadline first.
 
 Documents of a source are put in a seeded random order and cut into blocks of about `block_size`.
-Of C slots, in which a source of quota c gets c, its j-th block (from 0) is released at slot
-floor(j*C/c) and due by ceil((j+1)*C/c); every slot goes to the released block with the earliest
-deadline. Then no source is ever a whole block away from the share that its rounded quota gives; from
-its exact weight it can be further (see RESOLUTION and the README). All sources stand exactly at
-their shares after each frame of C slots, so frames are independent: the schedule of one frame is a
-bounded table, and each block's slot follows from its number alone. Where a source ends, the frames
-from there on have a new make-up with the quotas of the sources that remain.
+In an ideal mix all sources flow at once, each in proportion to its weight among those that aren't at
+their end: when each has flowed `u` per weight, source s has flowed min(w_s u, n_s) of its n_s blocks,
+and the sum of these is the slot number. Block j of s is released in the slot in which that flow
+reaches j and is due when it reaches j + 1; every slot goes to the released block with the earliest
+deadline. Then each source is less than one block away from the ideal mix at every slot, to its end.
+
+Only the sources' totals are gathered. Blocks grow with the corpus beyond MAX_BLOCKS of them, so that
+the table of blocks and slots is bounded; the driver makes it from the totals, and it is joined to
+the documents, whose blocks follow from prefix sums.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import documents
 
-#: Slots of a full frame: target weights are rounded to this many parts.
-RESOLUTION = 1000
+#: Weights are whole numbers of this sum, about: over MAX_BLOCKS blocks their rounding is far below one block.
+WEIGHTS = 10**9
 BLOCK_SIZE = 16384
+#: Blocks of all sources, about; above it blocks are larger.
+MAX_BLOCKS = 65_536
 #: Rows of a source that are ordered by one task, about.
 BUCKET_ROWS = 2000
 MAX_SOURCES = 10_000
-
-
-def _frames(spark, blocks: dict, quotas: dict) -> DataFrame:
-    """(frame0, source, j, slot, start, slots): the schedule of each make-up of frames, in force from frame0 on."""
-    at = sorted({0} | {f for s, n in blocks.items() for f in (n // quotas[s], n // quotas[s] + 1)})
-    made = []
-    for f in at:
-        left = [(s, min(quotas[s], max(0, n - f * quotas[s]))) for s, n in sorted(blocks.items())]
-        left = [x for x in left if x[1]]
-        if left:
-            made.append((f, [x[0] for x in left], [x[1] for x in left], sum(min(n, f * quotas[s]) for s, n in blocks.items())))
-    df = spark.createDataFrame(made, "frame0 long, sources array<string>, c array<long>, start long")
-    df = df.withColumn("slots", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x))
-    state = "struct<next:array<bigint>,picks:array<int>>"
-    begin = F.struct(F.transform("c", lambda x: F.lit(0).cast("long")).alias("next"), F.array().alias("picks")).cast(state)
-
-    def slot(acc, t):
-        due = lambda c, i: F.when(
-            (F.get(acc["next"], i) < c) & (F.floor(F.get(acc["next"], i) * F.col("slots") / c) <= t),
-            F.struct(F.ceil((F.get(acc["next"], i) + 1) * F.col("slots") / c).alias("d"), i.alias("i")),
-        )
-        pick = F.array(F.array_min(F.filter(F.transform("c", due), lambda x: x.isNotNull()))["i"])
-        # The array of one element stands in for a variable.
-        return F.transform(
-            pick,
-            lambda p: F.struct(F.transform(acc["next"], lambda v, i: F.when(i == p, v + 1).otherwise(v)).alias("next"), F.concat(acc["picks"], F.array(p)).alias("picks")),
-        )[0].cast(state)
-
-    picks = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1), begin, slot)["picks"]
-    # One make-up per task where there are many.
-    df = df.repartition(max(1, min(len(made), 64)), "frame0") if len(made) > 1 else df
-    rows = df.select("frame0", "sources", "start", "slots", F.posexplode(picks).alias("slot", "p"))
-    j = F.row_number().over(Window.partitionBy("frame0", "p").orderBy("slot")) - 1
-    return rows.select("frame0", F.get("sources", F.col("p")).alias("source"), j.cast("long").alias("j"), F.col("slot").cast("long").alias("slot"), "start", "slots")
+#: Deadlines are compared as whole numbers, in units of the flow per weight.
+UNIT = 10**18
+
+
+def schedule(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(source, block, slot) for all blocks, from the number of blocks and the whole weight of each source."""
+    names = sorted(blocks)
+    # Ends of sources in the order in which the flow reaches them; what has ended by then, and the weight that still flows.
+    ends = sorted((Fraction(blocks[s], weights[s]), s) for s in names)
+    at = [u for u, _ in ends]
+    ended, flowing = [0], [sum(weights.values())]
+    for _, s in ends:
+        ended.append(ended[-1] + blocks[s])
+        flowing.append(flowing[-1] - weights[s])
+
+    def released(s: str, j: int) -> int:
+        u = Fraction(j, weights[s])
+        k = bisect_right(at, u)
+        return ended[k] + flowing[k] * j // weights[s]
+
+    waiting = [(released(s, 0), i) for i, s in enumerate(names)]
+    heapify(waiting)
+    ready, done, out = [], [0] * len(names), []
+    for slot in range(sum(blocks.values())):
+        while waiting and waiting[0][0] <= slot:
+            i = heappop(waiting)[1]
+            heappush(ready, ((done[i] + 1) * UNIT // weights[names[i]], i))
+        i = heappop(ready)[1]
+        out.append((names[i], done[i], slot))
+        done[i] += 1
+        if done[i] < blocks[names[i]]:
+            heappush(waiting, (released(names[i], done[i]), i))
+    return out
 
 
 def mix(
@@ -79,8 +86,9 @@ def mix(
     Every row gets a place: a source that ends early leaves its share to the others in proportion.
     A null source is the source ''. Null and negative sizes count as 0. Rows are ordered in their
     source by md5(seed:id), then id; repeated rows are rows like others. A document lies in the
-    block in which it starts, so a very long one uses up several blocks. Sources that `weights`
-    leaves out raise a ValueError, as do more than MAX_SOURCES. No rows in: no rows out.
+    block in which it starts, so a very long one uses up several blocks. Blocks are of block_size, or
+    of the whole size over MAX_BLOCKS where that is more. Sources that `weights` leaves out raise a
+    ValueError, as do weights that aren't positive and more than MAX_SOURCES. No rows in: no rows out.
     """
     spark = docs.sparkSession
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -101,25 +109,21 @@ def mix(
         raise ValueError(f"more than {MAX_SOURCES} sources")
     if weights is None:
         weights = {s: max(1, n) ** tempering for s, n in totals.items()}
-    if missing := sorted(set(totals) - set(weights)):
+    if missing := sorted(s for s in totals if not weights.get(s, 0) > 0):
         raise ValueError(f"no weight for sources {missing[:5]}")
-    whole = sum(weights[s] for s in totals) or 1
-    quotas = {s: max(1, round(weights[s] / whole * RESOLUTION)) for s in totals}
-    blocks = {s: max(1, -(-n // block_size)) for s, n in totals.items()}
     if not totals:
         return d.select("doc_id", "source", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("position"), *(["_row", F.lit(0).cast("long").alias("start")] if carry else []))
+    whole = sum(weights[s] for s in sorted(totals))
+    size = max(block_size, -(-sum(totals.values()) // MAX_BLOCKS))
+    blocks = {s: max(1, -(-n // size)) for s, n in totals.items()}
+    slots = schedule(blocks, {s: max(1, round(weights[s] / whole * WEIGHTS)) for s in totals})
+    table = spark.createDataFrame(slots, "source string, block long, position long")  # MAX_BLOCKS + MAX_SOURCES rows at most
+    last = spark.createDataFrame([(s, n - 1) for s, n in blocks.items()], "source string, last long")
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     placed = d.withColumn("inside", F.coalesce(inside, F.lit(0))).join(offsets, ["source", "bucket"])
-    facts = spark.createDataFrame([(s, quotas[s], blocks[s], sorted({f for t in totals for f in (blocks[t] // quotas[t], blocks[t] // quotas[t] + 1) if f <= blocks[s] // quotas[s]} | {0})) for s in totals], "source string, q long, n long, turns array<long>")
-    placed = placed.join(F.broadcast(facts), "source").withColumn("block", F.least(F.expr(f"(offset + inside) div {block_size}"), F.col("n") - 1))
-    placed = placed.withColumn("frame", F.expr("block div q"))
-    placed = placed.withColumn("frame0", F.array_max(F.filter("turns", lambda x: x <= F.col("frame"))))
-    placed = placed.withColumn("j", F.col("block") - F.col("frame") * F.col("q"))
-    table = _frames(spark, blocks, quotas)
-    bounded = F.broadcast(table) if len(totals) <= 100 else table  # at most (2 * sources + 1) * (RESOLUTION + sources) rows
-    out = placed.join(bounded, ["frame0", "source", "j"])
-    position = (F.col("start") + (F.col("frame") - F.col("frame0")) * F.col("slots") + F.col("slot")).alias("position")
-    return out.select("doc_id", "source", "block", position, *(["_row", (F.col("offset") + F.col("inside")).alias("start")] if carry else []))
+    placed = placed.join(F.broadcast(last), "source").withColumn("block", F.least(F.expr(f"(offset + inside) div {size}"), F.col("last")))
+    out = placed.join(F.broadcast(table), ["source", "block"])
+    return out.select("doc_id", "source", "block", "position", *(["_row", (F.col("offset") + F.col("inside")).alias("start")] if carry else []))
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
@@ -136,23 +140,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS source, greatest(coalesce(n_chars, 0), 0) AS size, md5('0:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
-t AS (SELECT source, sum(size)::BIGINT AS total, greatest(1, (sum(size)::BIGINT + {BLOCK_SIZE - 1}) // {BLOCK_SIZE}) AS n FROM d GROUP BY source),
-w AS (SELECT *, power(greatest(total, 1)::DOUBLE, 0.7) AS w FROM t),
-q AS (SELECT source, n, greatest(1, round_even(w / (SELECT sum(w) FROM w) * {RESOLUTION}, 0))::BIGINT AS q FROM w),
-b AS (
-  SELECT doc_id, source, least(coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {BLOCK_SIZE}, n - 1) AS block, q
-  FROM d JOIN q USING (source)),
-f0 AS (SELECT 0 AS f UNION SELECT n // q FROM q UNION SELECT n // q + 1 FROM q),
-c AS (SELECT f0.f, source, least(q, greatest(0, n - f0.f * q)) AS c, q, n FROM f0, q),
-fr AS (SELECT f, sum(c)::BIGINT AS slots, sum(least(n, f * q))::BIGINT AS start FROM c GROUP BY f HAVING sum(c) > 0),
-lst AS (SELECT f, slots, list(source ORDER BY source) AS ss, list(c ORDER BY source) AS cs FROM c JOIN fr USING (f) WHERE c > 0 GROUP BY f, slots),
+t AS (SELECT source, sum(size)::BIGINT AS total FROM d GROUP BY source),
+z AS (SELECT greatest({BLOCK_SIZE}, (sum(total) + {MAX_BLOCKS - 1}) // {MAX_BLOCKS})::BIGINT AS b FROM t),
+w AS (SELECT source, greatest(1, (total + b - 1) // b) AS n, b, power(greatest(total, 1)::DOUBLE, 0.7) AS w FROM t, z),
+q AS (SELECT source, n, b, greatest(1, round_even(w / (SELECT sum(w) FROM w) * {WEIGHTS}, 0))::BIGINT AS q FROM w),
+l AS (SELECT list(source ORDER BY source) AS ss, list(n ORDER BY source) AS ns, list(q ORDER BY source) AS ws, sum(n)::BIGINT AS slots FROM q),
 e AS (
-  SELECT f, 0::BIGINT AS t, slots, ss, cs, list_transform(cs, x -> 0::BIGINT) AS nx, 0::BIGINT AS pick FROM lst
+  SELECT 0::BIGINT AS k, ss, ns, ws, slots, list_transform(ns, lambda x: 0::BIGINT) AS nx, 0::BIGINT AS pick FROM l
   UNION ALL
-  SELECT f, t + 1, slots, ss, cs, list_transform(nx, (v, i) -> CASE WHEN i = p THEN v + 1 ELSE v END), p
-  FROM (SELECT *, list_min(list_filter(list_transform(cs, (x, i) -> CASE WHEN nx[i] < x AND nx[i] * slots // x <= t THEN ((nx[i] + 1) * slots + x - 1) // x * 100000 + i END), y -> y IS NOT NULL)) % 100000 AS p FROM e WHERE t < slots)),
-s AS (SELECT f, ss[pick] AS source, row_number() OVER (PARTITION BY f, pick ORDER BY t) - 1 AS j, t - 1 AS slot FROM e WHERE t > 0),
-x AS (SELECT b.*, (SELECT max(f) FROM f0 WHERE f <= block // q) AS f FROM b)
-SELECT doc_id, x.source, block, start + (block // q - x.f) * slots + slot AS position
-FROM x JOIN fr ON fr.f = x.f JOIN s ON s.f = x.f AND s.source = x.source AND s.j = block % q
+  SELECT k + 1, ss, ns, ws, slots, list_transform(nx, lambda v, i: CASE WHEN i = p THEN v + 1 ELSE v END), p
+  FROM (SELECT *, (list_min(list_filter(list_transform(ws, lambda x, i: CASE WHEN nx[i] < ns[i] AND list_sum(list_transform(ws, lambda y, r: least(y::HUGEINT * nx[i], ns[r]::HUGEINT * x))) < (k + 1)::HUGEINT * x
+        THEN ((nx[i] + 1)::HUGEINT * {UNIT} // x) * 100000 + i END), lambda v: v IS NOT NULL)) % 100000)::BIGINT AS p FROM e WHERE k < slots)),
+s AS (SELECT ss[pick] AS source, row_number() OVER (PARTITION BY pick ORDER BY k) - 1 AS block, k - 1 AS position FROM e WHERE k > 0),
+b AS (
+  SELECT doc_id, source, least(coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // b, n - 1) AS block
+  FROM d JOIN q USING (source))
+SELECT doc_id, source, block, position FROM b JOIN s USING (source, block)
 """

@@ -162,7 +162,7 @@ def test_secrets_in_every_column(spark):
         assert got[i]["n_example"] == sum(c[3] in copied for c in base + more)
 
 
-def rated(n=1500, seed=4):
+def rated(n=3600, seed=4):
     rng = random.Random(seed)
     good, low, toxic = ["river", "garden", "letter", "window", "summer"], ["click", "buy", "$$$", "free"], ["hatea", "hateb"]
     rows = []
@@ -181,7 +181,7 @@ def rated(n=1500, seed=4):
 def test_grades_of_held_out_rows(spark):
     rows = rated()
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, None), (5001, "")], "doc_id long, text string")
-    ratings = spark.createDataFrame([(i, g) for i, _, g in rows if i < 1200], "doc_id long, grade int")
+    ratings = spark.createDataFrame([(i, g) for i, _, g in rows if i < 3000], "doc_id long, grade int")
     got = {r["doc_id"]: r for r in quality.classify(docs, ratings).collect()}
     weights, thresholds = quality.train(docs, ratings)
     assert list(thresholds) == sorted(thresholds)
@@ -193,6 +193,6 @@ def test_grades_of_held_out_rows(spark):
         assert got[i]["expected_grade"] == pytest.approx(sum(above), abs=1e-4)
         assert got[i]["p_tail"] == pytest.approx(above[quality.KEEP_GRADE - 1], abs=1e-4)
         assert got[i]["kept"] == (got[i]["p_tail"] >= quality.KEEP_PROBABILITY)
-        if g is not None and i >= 1200:
+        if g is not None and i >= 3000:
             right += got[i]["kept"] == (g == 2)
-    assert right >= 0.95 * 300
+    assert right >= 0.95 * 600

@@ -17,15 +17,15 @@ def sf_dir(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("spark-corpus"))
     rng = random.Random(1)
     rows, labels = [], []
-    for i, text, grade in rated(1200, 8):
+    for i, text, grade in rated(3600, 8):
         text += f" number {i} {i * 7} {i * 31}"
         rows.append((i, text, "en", rng.choice("aaaabbc"), len(text)))
         labels.append((i, int(grade != 0), int(grade == 1)))
-        if rng.random() < 0.1:
-            rows.append((1000 + i, text.upper(), "en", "b", len(text)))
-        if rng.random() < 0.1:
-            rows.append((2000 + i, text + " end", "en", "c", len(text) + 4))
-    rows += [(5000, None, None, None, None), (5001, "", "en", "a", 0), rows[2], rows[2]]
+        if rng.random() < 0.05:
+            rows.append((10_000 + i, text.upper(), "en", "b", len(text)))
+        if rng.random() < 0.05:
+            rows.append((20_000 + i, text + " end", "en", "c", len(text) + 4))
+    rows += [(50_000, None, None, None, None), (50_001, "", "en", "a", 0), rows[2], rows[2]]
     spark.createDataFrame([(*r, "p", 1) for r in rows], f"{DOCS}, place string, bucket int").repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([*labels, (None, 1, 1), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     return path
@@ -49,8 +49,8 @@ def test_stages(spark, sf_dir, tmp_path):
             assert docs.columns == columns
     before, after = at["quality classifier"]
     kept = {r[0] for r in after}
-    clean = {i for i, _, g in rated(1200, 8) if g == 2}
-    assert len(kept & clean) >= 0.98 * len(clean) and len({i for i in kept if i < 1200} - clean) <= 0.03 * 480
+    clean = {i for i, _, g in rated(3600, 8) if g == 2}
+    assert len(kept & clean) >= 0.98 * len(clean) and len({i for i in kept if i < 3600} - clean) <= 0.03 * 1440
     before, after = at["exact dedup"]
     best = {}
     for r in before:

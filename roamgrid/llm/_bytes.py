@@ -5,9 +5,10 @@ the operators: over the bytes themselves or by a cryptographic digest of them.""
 
 from __future__ import annotations
 
-import hashlib
+from itertools import repeat
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 U = np.uint64
 _MASK = (1 << 64) - 1
@@ -90,31 +91,16 @@ def gram_hashes(values: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-class _WordHashes(dict):
-    """BLAKE2b of words, 8 bytes, for words met lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            if len(self) >= 200_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_HASH_OF = _WordHashes()
-
-
 def words(raw: np.ndarray, lower: bool = False) -> list[bytes]:
     """Words of a text's bytes: what space and \\x09 to \\x0D separate, with A-Z lower-cased on demand."""
     data = raw.tobytes()
     return (data.lower() if lower else data).split()  # of bytes, both look at ASCII only
 
 
-def word_hashes(raw: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A hash of each word; only words' own bytes enter it."""
+def word_hashes(raw: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """XXH3 of each word, 64 bits; only words' own bytes and the seed enter it."""
     all_ = words(raw, lower)
-    return np.fromiter(map(_HASH_OF.__getitem__, all_), np.uint64, len(all_))
+    return np.fromiter(map(xxh3_64_intdigest, all_, repeat(seed)), np.uint64, len(all_))
 
 
 def texts(column):

@@ -63,7 +63,10 @@ def shingles(raw: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; with fewer words, of the whole sequence."""
     h = word_hashes(raw, lower=True)
     k = min(WORDS, len(h))
-    return np.unique(gram_hashes(h, k) + U(k)) if k else h
+    if not k:
+        return h
+    s = np.sort(gram_hashes(h, k) + U(k))
+    return s[np.r_[True, s[1:] != s[:-1]]]
 
 
 def identity(s: np.ndarray, seed: int = 0) -> tuple[int, int]:

@@ -12,6 +12,7 @@ to the longest spans that two documents share, these are verified by digests of
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 from itertools import compress
 
 import numpy as np
@@ -68,7 +69,7 @@ def finder(seed: int = 0) -> Finder:
         all_ = split(raw)
         return lambda a, b: b" ".join(all_[a:b])
 
-    return Finder(word_hashes, ranks, WINDOW, SPAN, pieces, compare_hashes, seed=seed)
+    return Finder(partial(word_hashes, seed=seed), ranks, WINDOW, SPAN, pieces, compare_hashes, seed=seed)
 
 
 def _report(raw, a, b):

@@ -1,6 +1,6 @@
 """Hashes of words, and polynomial hashes of byte and word sequences with numpy, modulo 2**64.
 
-Polynomial hashes modulo 2**64 have known collisions, so what they find equal is compared again by
+Words go by XXH3. Polynomial hashes modulo 2**64 have known collisions, so what they find equal is compared again by
 the operators: over the bytes themselves or by a cryptographic digest of them."""
 
 from __future__ import annotations

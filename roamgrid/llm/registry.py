@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, exact_dedup, jaccard_join, mixing, packing, quality, secret_scan, substring_dedup, suffix_dedup
+from . import chat_format, embedding_dedup, exact_dedup, jaccard_join, lexical_search, mixing, packing, quality, quality_rules, secret_scan, substring_dedup, suffix_dedup, whitening
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_lexical_search": lexical_search.query,
+    "op12_quality_rules": quality_rules.query,
+    "op13_whitening": whitening.query,
 }
 ORACLES = {"op1_mixing": mixing.SQL, "op5_chat_format": chat_format.SQL, "op6_exact_dedup": exact_dedup.SQL}

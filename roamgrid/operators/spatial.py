@@ -23,22 +23,51 @@ BOX = ("min_x", "min_y", "max_x", "max_y")
 CELL = "_cell"
 
 
+#: The level of boxes that no grid of doubling cells can hold: unbounded ones, and small ones so far off that
+#: their cells' numbers aren't exact. Points are dealt to so many parts of it by their place, boxes to all.
+TOP, PARTS = 5000, 32
+_EXACT = float(1 << 53)
+
+
+def _side() -> Column:
+    return F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+
+
 def _level(cell: float) -> Column:
-    side = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(cell))
-    return F.ceil(F.log2(side / cell)).cast("int")
+    level = F.ceil(F.log2(F.greatest(_side(), F.lit(cell)) / cell))
+    far = F.greatest(*[F.abs(c) for c in BOX]) / (F.pow(F.lit(2.0), level) * cell)
+    return F.when((_side() < float("inf")) & (far < _EXACT), level.cast("int")).otherwise(TOP)
 
 
-def _cell_of(level, x, y, cell: float) -> Column:
-    """struct(level, cx, cy) of the cell that holds (x, y)."""
-    size = F.pow(F.lit(2.0), level) * cell
-    return F.struct(level.alias("level"), F.floor(x / size).cast("long").alias("cx"), F.floor(y / size).cast("long").alias("cy"))
+def _part(*place: str) -> Column:
+    return F.pmod(F.xxhash64(*place), F.lit(PARTS))
+
+
+def _cell(level, cx, cy) -> Column:
+    return F.struct(level.alias("level"), cx.cast("long").alias("cx"), cy.cast("long").alias("cy"))
+
+
+def _cell_of(level: int, x, y, cell: float) -> Column:
+    """struct(level, cx, cy) of the cell that holds (x, y); null if its numbers aren't exact: no box of that level is so far off."""
+    if level == TOP:
+        return _cell(F.lit(TOP), F.pmod(F.xxhash64(x, y), F.lit(PARTS)), F.lit(0))
+    size = 2.0**level * cell
+    near = (F.abs(x / size) <= _EXACT + 1) & (F.abs(y / size) <= _EXACT + 1)
+    return F.when(near, _cell(F.lit(level), F.floor(x / size), F.floor(y / size)))
 
 
 def _cells(level, cell: float) -> Column:
     """All cells of a level that the box of a row meets: at most nine, at its own level or a coarser one."""
     size = F.pow(F.lit(2.0), level) * cell
     side = lambda c: F.sequence(F.floor(F.col(f"min_{c}") / size).cast("long"), F.floor(F.col(f"max_{c}") / size).cast("long"))
-    return F.flatten(F.transform(side("x"), lambda x: F.transform(side("y"), lambda y: F.struct(level.alias("level"), x.alias("cx"), y.alias("cy")))))
+    grid = F.flatten(F.transform(side("x"), lambda x: F.transform(side("y"), lambda y: _cell(level, x, y))))
+    return F.when(level == TOP, F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: _cell(level, i, F.lit(0)))).otherwise(grid)
+
+
+def placed(x="x", y="y") -> Column:
+    """Whether both coordinates are finite numbers."""
+    fine = lambda c: _c(c).isNotNull() & ~F.isnan(_c(c)) & (F.abs(_c(c)) < float("inf"))
+    return fine(x) & fine(y)
 
 
 def _own_name(*dfs: DataFrame) -> None:
@@ -60,13 +89,13 @@ def range_query(points: DataFrame, box) -> DataFrame:
 
 
 def range_join(points: DataFrame, boxes: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Points with every box that holds them. Columns of both, whose names must differ."""
+    """Points with every box that holds them. Columns of both, whose names must differ. Boxes may be unbounded."""
     _own_name(points, boxes)
     boxes = _proper(boxes)
     levels = _levels(boxes, cell)
     if not levels:
         return points.join(boxes, F.lit(False))
-    p = points.filter(~F.isnan("x") & ~F.isnan("y")).withColumn(CELL, F.explode(F.array(*[_cell_of(F.lit(x), F.col("x"), F.col("y"), cell) for x in levels])))
+    p = points.filter(~F.isnan("x") & ~F.isnan("y")).withColumn(CELL, F.explode(point_cells(levels, cell)))
     return p.join(boxes.withColumn(CELL, F.explode(_cells(_level(cell), cell))), CELL).filter(in_box("x", "y", *BOX)).drop(CELL)
 
 
@@ -83,13 +112,14 @@ def _nearest(d2: Column, id_col: str = "vehicle_id") -> Column:
 
 
 def nearest(points: DataFrame, x: float, y: float) -> DataFrame:
-    """One row; nulls without points. Ties go to the smallest id."""
-    p = points.filter(~F.isnan("x") & ~F.isnan("y"))
+    """One row; nulls without points that have a place. Ties go to the smallest id."""
+    p = points.filter(placed())
     return p.agg(_nearest(dist2("x", "y", F.lit(x), F.lit(y))).alias("n")).select("n.*")
 
 
 def nearest_join(queries: DataFrame, points: DataFrame, cell: float | None = None, id_col: str = "vehicle_id") -> DataFrame:
-    """queries(query_id, x, y) with their nearest point: query_id, id, x, y, distance (nulls without points, and for queries at NaN or null).
+    """queries(query_id, x, y) with their nearest point: query_id, id, x, y, distance (nulls without points, and for queries without a place). Places must be finite
+    numbers; points elsewhere are left out. An id may repeat, at one place or several: each row has its own nearest point.
 
     Points are counted by cells of doubling size first. A query takes the smallest size at which its
     own cell holds a point: then its nearest point is at most that cell's diagonal away, in the 3 x 3
@@ -97,56 +127,137 @@ def nearest_join(queries: DataFrame, points: DataFrame, cell: float | None = Non
     of those only the ones that can be nearer than the farthest corner of another are joined with the
     points, which are shuffled once. `cell` is the finest size; None: about four points to a cell on average.
     """
-    p = points.filter(~F.isnan("x") & ~F.isnan("y")).select(id_col, "x", "y")
-    q = queries.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    p = points.filter(placed()).select(id_col, "x", "y")
+    every = queries.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy"))
+    q = every.filter(placed("qx", "qy")).select("qx", "qy").distinct()
     corners = lambda df, x, y: df.agg(*[f(c).alias(n) for c, n in ((x, "x"), (y, "y")) for f, n in ((F.min, f"a{n}"), (F.max, f"b{n}"))], F.count(F.lit(1)).alias("n")).first()
-    there, asked = corners(p, "x", "y"), corners(q.filter(~F.isnan("qx") & ~F.isnan("qy")), "qx", "qy")
+    there, asked = corners(p, "x", "y"), corners(q, "qx", "qy")
     if there["ax"] is None or asked["ax"] is None:
         kind = dict(points.dtypes)[id_col]
-        return q.select("query_id", F.lit(None).cast(kind).alias(id_col), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "distance")])
+        return every.select("query_id", F.lit(None).cast(kind).alias(id_col), *[F.lit(None).cast("double").alias(c) for c in ("x", "y", "distance")])
     low = {c: min(there[f"a{c}"], asked[f"a{c}"]) for c in "xy"}
     extent = max(max(there[f"b{c}"], asked[f"b{c}"]) - low[c] for c in "xy")
     if cell is None:
         own = max(max(there[f"b{c}"] - there[f"a{c}"] for c in "xy"), extent / 1024)
         cell = max(own / max(1.0, (there["n"] / 4) ** 0.5), extent / (1 << 20)) or 1.0
     levels = max(0, math.ceil(math.log2(max(extent / cell, 1)))) + 1  # at most 21 by default; one cell holds all at the last
-    at = lambda level, x, y: _cell_of(F.lit(level), F.col(x) - low["x"], F.col(y) - low["y"], cell)
+    at = lambda level, x, y: _cell_of(level, F.col(x) - low["x"], F.col(y) - low["y"], cell)
     dealt = p.withColumn("fine", at(0, "x", "y"))
     fine = cut(dealt.groupBy("fine").agg(F.count(F.lit(1)).alias("n")))
-    above = lambda c, level: F.struct(F.lit(level).alias("level"), F.expr(f"shiftright({c}.cx, {level})").alias("cx"), F.expr(f"shiftright({c}.cy, {level})").alias("cy"))
+    above = lambda c, level: _cell(F.lit(level), F.shiftright(f"{c}.cx", level), F.shiftright(f"{c}.cy", level))
     pyramid = fine.select("fine", F.explode(F.array(*[above("fine", k) for k in range(levels + 1)])).alias("cell"))
     # The smallest size at which a query's own cell holds points.
-    own = q.filter(~F.isnan("qx") & ~F.isnan("qy")).withColumn("cell", F.explode(F.array(*[at(k, "qx", "qy") for k in range(levels + 1)])))
-    first = own.join(pyramid.select("cell").distinct(), "cell").groupBy("query_id", "qx", "qy").agg(F.min("cell").alias("c"))
+    own = q.withColumn("cell", F.explode(F.array(*[at(k, "qx", "qy") for k in range(levels + 1)])))
+    first = own.join(pyramid.select("cell").distinct(), "cell").groupBy("qx", "qy").agg(F.min("cell").alias("c"))
     around = F.sequence(F.lit(-1), F.lit(1))
     up = F.struct((F.col("c.level") + 1).alias("level"), F.shiftright("c.cx", 1).alias("cx"), F.shiftright("c.cy", 1).alias("cy"))
     block = F.flatten(F.transform(around, lambda i: F.transform(around, lambda j: F.struct(F.col("u.level").alias("level"), (F.col("u.cx") + i).alias("cx"), (F.col("u.cy") + j).alias("cy")))))
-    near = first.withColumn("u", up).select("query_id", "qx", "qy", F.explode(block).alias("cell"))
+    near = first.withColumn("u", up).select("qx", "qy", F.explode(block).alias("cell"))
     top = fine.select("fine", F.explode(F.array(*[above("fine", k) for k in range(levels + 2)])).alias("cell"))
-    pairs = near.join(top, "cell").select("query_id", "qx", "qy", "fine")
+    pairs = near.join(top, "cell").select("qx", "qy", "fine")
     side = lambda c: (F.col(f"fine.c{c}") * cell + low[c], (F.col(f"fine.c{c}") + 1) * cell + low[c], F.col(f"q{c}"))
     gap = lambda c: F.greatest(side(c)[0] - side(c)[2], side(c)[2] - side(c)[1], F.lit(0.0))
     reach = lambda c: F.greatest(F.abs(side(c)[2] - side(c)[0]), F.abs(side(c)[1] - side(c)[2]))
     pairs = pairs.withColumns({"gap": F.sqrt(gap("x") * gap("x") + gap("y") * gap("y")), "reach": F.sqrt(reach("x") * reach("x") + reach("y") * reach("y"))})
     # A little slack covers the rounding of cells' borders.
-    bound = F.min("reach").over(Window.partitionBy("query_id", "qx", "qy"))
-    kept = pairs.withColumn("bound", bound).filter(F.col("gap") <= F.col("bound") * 1.000001 + extent * 1e-9).select("query_id", "qx", "qy", "fine")
-    best = kept.join(dealt, "fine").groupBy("query_id").agg(_nearest(dist2("x", "y", "qx", "qy"), id_col).alias("n"))
-    out = best.select("query_id", F.col("n.vehicle_id").alias(id_col), "n.x", "n.y", "n.distance")
-    return q.select("query_id").join(out, "query_id", "left")
+    bound = F.min("reach").over(Window.partitionBy("qx", "qy"))
+    kept = pairs.withColumn("bound", bound).filter(F.col("gap") <= F.col("bound") * 1.000001 + extent * 1e-9).select("qx", "qy", "fine")
+    best = kept.join(dealt, "fine").groupBy("qx", "qy").agg(_nearest(dist2("x", "y", "qx", "qy"), id_col).alias("n"))
+    out = best.select("qx", "qy", F.col("n.vehicle_id").alias(id_col), "n.x", "n.y", "n.distance")
+    return every.join(out, ["qx", "qy"], "left").select("query_id", id_col, "x", "y", "distance")
 
 
 def pick(queries: DataFrame, points: DataFrame, radius: float, cell: float = 50.0) -> DataFrame:
-    """queries(query_id, x, y) with the nearest point strictly within radius; queries without one are left out."""
-    boxes = queries.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy"), (F.col("x") - radius).alias("min_x"), (F.col("y") - radius).alias("min_y"), (F.col("x") + radius).alias("max_x"), (F.col("y") + radius).alias("max_y"))
+    """queries(query_id, x, y) with the nearest point strictly within radius; queries without one are left out. An id may repeat."""
+    every = queries.select("query_id", F.col("x").alias("qx"), F.col("y").alias("qy")).filter(placed("qx", "qy"))
+    boxes = queries.filter(placed()).select("x", "y").distinct().select(F.col("x").alias("qx"), F.col("y").alias("qy"), (F.col("x") - radius).alias("min_x"), (F.col("y") - radius).alias("min_y"), (F.col("x") + radius).alias("max_x"), (F.col("y") + radius).alias("max_y"))
     d2 = dist2("x", "y", "qx", "qy")
     near = range_join(points, boxes, cell).filter(F.sqrt(d2) < radius)
-    return near.groupBy("query_id").agg(_nearest(d2).alias("n")).select("query_id", "n.*")
+    return every.join(near.groupBy("qx", "qy").agg(_nearest(d2).alias("n")), ["qx", "qy"]).select("query_id", "n.*")
+
+
+#: Cells of a zone: a polygon of n vertices is cut into about n / 2 cells, at most 4**FINEST.
+FINEST = 6
+
+
+def zone_cells(zones: DataFrame, cell: float = 50.0) -> DataFrame:
+    """The columns of zones but polygon, with CELL, odd, steps and edges: one row for each cell in which points may lie inside.
+
+    A cell keeps the edges that its points must be tested with: `edges` is null where all its points are inside the polygon, and
+    cells with no point inside are left out. Edges left of a cell, and above or below its row, cross no ray from it. Whether an edge
+    right of it crosses a ray depends on the heights of its two ends alone; a height that two such edges share counts twice and so
+    not at all. Of the heights that are left, `odd` is whether those above the row are odd in number, and `steps` are those in it.
+    """
+    z = with_boxes(zones)
+    _own_name(z)
+    z = _proper(z).filter(F.size("polygon") >= 3)
+    n = F.size("polygon")
+    fine = F.least(F.greatest(F.floor(F.log2(F.greatest(n, F.lit(2)) / 2.0) / 2), F.lit(0)), F.lit(FINEST)).cast("int")
+    own = _level(cell)
+    # Finer grids are levels below those of boxes, down to -FINEST.
+    z = z.withColumn("_level", F.when(own == TOP, own).otherwise(own - fine))
+    point = lambda i: F.get("polygon", i)
+    edge = lambda i: F.struct(point(i)["x"].alias("xi"), point(i)["y"].alias("yi"), point(F.when(i == 0, n - 1).otherwise(i - 1))["x"].alias("xj"), point(F.when(i == 0, n - 1).otherwise(i - 1))["y"].alias("yj"))
+    # Level edges cross no ray.
+    sides = F.filter(F.transform(F.sequence(F.lit(0), n - 1), edge), lambda e: e["yi"] != e["yj"])
+    z = z.withColumn("_edges", sides)
+    size = F.pow(F.lit(2.0), F.col("_level")) * cell
+    numbers = lambda c: F.sequence(F.floor(F.col(f"min_{c}") / size).cast("long"), F.floor(F.col(f"max_{c}") / size).cast("long"))
+    wide = F.col("_level") == TOP
+    # Row by row, then cell by cell of the row. A little slack covers the rounding of cells' borders.
+    slack = lambda v: F.abs(v) * 1e-9 + size * 1e-9
+    rows = z.withColumn("_cy", F.explode(F.when(wide, F.array(F.lit(0).cast("long"))).otherwise(numbers("y"))))
+    low, high = F.col("_cy") * size, (F.col("_cy") + 1) * size
+    low, high = low - slack(low), high + slack(high)
+    in_row = F.filter("_edges", lambda e: (F.least(e["yi"], e["yj"]) <= high) & (F.greatest(e["yi"], e["yj"]) > low))
+    rows = rows.withColumn("_edges", F.when(wide, F.col("_edges")).otherwise(in_row))
+    rows = rows.withColumn("_cx", F.explode(F.when(wide, F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")).otherwise(numbers("x"))))
+    left, right = F.col("_cx") * size, (F.col("_cx") + 1) * size
+    left, right = left - slack(left), right + slack(right)
+    near = F.filter("_edges", lambda e: F.greatest(e["xi"], e["xj"]) >= left - (F.abs(e["xi"]) + F.abs(e["xj"])) * 1e-9)
+    beyond = lambda e: F.least(e["xi"], e["xj"]) - (F.abs(e["xi"]) + F.abs(e["xj"])) * 1e-9 > right
+    rows = rows.withColumn("_edges", F.when(wide, F.col("_edges")).otherwise(near))
+    ends = F.flatten(F.transform(F.filter("_edges", beyond), lambda e: F.array(e["yi"], e["yj"])))
+    rows = rows.withColumn("_ends", F.when(~wide, F.filter(ends, lambda y: y > low))).withColumn("edges", F.when(wide, F.col("_edges")).otherwise(F.filter("_edges", lambda e: ~beyond(e))))
+    none = F.array().cast("array<double>")
+    toggled = lambda acc, y: F.when(F.try_element_at(acc, F.lit(-1)) == y, F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(y)))
+    rows = rows.withColumn("odd", F.coalesce(F.size(F.filter("_ends", lambda y: y > high)) % 2 == 1, F.lit(False)))
+    rows = rows.withColumn("steps", F.aggregate(F.coalesce(F.sort_array(F.filter("_ends", lambda y: y <= high)), none), none, toggled))
+    tested = F.size("edges") + F.size("steps") > 0
+    rows = rows.filter(F.col("odd") | tested).withColumn("edges", F.when(tested, F.col("edges")))
+    return rows.withColumn(CELL, _cell(F.col("_level"), F.col("_cx"), F.col("_cy"))).drop("_level", "_cx", "_cy", "_edges", "_ends", "polygon")
+
+
+#: What in_zone_cell() reads, beside CELL.
+TEST = ("odd", "steps", "edges")
+
+
+def in_zone_cell(x="x", y="y") -> Column:
+    """Whether a point lies in the polygon, by what zone_cells() kept for its cell: F4 with the edges left to test."""
+    x, y = _c(x), _c(y)
+    at = lambda e: F.try_divide((e["xj"] - e["xi"]) * (y - e["yi"]), e["yj"] - e["yi"]) + e["xi"]
+    crossed = F.size(F.filter("edges", lambda e: ((e["yi"] > y) != (e["yj"] > y)) & (x < at(e))))
+    crossed = (crossed + F.size(F.filter("steps", lambda s: s > y))) % 2 == 1
+    return F.when(F.col("edges").isNull(), F.col("odd")).otherwise(crossed != F.col("odd"))
+
+
+def point_cells(levels: list[int], cell: float) -> Column:
+    """The cells of a point on the grids of some levels."""
+    return F.filter(F.array(*[_cell_of(x, F.col("x"), F.col("y"), cell) for x in levels]), lambda c: c.isNotNull())
 
 
 def zone_join(points: DataFrame, zones: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Points with every zone whose box and polygon hold them. zones(zone_id, polygon, min_x to max_y)."""
-    return range_join(points, with_boxes(zones), cell).filter(point_in_polygon("x", "y", "polygon")).drop("polygon", *BOX)
+    """Points with every zone whose box and polygon hold them. zones(zone_id, polygon, min_x to max_y).
+
+    Cells inside a polygon need no test, those on its edge are tested with the edges near them.
+    """
+    _own_name(points)
+    cells = cut(zone_cells(zones, cell))
+    levels = sorted(r["level"] for r in cells.select(f"{CELL}.level").distinct().collect())  # a few dozen at most
+    if not levels:
+        return points.join(cells.drop(CELL, *TEST, *BOX), F.lit(False))
+    p = points.filter(~F.isnan("x") & ~F.isnan("y")).withColumn(CELL, F.explode(point_cells(levels, cell)))
+    return p.join(cells, CELL).filter(in_box("x", "y", *BOX) & in_zone_cell()).drop(CELL, *TEST, *BOX)
 
 
 def with_boxes(zones: DataFrame) -> DataFrame:
@@ -169,14 +280,20 @@ def bbox_join(a: DataFrame, b: DataFrame, cell: float = 100.0) -> DataFrame:
     for s, df, other in (("a", a, b), ("b", b, a)):
         more = _levels(other, cell)
         level = _level(cell)
-        every = F.array_distinct(F.concat(F.array(level), F.filter(F.array(*[F.lit(x) for x in more]), lambda x: x > level))) if more else F.array(level)
-        cells = F.explode(F.flatten(F.transform(every, lambda x: _cells(x, cell))))
-        sides[s] = df.withColumn(f"_level_{s}", level).withColumn(CELL, cells).withColumnsRenamed({c: f"{c}_{s}" for c in BOX})
+        grids = [x for x in more if x != TOP]
+        every = F.array_distinct(F.concat(F.array(level), F.filter(F.array(*[F.lit(x) for x in grids]), lambda x: x > level))) if grids else F.array(level)
+        cells = F.flatten(F.transform(every, lambda x: _cells(x, cell)))
+        if TOP in more:  # unbounded boxes of the other side are in every part; any other box looks into one
+            cells = F.when(level == TOP, cells).otherwise(F.concat(cells, F.array(_cell(F.lit(TOP), _part(*BOX), F.lit(0)))))
+        sides[s] = df.withColumn(f"_level_{s}", level).withColumn(CELL, F.explode(cells)).withColumnsRenamed({c: f"{c}_{s}" for c in BOX})
     met = sides["a"].join(sides["b"], CELL).filter(F.col(f"{CELL}.level") == F.greatest("_level_a", "_level_b"))
     meets = boxes_meet([f"{c}_a" for c in BOX], [f"{c}_b" for c in BOX])
     size = F.pow(F.lit(2.0), F.col(f"{CELL}.level")) * cell
     own = lambda c: F.col(f"{CELL}.c{c}") == F.floor(F.greatest(f"min_{c}_a", f"min_{c}_b") / size)
-    return met.filter(meets & own("x") & own("y")).drop(CELL, *[f"{c}_{s}" for c in (*BOX, "_level") for s in "ab"])
+    # Two unbounded boxes meet in every part, and report in the first; others there meet in one.
+    first = (F.least("_level_a", "_level_b") < TOP) | (F.col(f"{CELL}.cx") == 0)
+    met = met.filter(meets & F.when(F.greatest("_level_a", "_level_b") == TOP, first).otherwise(own("x") & own("y")))
+    return met.drop(CELL, *[f"{c}_{s}" for c in (*BOX, "_level") for s in "ab"])
 
 
 def viewport_points(snapshot: DataFrame, viewports: DataFrame) -> DataFrame:
@@ -195,8 +312,8 @@ def viewport_zones(zones: DataFrame, viewports: DataFrame) -> DataFrame:
 
 def neighbours(points: DataFrame, r: float, cell: float | None = None) -> DataFrame:
     """vehicle_id, neighbour_id: points in the closed box of half side r around each, itself included."""
-    boxes = points.filter(~F.isnan("x") & ~F.isnan("y")).select(F.col("vehicle_id").alias("center_id"), (F.col("x") - r).alias("min_x"), (F.col("y") - r).alias("min_y"), (F.col("x") + r).alias("max_x"), (F.col("y") + r).alias("max_y"))
-    return range_join(points.select("vehicle_id", "x", "y"), boxes, cell or 2 * r).select(F.col("center_id").alias("vehicle_id"), F.col("vehicle_id").alias("neighbour_id"))
+    boxes = points.filter(placed()).select(F.col("vehicle_id").alias("center_id"), (F.col("x") - r).alias("min_x"), (F.col("y") - r).alias("min_y"), (F.col("x") + r).alias("max_x"), (F.col("y") + r).alias("max_y"))
+    return range_join(points.select("vehicle_id", "x", "y").filter(placed()), boxes, cell or 2 * r).select(F.col("center_id").alias("vehicle_id"), F.col("vehicle_id").alias("neighbour_id"))
 
 
 def snap_to_node(points: DataFrame, nodes: DataFrame, cell: float | None = None) -> DataFrame:
@@ -222,3 +339,28 @@ def quadtree_leaves(points: DataFrame, bounds=BOUNDS, capacity: int = 32, max_de
     leaves = every.filter((F.col("n") <= capacity) | (F.col("depth") == max_depth))
     w, h = F.lit(x1 - x0) / F.pow(F.lit(2.0), F.col("depth")), F.lit(y1 - y0) / F.pow(F.lit(2.0), F.col("depth"))
     return leaves.select("depth", (F.col("cx") * w + x0).alias("min_x"), (F.col("cy") * h + y0).alias("min_y"), ((F.col("cx") + 1) * w + x0).alias("max_x"), ((F.col("cy") + 1) * h + y0).alias("max_y"), "n")
+
+
+def leaf_cells(points: DataFrame, capacity: int, max_depth: int = 24) -> DataFrame:
+    """points(x, y) with `cell`, a long: a leaf of A5's tree over the points' own extent, so that a cell holds at most
+    `capacity` points (more at one place, or where max_depth ends). Points without a place are dealt evenly to cells of their own, of about that size.
+    """
+    fine = points.filter(placed())
+    ends = fine.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "a"), (F.max, "b"))]).first()
+    lost = points.filter(~placed()).count()
+    rest = points.filter(~placed()).withColumn("cell", -1 - F.pmod(F.monotonically_increasing_id(), F.lit(max(1, -(-lost // capacity)))))
+    if ends["ax"] is None:
+        return rest
+    side = max(ends["bx"] - ends["ax"], ends["by"] - ends["ay"]) or 1.0
+    bounds = (ends["ax"], ends["ay"], ends["ax"] + side, ends["ay"] + side)
+    leaves = quadtree_leaves(fine, bounds, capacity, max_depth)
+    w = lambda c, low: F.round((F.col(c) - low) / (side / F.pow(F.lit(2.0), F.col("depth")))).cast("long")
+    leaves = leaves.filter("n > 0").select("depth", w("min_x", bounds[0]).alias("cx"), w("min_y", bounds[1]).alias("cy"))
+    at = lambda c, k: quad_index(c, bounds[k], bounds[k + 2], max_depth)
+    dealt = fine.withColumn("_fine", F.struct(at("x", 0).alias("ix"), at("y", 1).alias("iy")))
+    up = dealt.select("_fine").distinct().select("_fine", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
+    shift = lambda c: F.expr(f"shiftright(_fine.{c}, {max_depth} - depth)")
+    # A number for each leaf: its place in the finest grid, by bits, is its own.
+    number = (F.col("cx") * F.pow(F.lit(2), max_depth - F.col("depth")).cast("long") * (1 << max_depth) + F.col("cy") * F.pow(F.lit(2), max_depth - F.col("depth")).cast("long")).alias("cell")
+    found = up.select("_fine", "depth", shift("ix").alias("cx"), shift("iy").alias("cy")).join(leaves, ["depth", "cx", "cy"]).select("_fine", number)
+    return dealt.join(found, "_fine").drop("_fine").unionByName(rest)

@@ -43,11 +43,11 @@ def latency_summary(df: DataFrame, value_ns: str = "ns", group: str = "grp", exa
     """A2: nearest-rank p50, p95, p99 and mean in ms, and count; exact=False uses sketches, whose size
     doesn't grow with the data. A null group is a group like others."""
     ps = (0.5, 0.95, 0.99)
-    marked = df.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit("\0"))) if exact else df
+    marked = df.withColumn(group, F.struct(F.col(group).alias("key"))) if exact else df  # a struct around null is equal to itself
     sums = [F.sum(value_ns).alias("total"), F.count(value_ns).alias("n")]
     if exact:
         q = exact_quantiles(marked, value_ns, group, ps).groupBy(group).agg(*[(F.max(F.when(F.col("p") == p, F.col("v"))) / 1e6).alias(f"p{round(p * 100)}") for p in ps])
-        agg = marked.groupBy(group).agg(*sums).join(q, group, "left").withColumn(group, F.when(F.col(group) != "\0", F.col(group)).cast(dict(df.dtypes)[group]))
+        agg = marked.groupBy(group).agg(*sums).join(q, group, "left").withColumn(group, F.col(group)["key"])
     else:
         agg = df.groupBy(group).agg(*[(F.percentile_approx(value_ns, p, 10000) / 1e6).alias(f"p{round(p * 100)}") for p in ps], *sums)
     mean = F.col("total") / F.col("n") / 1e6

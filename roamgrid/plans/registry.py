@@ -266,7 +266,8 @@ _COST = "CASE WHEN dst < 400 THEN 50.0::DOUBLE * (abs(src % 20 - dst % 20) + abs
 
 @query(f"SELECT request_id, {_COST} AS total_cost, src = dst OR dst < 400 AS found FROM rq")
 def shortest_path_cost(s, d):
-    return graph.shortest_path_cost(fx.requests(s, d), *grid(s))
+    """Over an overlay of cells of at most 100 nodes."""
+    return graph.shortest_path_cost(fx.requests(s, d), *grid(s), capacity=100)
 
 
 @query("""
@@ -315,16 +316,34 @@ def route(s, d):
     return graph.route(q.select(F.col("query_id").alias("request_id"), "x", "y", (1000 - F.col("x")).alias("dest_x"), (F.col("y") / 2).alias("dest_y")), *grid(s))
 
 
-# The names under which the routing queries over whole tables were registered at first.
-for _name in ("shortest_path_cost", "shortest_path_irregular", "shortest_path_nodes", "route_segments", "route"):
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
-
-
 @query("SELECT vehicle_id, x, y, ts_ms FROM p")
 def frames_roundtrip(s, d):
     return frames.decode_frames(frames.encode_frames(fx.positions(s, d)))
 
 
+@query("SELECT vehicle_id, x, y, ts_ms FROM p")
+def frame_files(s, d):
+    """Files of frames, with a part of a frame at the end of each, read in ranges."""
+    path = new_dir(s, "frames")
+    frames.write_frame_files(fx.positions(s, d), path)
+    frames.append_bytes(path, b"partial frame")
+    return frames.read_frame_files(s, path, part=1 << 16)
+
+
+@query("SELECT vehicle_id, x, y, ts_ms FROM p")
+def stream_frame_files(s, d):
+    """The same by a stream: half of the updates, a part of a frame, its rest and the other half later."""
+    path, out, state = new_dir(s, "frames"), new_dir(s, "stream-out"), new_dir(s, "stream-state")
+    p = fx.positions(s, d)
+    one = frames.encode_frames(s.createDataFrame([(-1, 0.5, 0.5, 7)], frames.UPDATES)).first()["content"]
+    grown = None
+    for half, tail in ((0, one[:13]), (1, one[13:])):
+        frames.write_frame_files(p.filter(F.col("event_id") % 2 == half), path)
+        grown = frames.append_bytes(path, tail, grown)
+        _run(frames.read_frame_stream(s, path, 1 << 16).writeStream.format("parquet").option("path", out).outputMode("append"), state)
+    return s.read.schema(frames.UPDATES).parquet(out).filter("vehicle_id >= 0")
+
+
 #: Batches of the streams, of one file for each ROWS updates; the stream is stopped and started again after the first few.
 FILES, FIRST, ROWS = 6, 3, 1_000_000
 
@@ -339,11 +358,11 @@ _AGE = f"least((ts_ms - lo) * {FILES} // (hi - lo + 1), {FILES - 1})"
 _FILED = f"lim AS (SELECT min(ts_ms) AS lo, max(ts_ms) AS hi FROM pr), fp AS (SELECT p.*, least({_AGE} + CASE WHEN event_id % 50 = 7 THEN 1 ELSE 0 END, {FILES - 1}) AS part FROM p, lim)"
 
 
-def _stream(s, d, start):
+def _stream(s, d, start, late=True):
     """All raw updates through start(stream of valid positions), a writer that ends when all files are read.
 
     Batches arrive one by one and are read one by one; after FIRST of them the stream ends and goes on
-    from its checkpoint when all are there. Some updates come a batch later than their time.
+    from its checkpoint when all are there. Some updates come a batch later than their time if `late`.
     """
     path, state = new_dir(s, "stream-in"), new_dir(s, "stream-state")
     raw = fx.positions_raw(s, d)
@@ -351,7 +370,7 @@ def _stream(s, d, start):
     if span["lo"] is None:
         span = {"lo": 0, "hi": 0}
     files = max(1, raw.count() // (FILES * ROWS))  # of each batch
-    dealt = cut(raw.withColumn("age", F.least(F.expr(f"(ts_ms - {span['lo']}) * {FILES} div {span['hi'] - span['lo'] + 1}"), F.lit(FILES - 1))).withColumn("part", _key()))
+    dealt = cut(raw.withColumn("age", F.least(F.expr(f"(ts_ms - {span['lo']}) * {FILES} div {span['hi'] - span['lo'] + 1}"), F.lit(FILES - 1))).withColumn("part", _key() if late else F.col("age")))
     for k in range(FILES):
         rows = dealt.filter(F.col("part") == k).select("event_id", "vehicle_id", "ts_ms", "x", "y")
         rows.repartition(files).write.mode("append").parquet(path)
@@ -371,9 +390,25 @@ def stream_latest(s, d):
     return streams.read_snapshot(s, path).select("vehicle_id", "x", "y", "ts_ms")
 
 
-def _zone_events(s, d, write):
-    zones = [{"zone_id": z, "polygon": p, "box": tuple(map(float, b))} for z, p, b in fx.ZONES]
-    _stream(s, d, lambda stream, state: write(streams.zone_event_stream(stream, zones), state))
+@query(f""", {_FILED}, k AS (SELECT unnest(range(1, {FILES} + 1)) AS version)
+SELECT version, vehicle_id, x, y, ts_ms FROM (SELECT version, vehicle_id, x, y, ts_ms, row_number() OVER (PARTITION BY version, vehicle_id ORDER BY ts_ms DESC, event_id DESC) AS rn FROM k JOIN fp ON part < version) WHERE rn = 1""")
+def snapshot_versions(s, d):
+    """What each publish of a stream showed; the first is read under a lease, which two compactions leave alone."""
+    path = new_dir(s, "snapshots")
+    start = lambda stream, state: streams.write_snapshots(stream, path, state, {"availableNow": True}, compact_every=2, keep_versions=FILES).awaitTermination()
+    _stream(s, d, start)
+    with streams.lease(s, path, 1) as first:
+        streams.compact(s, path, FILES - 1, FILES - 1)
+        streams.compact(s, path, FILES - 1, FILES - 1)
+        first = cut(first)
+    every = first.withColumn("version", F.lit(1))
+    for v in streams.versions(s, path):
+        every = every.unionByName(streams.read_snapshot(s, path, v).withColumn("version", F.lit(v)))
+    return every.select(F.col("version").cast("long"), "vehicle_id", "x", "y", "ts_ms")
+
+
+def _zone_events(s, d, write, late=True, **options):
+    _stream(s, d, lambda stream, state: write(streams.zone_event_stream(stream, fx.zones(s), **options), state), late)
 
 
 # Of a vehicle's updates those count that aren't older than the newest of the files before.
@@ -384,7 +419,23 @@ _ON_TIME = f", {_FILED}, nw AS (SELECT vehicle_id, part, max(ts_ms::HUGEINT * 10
 def stream_zone_events(s, d):
     path = new_dir(s, "stream-out")
     _zone_events(s, d, lambda events, state: _run(events.writeStream.format("parquet").option("path", path).outputMode("append"), state))
-    return s.read.schema("vehicle_id long, zone_id string, event_type string, ts_ms long").parquet(path)
+    return s.read.schema(streams.EVENTS).parquet(path)
+
+
+#: A vehicle that is silent for a day leaves its zones then; at the end, if the watermark, six hours behind the newest update, says so.
+SILENT, LATE_HOURS = 24 * 3600 * 1000, 6
+
+
+@query(f""", n AS (SELECT *, row_number() OVER () AS id FROM p), i AS (SELECT id, zone_id FROM {fx.inside('n')}),
+f AS (SELECT n.*, z.zone_id, i.id IS NOT NULL AS now FROM n CROSS JOIN z LEFT JOIN i ON i.id = n.id AND i.zone_id = z.zone_id),
+g AS (SELECT *, lag(ts_ms) OVER w AS before, lead(ts_ms) OVER w AS after, coalesce(lag(now) OVER w, false) AS prev FROM f WINDOW w AS (PARTITION BY vehicle_id, zone_id ORDER BY ts_ms, event_id)),
+h AS (SELECT *, prev AND ts_ms - before <= {SILENT} AS was FROM g)
+SELECT vehicle_id, zone_id, CASE WHEN now THEN 'ENTER' ELSE 'EXIT' END AS event_type, ts_ms FROM h WHERE now <> was
+UNION ALL SELECT vehicle_id, zone_id, 'EXIT', ts_ms + {SILENT} FROM h WHERE now AND (after - ts_ms > {SILENT} OR after IS NULL AND ts_ms + {SILENT} <= (SELECT max(ts_ms) FROM p) - {LATE_HOURS * 3600 * 1000})""")
+def stream_silent_vehicles(s, d):
+    path = new_dir(s, "stream-out")
+    _zone_events(s, d, lambda events, state: _run(events.writeStream.format("parquet").option("path", path).outputMode("append"), state), late=False, silent_ms=SILENT, wait=f"{LATE_HOURS} hours")
+    return s.read.schema(streams.EVENTS).parquet(path)
 
 
 @query(_ON_TIME + "g0 AS (SELECT * FROM (WITH " + _transitions("ot", "ts_ms, event_id") + ")) SELECT 'ALERT: Vehicle ' || vehicle_id || ' ' || event_type || ' zone ' || zone_id AS line FROM g0")
@@ -412,7 +463,6 @@ def read_positions(s, d):
 
 
 
-
 @query(f"SELECT 'box ' || box_id AS zone_id, seq, t.x, t.y, min_x, max_y FROM boxes, LATERAL (VALUES {_CORNERS}) t(seq, x, y)")
 def read_zones(s, d):
     """Zones of the boxes' corners, written as JSON and read back."""

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.expr import in_box, point_in_polygon
+from ..functions.expr import in_box
 from ..operators.geofence import alert_lines
+from ..operators.spatial import BOX, CELL, in_zone_cell, point_cells, zone_cells
 from ..operators.summary import update_rate
+from ..plans.cut import cut
 
 
 def latest_position_stream(stream: DataFrame) -> DataFrame:
@@ -22,7 +26,7 @@ def latest_position_stream(stream: DataFrame) -> DataFrame:
 
 
 def _batches(spark: SparkSession, path: str, kind: str) -> list[int]:
-    """Numbers of the batches that are whole under path/kind."""
+    """Numbers of what is whole under path/kind."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     root = hadoop(f"{path}/{kind}")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -39,29 +43,109 @@ def _remove(spark: SparkSession, path: str, kind: str, batches: list[int]) -> No
 
 
 SNAPSHOT = "vehicle_id long, x double, y double, ts_ms long, event_id long"
+#: What a publish consists of: the state after batch `upto` is a base (-1: none) and the changes since.
+MANIFEST = "at_ms long, upto long, base long, changes array<bigint>"
+LEASE = "version long, until_ms long"
 
 
-def _state(spark: SparkSession, path: str, upto: int) -> DataFrame:
-    """The state after batch `upto`: the newest whole base up to there and the changes after it."""
-    bases = [b for b in _batches(spark, path, "base") if b <= upto]
-    since = bases[-1] if bases else -1
-    parts = [f"{path}/base/batch_id={since}"] if bases else []
-    parts += [f"{path}/changes/batch_id={b}" for b in _batches(spark, path, "changes") if since < b <= upto]
+def _now() -> int:
+    return int(time.time() * 1000)
+
+
+def _state(spark: SparkSession, path: str, base: int, changes: list[int]) -> DataFrame:
+    parts = [f"{path}/base/batch_id={base}"] if base >= 0 else []
+    parts += [f"{path}/changes/batch_id={b}" for b in changes]
     rows = spark.read.schema(SNAPSHOT).parquet(*parts) if parts else spark.createDataFrame([], SNAPSHOT)
     last = F.max_by(F.struct("x", "y", "ts_ms", "event_id"), F.struct("ts_ms", "event_id")).alias("p")
     return rows.groupBy("vehicle_id").agg(last).select("vehicle_id", "p.*")
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot published last, and nothing of batches after it or of one that is being written."""
-    found = _batches(spark, path, "published")
-    return _state(spark, path, found[-1] if found else -1)
+def _parts(spark: SparkSession, path: str, upto: int) -> tuple[int, list[int]]:
+    """The newest whole base up to a batch (-1: none), and the changes after it up to there."""
+    base = max((b for b in _batches(spark, path, "base") if b <= upto), default=-1)
+    return base, [b for b in _batches(spark, path, "changes") if base < b <= upto]
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """U4: the publishes that can still be read, by number from 1."""
+    return _batches(spark, path, "published")
+
+
+def _manifest(spark: SparkSession, path: str, version: int, kind: str = "published"):
+    return spark.read.schema(MANIFEST).parquet(f"{path}/{kind}/batch_id={version}").first()
+
+
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The snapshot published last, or that of publish `version`, and nothing of batches after it or of one that is
+    being written. Nothing was published: no rows; a version that isn't kept: ValueError.
+
+    The last snapshots are kept as write_snapshots() says. Who reads one for longer holds a lease().
+    """
+    found = versions(spark, path)
+    if version is None:
+        if not found:
+            return _state(spark, path, -1, [])
+        version = found[-1]
+    if version not in found:
+        raise ValueError(f"publish {version} isn't kept; there are {found}")
+    m = _manifest(spark, path, version)
+    return _state(spark, path, m["base"], list(m["changes"]))
+
+
+@contextmanager
+def lease(spark: SparkSession, path: str, version: int, seconds: float = 3600.0) -> Iterator[DataFrame]:
+    """U4: the snapshot of a publish, whose files aren't removed while the lease is held, nor before `seconds` have passed if its holder dies."""
+    number = uuid.uuid4().int >> 66
+    spark.createDataFrame([(version, _now() + int(seconds * 1000))], LEASE).coalesce(1).write.parquet(f"{path}/leases/batch_id={number}")
+    try:
+        # Only now: what is there after the lease was written stays.
+        yield read_snapshot(spark, path, version)
+    finally:
+        _remove(spark, path, "leases", [number])
+
+
+def _leased(spark: SparkSession, path: str) -> set[int]:
+    """Versions under a lease; leases that have run out are removed."""
+    out = set()
+    for n in _batches(spark, path, "leases"):
+        row = spark.read.schema(LEASE).parquet(f"{path}/leases/batch_id={n}").first()
+        if row["until_ms"] >= _now():
+            out.add(row["version"])
+        else:
+            _remove(spark, path, "leases", [n])
+    return out
 
 
 def publish(spark: SparkSession, path: str) -> None:
-    """Makes all whole batches visible now."""
-    if found := _batches(spark, path, "changes"):
-        spark.createDataFrame([(int(time.time() * 1000),)], "at_ms long").coalesce(1).write.mode("overwrite").parquet(f"{path}/published/batch_id={found[-1]}")
+    """Makes all whole batches visible now, as the next version, if there are any since the last one."""
+    every, shown = _batches(spark, path, "changes"), versions(spark, path)
+    upto = _manifest(spark, path, shown[-1])["upto"] if shown else -1
+    if every and every[-1] > upto:
+        base, changes = _parts(spark, path, every[-1])
+        row = spark.createDataFrame([(_now(), every[-1], base, changes)], MANIFEST)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{path}/published/batch_id={(shown[-1] if shown else 0) + 1}")
+
+
+def compact(spark: SparkSession, path: str, upto: int, keep_versions: int) -> None:
+    """Writes the state after batch `upto` whole as a new base, and removes files that no publish needs any more.
+
+    Publishes before the last keep_versions are retired: they can't be read anew. Their files go with the next
+    compaction, when the leases of all who found them before are there to be seen, or once these leases end.
+    """
+    base, changes = _parts(spark, path, upto)
+    if base < upto:
+        _state(spark, path, base, changes).write.mode("overwrite").parquet(f"{path}/base/batch_id={upto}")
+    shown, leased = versions(spark, path), _leased(spark, path)
+    _remove(spark, path, "retired", [v for v in _batches(spark, path, "retired") if v not in leased and v not in shown])
+    for v in shown[: max(0, len(shown) - keep_versions)]:
+        spark.createDataFrame([_manifest(spark, path, v)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/retired/batch_id={v}")
+        _remove(spark, path, "published", [v])
+    kept = [_manifest(spark, path, v, kind) for kind in ("published", "retired") for v in _batches(spark, path, kind)]
+    needed = {"base": {m["base"] for m in kept}, "changes": {b for m in kept for b in m["changes"]}}
+    # The newest base and what came since it belong to publishes to come; changes that wait for one are counted until then.
+    newest, upto = max(_batches(spark, path, "base")), max((m["upto"] for m in kept), default=-1)
+    _remove(spark, path, "base", [b for b in _batches(spark, path, "base") if b not in needed["base"] and b < newest])
+    _remove(spark, path, "changes", [b for b in _batches(spark, path, "changes") if b not in needed["changes"] and b <= min(newest, upto)])
 
 
 def write_snapshots(
@@ -73,6 +157,7 @@ def write_snapshots(
     publish_max_rows: int = 1,
     publish_interval: float = 0.0,
     compact_every: int = 16,
+    keep_versions: int = 1,
 ):
     """Each batch writes the vehicles that it changed under its own batch id; a batch that is
     run again writes the same again.
@@ -80,62 +165,104 @@ def write_snapshots(
     It becomes visible once at least publish_max_rows changed rows wait, or publish_interval seconds
     have passed since the last time (0: only rows count); publish() does it at once, as for the
     rest when the stream is stopped. Every compact_every batches the state is written whole as a new
-    base; bases and changes that only readers of older snapshots need are removed one base later.
+    base, and what only older publishes than the last keep_versions need is removed, but for those under a lease().
     trigger: {"processingTime": ...} or {"availableNow": True}; rows per batch are bounded at the source.
     """
 
     def step(changed: DataFrame, batch: int) -> None:
         spark = changed.sparkSession
         changed.select("vehicle_id", "x", "y", "ts_ms", "event_id").write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch}")
-        shown = [b for b in _batches(spark, path, "published") if b < batch]
-        waiting = [b for b in _batches(spark, path, "changes") if b > (shown[-1] if shown else -1)]
-        rows = spark.read.schema(SNAPSHOT).parquet(*[f"{path}/changes/batch_id={b}" for b in waiting]).count()
-        due = False
-        if publish_interval and shown:
-            due = time.time() * 1000 - spark.read.schema("at_ms long").parquet(f"{path}/published/batch_id={shown[-1]}").first()["at_ms"] >= publish_interval * 1000
-        if rows >= publish_max_rows or due:
-            publish(spark, path)
-            _remove(spark, path, "published", shown[:-1])
+        shown = versions(spark, path)
+        last = _manifest(spark, path, shown[-1]) if shown else None
+        waiting = [b for b in _batches(spark, path, "changes") if b > (last["upto"] if last else -1)]
+        if waiting:
+            rows = spark.read.schema(SNAPSHOT).parquet(*[f"{path}/changes/batch_id={b}" for b in waiting]).count()
+            due = publish_interval and last and _now() - last["at_ms"] >= publish_interval * 1000
+            if rows >= publish_max_rows or due:
+                publish(spark, path)
         if batch % compact_every == compact_every - 1:
-            _state(spark, path, batch).write.mode("overwrite").parquet(f"{path}/base/batch_id={batch}")
-            bases = _batches(spark, path, "base")
-            old = min(bases[-2] if len(bases) > 1 else -1, shown[-1] if shown else -1)
-            keep = max([b for b in bases if b <= old], default=-1)
-            _remove(spark, path, "base", [b for b in bases if b < keep])
-            _remove(spark, path, "changes", [b for b in _batches(spark, path, "changes") if b <= keep])
+            compact(spark, path, batch, keep_versions)
 
     return latest_position_stream(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).foreachBatch(step).start()
 
 
-def zone_event_stream(stream: DataFrame, zones: list[dict]) -> DataFrame:
-    """vehicle_id, zone_id, event_type, ts_ms. zones: zone_id, polygon [(x, y)], box; a bounded
-    list that becomes part of the plan. For each vehicle the zones that it is in are its state; rows
-    older than the state are left out."""
-    names = [z["zone_id"] for z in zones]
-    inside = []
-    for i, z in enumerate(zones):
-        polygon = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in z["polygon"]])
-        inside.append(F.when(in_box("x", "y", *z["box"]) & point_in_polygon("x", "y", polygon), F.lit(i)))
-    rows = stream.select("vehicle_id", "ts_ms", "event_id", F.filter(F.array(*inside), lambda v: v.isNotNull()).alias("zones"))
-
-    def step(key, pdfs, state):
-        at, event, now = state.get if state.exists else (-(2**63), -(2**63), [])
-        pdf = pd.concat(list(pdfs)).sort_values(["ts_ms", "event_id"])
-        pdf = pdf[(pdf["ts_ms"] > at) | ((pdf["ts_ms"] == at) & (pdf["event_id"] >= event))]
-        if not len(pdf):
-            return
-        # Row 0 is the state; a change from one row to the next is an event of the later one.
-        member = np.zeros((len(pdf) + 1, len(names)), np.int8)
-        member[0, list(now)] = 1
-        size = pdf["zones"].map(len).to_numpy()
-        member[np.repeat(np.arange(1, len(pdf) + 1), size), np.concatenate([np.asarray(z, int) for z in pdf["zones"]])] = 1
-        turn = np.diff(member, axis=0)
-        row, zone = np.nonzero(turn)
-        ts = pdf["ts_ms"].to_numpy()
-        state.update((int(ts[-1]), int(pdf["event_id"].iloc[-1]), np.flatnonzero(member[-1]).tolist()))
-        yield pd.DataFrame({"vehicle_id": key[0], "zone_id": np.array(names, object)[zone], "event_type": np.where(turn[row, zone] > 0, "ENTER", "EXIT"), "ts_ms": ts[row]})
-
-    return rows.groupBy("vehicle_id").applyInPandasWithState(step, "vehicle_id long, zone_id string, event_type string, ts_ms long", "ts_ms long, event_id long, zones array<int>", "append", GroupStateTimeout.NoTimeout)
+EVENTS = "vehicle_id long, zone_id string, event_type string, ts_ms long"
+
+
+class ZoneTracker(StatefulProcessor):
+    """Per vehicle the zones that it is in, and its newest update; with silent_ms also a timer for when it has said nothing for so long."""
+
+    def __init__(self, silent_ms: int | None):
+        self.silent_ms = silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "ts_ms long, event_id long, zones array<string>")
+
+    def _events(self, vehicle, rows):
+        zone, kind, ts = zip(*rows, strict=True)
+        return pd.DataFrame({"vehicle_id": [vehicle] * len(rows), "zone_id": zone, "event_type": kind, "ts_ms": ts})
+
+    def handleInputRows(self, key, rows, timerValues):
+        """rows: one or more for each update, with a zone that it lies in or none."""
+        at, event, zones = self.seen.get() if self.seen.exists() else (None, None, [])
+        before, inside = at, set(zones)
+        updates: dict = {}
+        for pdf in rows:
+            for ts, e, zone in zip(pdf["ts_ms"].tolist(), pdf["event_id"].tolist(), pdf["zone_id"].tolist(), strict=True):
+                if at is None or (ts, e) >= (at, event):
+                    held = updates.setdefault((ts, e), set())
+                    if isinstance(zone, str):
+                        held.add(zone)
+        out = []
+        for (ts, e), now in sorted(updates.items(), key=lambda u: u[0]):
+            if self.silent_ms is not None and at is not None and ts > at + self.silent_ms:
+                out += [(z, "EXIT", at + self.silent_ms) for z in sorted(inside)]
+                inside = set()
+            out += [(z, "EXIT", ts) for z in sorted(inside - now)] + [(z, "ENTER", ts) for z in sorted(now - inside)]
+            at, event, inside = ts, e, now
+        if updates:
+            self.seen.update((at, event, sorted(inside)))
+            if self.silent_ms is not None:
+                if before is not None:
+                    self.handle.deleteTimer(before + self.silent_ms)
+                self.handle.registerTimer(at + self.silent_ms)
+        if out:
+            yield self._events(key[0], out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """The vehicle leaves its zones and is forgotten."""
+        at, _, zones = self.seen.get()
+        self.seen.clear()
+        if zones:
+            yield self._events(key[0], [(z, "EXIT", at + self.silent_ms) for z in zones])
+
+    def close(self) -> None:
+        pass
+
+
+def zone_event_stream(stream: DataFrame, zones: DataFrame, *, cell: float = 50.0, silent_ms: int | None = None, wait: str = "10 minutes") -> DataFrame:
+    """vehicle_id, zone_id, event_type, ts_ms of the transitions of each vehicle's zones, which are its state.
+
+    zones(zone_id, polygon, min_x to max_y) is a table, which each batch is joined with by cells as in zone_join();
+    after a restart it may be another one. Of a vehicle's updates those count that aren't older than its newest in the
+    batches before. With silent_ms a vehicle that says nothing for so long leaves its zones then and is forgotten, as
+    soon as the watermark says so, `wait` behind the newest update; updates behind the watermark are left out.
+    Needs the RocksDB state store, which is set in the session.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    cells = cut(zone_cells(zones.select("zone_id", "polygon", *BOX), cell))
+    levels = sorted(r["level"] for r in cells.select(f"{CELL}.level").distinct().collect()) or [0]
+    rows = stream.select("vehicle_id", "ts_ms", "event_id", "x", "y")
+    if silent_ms is not None:
+        rows = rows.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", wait)
+    # The place of an update in no grid at all stands for the update itself.
+    rows = rows.withColumn(CELL, F.explode(F.concat(F.array(F.lit(None).cast("struct<level:int,cx:bigint,cy:bigint>")), point_cells(levels, cell))))
+    held = rows.join(cells, CELL, "left").withColumn("zone_id", F.when(in_box("x", "y", *BOX) & in_zone_cell(), F.col("zone_id")))
+    held = held.filter(F.col(CELL).isNull() | F.col("zone_id").isNotNull()).select("vehicle_id", "ts_ms", "event_id", "zone_id", *(["at"] if silent_ms is not None else []))
+    mode = "none" if silent_ms is None else "eventTime"
+    return held.groupBy("vehicle_id").transformWithStateInPandas(ZoneTracker(silent_ms), EVENTS, "Append", mode)
 
 
 def update_rate_stream(stream: DataFrame, width: str = "1 second", n: int = 2, late: str = "10 minutes") -> DataFrame:

@@ -31,14 +31,14 @@ def steps(a, b):
 
 def test_costs_on_the_grid(spark, tables):
     path, t = tables
-    got = {r["request_id"]: (r["total_cost"], r["found"]) for r in QUERIES["shortest_path_cost_all"](spark, path).collect()}
+    got = {r["request_id"]: (r["total_cost"], r["found"]) for r in QUERIES["shortest_path_cost"](spark, path).collect()}
     assert got == {k: (0.0, a == b) if b >= 400 or a == b else (50.0 * steps(a, b), True) for k, (a, b) in wanted(t, 400).items()}
 
 
 def test_paths_and_segments(spark, tables):
     path, t = tables
     paths = {}
-    for r in QUERIES["shortest_path_nodes_all"](spark, path).orderBy("request_id", "seq").collect():
+    for r in QUERIES["shortest_path_nodes"](spark, path).orderBy("request_id", "seq").collect():
         paths.setdefault(r["request_id"], []).append(r["node_id"])
     known = {k: v for k, v in wanted(t, 400).items() if v[1] < 400}
     assert paths.keys() == known.keys()
@@ -50,7 +50,7 @@ def test_paths_and_segments(spark, tables):
         assert paths[k] == p[::-1]
     at = lambda i: (i % 20 * 50.0, i // 20 * 50.0)
     want = sorted((k, i, *at(a), *at(b)) for k, p in paths.items() for i, (a, b) in enumerate(pairwise(p)))
-    assert sorted(map(tuple, QUERIES["route_segments_all"](spark, path).collect())) == want
+    assert sorted(map(tuple, QUERIES["route_segments"](spark, path).collect())) == want
 
 
 def test_irregular_graph(spark, tables):
@@ -65,7 +65,7 @@ def test_irregular_graph(spark, tables):
         for row in dist:
             if (via := row[k]) < math.inf:
                 row[:] = [min(x, via + y) for x, y in zip(row, dist[k], strict=True)]
-    got = {r["request_id"]: (r["total_cost"], r["found"]) for r in QUERIES["shortest_path_irregular_all"](spark, path).collect()}
+    got = {r["request_id"]: (r["total_cost"], r["found"]) for r in QUERIES["shortest_path_irregular"](spark, path).collect()}
     req = wanted(t, 300)
     assert got.keys() == req.keys()
     for k, (a, b) in req.items():
@@ -81,4 +81,4 @@ def test_routes_of_all_points(spark, tables):
         x, y = float(k * 37 % 1001), float(k * 91 % 1001)
         a, b = near(x, y), near(1000 - x, y / 2)
         want[k] = (a, b, 50.0 * steps(a, b), True)
-    assert {r["request_id"]: tuple(r)[1:] for r in QUERIES["route_all"](spark, path).collect()} == want
+    assert {r["request_id"]: tuple(r)[1:] for r in QUERIES["route"](spark, path).collect()} == want

@@ -24,40 +24,70 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
+#: Elements that running() takes one by one.
+STRETCH = 256
+_MOST = 2**31 - 1
 
 
-def _spans(text, pattern: str, kind: int, when, value=None, least: int = 0):
-    """Spans of the pattern's matches, in code points: the gaps between matches give their places."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    values = found if value is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
-    each = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("gap"), values.alias("v"))
-    state = f"struct<at:int,spans:{_SPAN}>"
+def running(values, op, start: int):
+    """op(start, v0), op(op(start, v0), v1), ...: an array as long as `values`, an array of int.
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["v"].alias("value"))
-        return F.struct(stop.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans")).cast(state)
-
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(state)
-    return F.when(when, F.aggregate(each, start, step)["spans"]).otherwise(F.array().cast(_SPAN))
+    An array can only grow by a copy of all of it, so this goes by stretches of STRETCH elements, and then once over their
+    totals: the copies of a text of n matches are n x STRETCH and (n / STRETCH)**2 numbers, halved.
+    """
+    none = F.array().cast("array<int>")
+    onward = lambda acc, x: F.concat(acc, F.array(op(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(start)), x)))
+    # Elements by their place: a slice would copy the whole array first.
+    stretch = lambda v, b: F.transform(F.sequence(b * STRETCH, F.least((b + 1) * STRETCH, F.size(v)) - 1), lambda i: F.get(v, i))
+    stretches = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STRETCH).cast("int")), lambda b: F.aggregate(stretch(v, b), none, onward))
+    before = lambda each: F.concat(F.array(F.lit(start)), F.aggregate(F.transform(each, lambda s: F.element_at(s, -1)), none, onward))
+    joined = lambda each: F.flatten(F.zip_with(each, F.slice(before(each), 1, F.size(each)), lambda s, base: F.transform(s, lambda x: op(base, x))))
+    # Arrays of one element keep what they hold from being made anew for each use.
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.when(F.size(values) > 0, once(values, lambda v: once(stretches(v), joined))).otherwise(none)
+
+
+def _matches(text, pattern: str, when, value: int = 0):
+    """What the pattern finds: struct of the reported values, the lengths of the matches, and those of each match with the gap before it."""
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    size = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value))
+    # Without the text's last gap, which no match follows.
+    steps = F.zip_with(size, F.slice(gaps, 1, F.size(gaps) - 1), lambda m, g: m + g)
+    return F.when(when, F.struct(values.alias("values"), size.alias("size"), steps.alias("steps")))
+
+
+def _spans(found: str, kind: int, least: int = 0):
+    """Spans of a column of _matches(), in code points; values shorter than `least` are left out."""
+    stops = running(F.col(f"{found}.steps"), lambda a, b: a + b, 0)
+    ends = F.zip_with(stops, F.col(f"{found}.size"), lambda e, m: F.struct(e.alias("stop"), (e - m).alias("start")))
+    span = F.zip_with(ends, F.col(f"{found}.values"), lambda e, v: F.struct(e["start"].alias("start"), F.lit(kind).alias("kind"), e["stop"].alias("stop"), v.alias("value")))
+    return F.when(F.col(found).isNull(), F.array().cast(_SPAN)).otherwise(F.filter(span, lambda s: F.length(s["value"]) >= least)).cast(_SPAN)
 
 
 def find_candidates(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_col="doc_id") -> DataFrame:
-    """Per row: doc_id, owner, repo, base and more: arrays of (start, kind, stop, value)."""
+    """Per row: doc_id, owner, repo, base and more: arrays of (start, kind, stop, value), each sorted by start. No value in `more` overlaps one in `base`."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), text.alias("text"))
     # The cheap tests in front are implied by the patterns.
-    base = F.concat(
-        _spans(F.col("text"), ASSIGN, 0, F.col("text").rlike("[:=]"), 2, ASSIGN_MIN),
-        _spans(F.col("text"), ACCESS, 1, F.contains("text", F.lit("AKIA"))),
-        _spans(F.col("text"), HEX, 2, F.col("text").rlike("[0-9a-f]{24}")),
-    )
-    more = _spans(F.col("text"), TOKEN, 3, F.col("text").rlike(r"[A-Za-z0-9+/_=-]{20}"))
-    d = d.select("doc_id", "owner", "repo", F.array_sort(base).alias("base"), more.alias("more"))
-    apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    mixed = lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]")
-    return d.withColumn("more", F.filter("more", lambda c: mixed(c) & apart(c)))
+    d = d.select(
+        "doc_id", "owner", "repo",
+        _matches(F.col("text"), ASSIGN, F.col("text").rlike("[:=]"), 2).alias("assign"),
+        _matches(F.col("text"), ACCESS, F.contains("text", F.lit("AKIA"))).alias("access"),
+        _matches(F.col("text"), HEX, F.col("text").rlike("[0-9a-f]{24}")).alias("hex"),
+        _matches(F.col("text"), TOKEN, F.col("text").rlike(r"[A-Za-z0-9+/_=-]{20}")).alias("token"),
+    )
+    base = F.sort_array(F.concat(_spans("assign", 0, ASSIGN_MIN), _spans("access", 1), _spans("hex", 2)))
+    mixed = F.filter(_spans("token", 3), lambda c: c["value"].rlike("[0-9]") & c["value"].rlike("[A-Za-z]"))
+    d = d.select("doc_id", "owner", "repo", base.alias("base"), mixed.alias("more"))
+    # In order of their starts, a candidate overlaps a base span if one before it ends later than it starts, or one after it starts before it ends.
+    d = d.withColumn("every", F.when((F.size("base") > 0) & (F.size("more") > 0), F.sort_array(F.concat("base", "more"))))
+    of_base = lambda field, other: F.transform("every", lambda s: F.when(s["kind"] < 3, s[field]).otherwise(F.lit(other)))
+    d = d.withColumns({"reach": running(of_base("stop", 0), lambda a, b: F.greatest(a, b), 0), "ahead": F.reverse(running(F.reverse(of_base("start", _MOST)), lambda a, b: F.least(a, b), _MOST))})
+    around = F.arrays_zip(F.col("every").alias("s"), F.col("reach").alias("reach"), F.col("ahead").alias("ahead"))
+    apart = F.filter(around, lambda x: (x["s"]["kind"] == 3) & (x["reach"] <= x["s"]["start"]) & (x["ahead"] >= x["s"]["stop"]))
+    more = F.when(F.col("every").isNull(), F.col("more")).otherwise(F.transform(apart, lambda x: x["s"]))
+    return d.select("doc_id", "owner", "repo", "base", more.alias("more"))
 
 
 def ownership(found: DataFrame) -> DataFrame:

@@ -70,6 +70,16 @@ def quad_key(x, y, bounds=BOUNDS, depth: int = 8) -> Column:
     return F.concat_ws("", *[digit(i).cast("string") for i in range(1, depth + 1)])
 
 
+def quad_code(x, y, bounds=BOUNDS, depth: int = 16) -> Column:
+    """F7 as a number of 2 x depth bits: the digits of quad_key(), so that it sorts as they do. Points outside bounds have their nearest cell's."""
+    ix, iy = (F.greatest(quad_index(v, low, high, depth), F.lit(0)) for v, low, high in ((x, bounds[0], bounds[2]), (y, bounds[1], bounds[3])))
+    bit = lambda i, n: F.shiftleft(F.shiftright(i, n).bitwiseAND(F.lit(1)), 2 * n)
+    out = F.lit(0).cast("long")
+    for n in range(depth):
+        out = out + bit(ix, n) + F.shiftleft(F.lit(1).cast("long"), 2 * n + 1) - F.shiftleft(bit(iy, n), 1)
+    return out
+
+
 def shard_id(c, n: int) -> Column:
     """F8."""
     return F.abs(_c(c)) % n

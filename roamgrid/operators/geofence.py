@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import with_next
 from .spatial import with_boxes, zone_join
 from .state import snapshots_at_ticks
 
@@ -27,19 +28,19 @@ def zone_events_diff(prev: DataFrame, cur: DataFrame) -> DataFrame:
     return enter.unionByName(prev.select(*key).join(cur, key, "left_anti").withColumn("event_type", F.lit("EXIT")))
 
 
-def zone_transitions(updates: DataFrame, zones: DataFrame) -> DataFrame:
+def zone_transitions(updates: DataFrame, zones: DataFrame, limit: int | None = None) -> DataFrame:
     """vehicle_id, zone_id, event_type, ts_ms at every update: updates(event_id, vehicle_id, ts_ms, x, y).
 
-    Only updates inside a zone are joined; consecutive ones are a visit, and a visit ends at the
-    vehicle's next update, if there is one.
+    Only updates inside a zone are joined. Each of them says that its vehicle is in the zone at its number, and was at
+    the next one; where only one of both is said, there is an event. Rows meet by vehicle, zone and number, so
+    that a vehicle with many updates is in many tasks; with_next() numbers those of such a vehicle by slices of time.
     """
-    w = Window.partitionBy("vehicle_id").orderBy("ts_ms", "event_id")
-    seq = updates.withColumns({"seq": F.row_number().over(w), "next_ts": F.lead("ts_ms").over(w)}).select("vehicle_id", "x", "y", "ts_ms", "seq", "next_ts")
-    inside = zone_join(seq, zones)
-    run = F.col("seq") - F.row_number().over(Window.partitionBy("vehicle_id", "zone_id").orderBy("seq"))
-    visits = inside.withColumn("run", run).groupBy("vehicle_id", "zone_id", "run").agg(F.min_by("ts_ms", "seq").alias("entered"), F.max_by("next_ts", "seq").alias("left_"))
-    events = F.explode(F.array(F.struct(F.lit("ENTER").alias("event_type"), F.col("entered").alias("ts_ms")), F.struct(F.lit("EXIT").alias("event_type"), F.col("left_").alias("ts_ms"))))
-    return visits.select("vehicle_id", "zone_id", events.alias("e")).select("vehicle_id", "zone_id", "e.*").filter("ts_ms is not null")
+    seq = with_next(updates.select("vehicle_id", "x", "y", "ts_ms", "event_id"), "vehicle_id", ["ts_ms", "event_id"], "ts_ms", "next_ts", "seq", limit)
+    inside = zone_join(seq.drop("event_id"), zones)
+    says = F.explode(F.array(F.struct("seq", "ts_ms", F.lit(True).alias("now")), F.struct((F.col("seq") + 1).alias("seq"), F.col("next_ts").alias("ts_ms"), F.lit(False).alias("now"))))
+    said = inside.select("vehicle_id", "zone_id", says.alias("s")).select("vehicle_id", "zone_id", "s.*").filter("ts_ms is not null")
+    turns = said.groupBy("vehicle_id", "zone_id", "seq").agg(F.max("ts_ms").alias("ts_ms"), F.bool_or("now").alias("now"), F.bool_or(~F.col("now")).alias("was")).filter("now <> was")
+    return turns.select("vehicle_id", "zone_id", F.when(F.col("now"), "ENTER").otherwise("EXIT").alias("event_type"), "ts_ms")
 
 
 def zone_events_ticks(updates: DataFrame, zones: DataFrame, tick_ms: int) -> DataFrame:

@@ -88,8 +88,15 @@ def range_query(points: DataFrame, box) -> DataFrame:
     return points.filter(in_box("x", "y", *box))
 
 
-def range_join(points: DataFrame, boxes: DataFrame, cell: float = 50.0) -> DataFrame:
-    """Points with every box that holds them. Columns of both, whose names must differ. Boxes may be unbounded."""
+def range_join(points: DataFrame, boxes: DataFrame, cell: float = 50.0, method: str = "grid") -> DataFrame:
+    """Points with every box that holds them. Columns of both, whose names must differ. Boxes may be unbounded.
+
+    method: "grid" for cells of doubling size from `cell` on, or "tree" for dense_range_join(), whose cells split where points are dense.
+    """
+    if method not in ("grid", "tree"):
+        raise ValueError(f"no method {method!r}")
+    if method == "tree":
+        return dense_range_join(points, boxes)
     _own_name(points, boxes)
     boxes = _proper(boxes)
     levels = _levels(boxes, cell)
@@ -310,10 +317,10 @@ def viewport_zones(zones: DataFrame, viewports: DataFrame) -> DataFrame:
     return seen.select("vp_id", "zone_id", "seq", *to_screen(F.col("v.x"), F.col("v.y"), "left", "top", "scale"))
 
 
-def neighbours(points: DataFrame, r: float, cell: float | None = None) -> DataFrame:
-    """vehicle_id, neighbour_id: points in the closed box of half side r around each, itself included."""
+def neighbours(points: DataFrame, r: float, cell: float | None = None, method: str = "grid") -> DataFrame:
+    """vehicle_id, neighbour_id: points in the closed box of half side r around each, itself included. method as in range_join()."""
     boxes = points.filter(placed()).select(F.col("vehicle_id").alias("center_id"), (F.col("x") - r).alias("min_x"), (F.col("y") - r).alias("min_y"), (F.col("x") + r).alias("max_x"), (F.col("y") + r).alias("max_y"))
-    return range_join(points.select("vehicle_id", "x", "y").filter(placed()), boxes, cell or 2 * r).select(F.col("center_id").alias("vehicle_id"), F.col("vehicle_id").alias("neighbour_id"))
+    return range_join(points.select("vehicle_id", "x", "y").filter(placed()), boxes, cell or 2 * r, method).select(F.col("center_id").alias("vehicle_id"), F.col("vehicle_id").alias("neighbour_id"))
 
 
 def snap_to_node(points: DataFrame, nodes: DataFrame, cell: float | None = None) -> DataFrame:
@@ -341,26 +348,76 @@ def quadtree_leaves(points: DataFrame, bounds=BOUNDS, capacity: int = 32, max_de
     return leaves.select("depth", (F.col("cx") * w + x0).alias("min_x"), (F.col("cy") * h + y0).alias("min_y"), ((F.col("cx") + 1) * w + x0).alias("max_x"), ((F.col("cy") + 1) * h + y0).alias("max_y"), "n")
 
 
+def _tree(points: DataFrame, capacity: int, max_depth: int):
+    """Points that have a place with `_leaf`, struct(depth, cx, cy) of A5's tree over their own extent; these leaves; the extent's corner and side.
+    None without points."""
+    fine = points.filter(placed())
+    ends = fine.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "a"), (F.max, "b"))]).first()
+    if ends["ax"] is None:
+        return None
+    x0, y0 = ends["ax"], ends["ay"]
+    side = max(ends["bx"] - x0, ends["by"] - y0) or 1.0
+    bounds = (x0, y0, x0 + side, y0 + side)
+    at = lambda c, k: quad_index(c, bounds[k], bounds[k + 2], max_depth)
+    dealt = fine.withColumn("_fine", F.struct(at("x", 0).alias("ix"), at("y", 1).alias("iy")))
+    # Points are counted once in the finest cells; cells that hold more than capacity split.
+    counts = cut(dealt.groupBy("_fine").agg(F.count(F.lit(1)).alias("n")))
+    depths = F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
+    up = counts.select("_fine", "n", depths)
+    shift = lambda c, d: F.expr(f"shiftright(_fine.{c}, {max_depth} - {d})")
+    cells = up.groupBy("depth", shift("ix", "depth").alias("cx"), shift("iy", "depth").alias("cy")).agg(F.sum("n").alias("n"))
+    small = cells.filter((F.col("n") <= capacity) | (F.col("depth") == max_depth)).select("depth", "cx", "cy")
+    # Of the cells above a finest one that are small enough, the largest is its leaf.
+    met = up.select("_fine", "depth", shift("ix", "depth").alias("cx"), shift("iy", "depth").alias("cy")).join(small, ["depth", "cx", "cy"])
+    of_fine = cut(met.groupBy("_fine").agg(F.min(F.struct("depth", "cx", "cy")).alias("_leaf")))
+    leaves = of_fine.select("_leaf").distinct()
+    return dealt.join(of_fine, "_fine").drop("_fine"), leaves, (x0, y0, side)
+
+
 def leaf_cells(points: DataFrame, capacity: int, max_depth: int = 24) -> DataFrame:
     """points(x, y) with `cell`, a long: a leaf of A5's tree over the points' own extent, so that a cell holds at most
     `capacity` points (more at one place, or where max_depth ends). Points without a place are dealt evenly to cells of their own, of about that size.
     """
-    fine = points.filter(placed())
-    ends = fine.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "a"), (F.max, "b"))]).first()
     lost = points.filter(~placed()).count()
     rest = points.filter(~placed()).withColumn("cell", -1 - F.pmod(F.monotonically_increasing_id(), F.lit(max(1, -(-lost // capacity)))))
-    if ends["ax"] is None:
+    if (found := _tree(points, capacity, max_depth)) is None:
         return rest
-    side = max(ends["bx"] - ends["ax"], ends["by"] - ends["ay"]) or 1.0
-    bounds = (ends["ax"], ends["ay"], ends["ax"] + side, ends["ay"] + side)
-    leaves = quadtree_leaves(fine, bounds, capacity, max_depth)
-    w = lambda c, low: F.round((F.col(c) - low) / (side / F.pow(F.lit(2.0), F.col("depth")))).cast("long")
-    leaves = leaves.filter("n > 0").select("depth", w("min_x", bounds[0]).alias("cx"), w("min_y", bounds[1]).alias("cy"))
-    at = lambda c, k: quad_index(c, bounds[k], bounds[k + 2], max_depth)
-    dealt = fine.withColumn("_fine", F.struct(at("x", 0).alias("ix"), at("y", 1).alias("iy")))
-    up = dealt.select("_fine").distinct().select("_fine", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    shift = lambda c: F.expr(f"shiftright(_fine.{c}, {max_depth} - depth)")
-    # A number for each leaf: its place in the finest grid, by bits, is its own.
-    number = (F.col("cx") * F.pow(F.lit(2), max_depth - F.col("depth")).cast("long") * (1 << max_depth) + F.col("cy") * F.pow(F.lit(2), max_depth - F.col("depth")).cast("long")).alias("cell")
-    found = up.select("_fine", "depth", shift("ix").alias("cx"), shift("iy").alias("cy")).join(leaves, ["depth", "cx", "cy"]).select("_fine", number)
-    return dealt.join(found, "_fine").drop("_fine").unionByName(rest)
+    # A number for each leaf: that of its first cell in the finest grid.
+    first = lambda c: F.expr(f"shiftleft(_leaf.{c}, {max_depth} - _leaf.depth)")
+    return found[0].withColumn("cell", first("cx") * (1 << max_depth) + first("cy")).drop("_leaf").unionByName(rest)
+
+
+def dense_range_join(points: DataFrame, boxes: DataFrame, capacity: int = 1000, max_depth: int = 24) -> DataFrame:
+    """J2 (and J11) for points of any density: as range_join(), but points meet boxes by leaves of A5's tree, which split where
+    points are dense, so that no key has more than `capacity` points (but for those at one place). A box goes to the leaves that it meets.
+    """
+    _own_name(points, boxes)
+    finite = points.filter(placed())
+    if (found := _tree(points, capacity, max_depth)) is None:
+        return finite.join(boxes, F.lit(False))
+    dealt, leaves, (x0, y0, side) = found
+    # The part of a box that lies within the points' extent, a little enlarged for rounding.
+    slack = side * 1e-9
+    low = {c: F.greatest(F.col(f"min_{c}") - slack, F.lit(a)) for c, a in (("x", x0), ("y", y0))}
+    high = {c: F.least(F.col(f"max_{c}") + slack, F.lit(a + side)) for c, a in (("x", x0), ("y", y0))}
+    b = _proper(boxes).filter((low["x"] <= high["x"]) & (low["y"] <= high["y"])).withColumn("_box", F.struct(*BOX))
+    # Cells of the depth at which a box is at most as wide as a cell: four at most.
+    wide = F.greatest(high["x"] - low["x"], high["y"] - low["y"], F.lit(side / (1 << max_depth)))
+    b = b.withColumn("_depth", F.greatest(F.least(F.floor(F.log2(F.lit(side) / wide)), F.lit(max_depth)), F.lit(0)).cast("int"))
+    number = lambda v, a: F.least(F.greatest(F.floor((v - a) / (side / F.pow(F.lit(2.0), F.col("_depth")))), F.lit(0)), F.pow(F.lit(2.0), F.col("_depth")) - 1).cast("long")
+    span = lambda c, a: F.sequence(number(low[c], a), number(high[c], a))
+    own = F.flatten(F.transform(span("x", x0), lambda x: F.transform(span("y", y0), lambda y: F.struct(F.col("_depth").alias("depth"), x.alias("cx"), y.alias("cy")))))
+    # A leaf that a box meets is one of these cells or above one, or it lies below one.
+    above = F.array_distinct(F.flatten(F.transform(own, lambda c: F.transform(F.sequence(F.lit(0), F.col("_depth")), lambda d: F.struct(d.alias("depth"), _up(c["cx"], F.col("_depth") - d).alias("cx"), _up(c["cy"], F.col("_depth") - d).alias("cy"))))))
+    keyed = F.concat(F.transform(above, lambda c: F.struct(F.lit(False).alias("below"), c.alias("c"))), F.transform(own, lambda c: F.struct(F.lit(True).alias("below"), c.alias("c"))))
+    asked = b.withColumn(CELL, F.explode(keyed))
+    under = leaves.filter("_leaf.depth > 0").select("_leaf", F.explode(F.sequence(F.lit(0), F.col("_leaf.depth") - 1)).alias("d"))
+    under = under.select("_leaf", F.struct(F.lit(True).alias("below"), F.struct("d", _up(F.col("_leaf.cx"), F.col("_leaf.depth") - F.col("d")), _up(F.col("_leaf.cy"), F.col("_leaf.depth") - F.col("d"))).cast("struct<depth:int,cx:bigint,cy:bigint>").alias("c")).alias(CELL))
+    same = leaves.select("_leaf", F.struct(F.lit(False).alias("below"), F.col("_leaf").cast("struct<depth:int,cx:bigint,cy:bigint>").alias("c")).alias(CELL))
+    met = asked.join(same.unionByName(under), CELL).drop(CELL, "_box", "_depth")
+    return dealt.join(met, "_leaf").filter(in_box("x", "y", *BOX)).drop("_leaf").select(*points.columns, *boxes.columns)
+
+
+def _up(c, levels) -> Column:
+    """The number of a cell's ancestor, so many levels up."""
+    return F.floor(c / F.pow(F.lit(2.0), levels)).cast("long")

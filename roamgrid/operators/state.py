@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import BOUNDS, in_box
+from .ordered import with_next
 
 
 def _last(*keys: str) -> Column:
@@ -35,12 +36,11 @@ def snapshot_asof(updates: DataFrame, ts_ms: int) -> DataFrame:
     return latest_positions(updates.filter(F.col("ts_ms") <= ts_ms))
 
 
-def snapshots_at_ticks(updates: DataFrame, tick_ms: int) -> DataFrame:
+def snapshots_at_ticks(updates: DataFrame, tick_ms: int, limit: int | None = None) -> DataFrame:
     """vehicle_id, tick, valid_to, x, y, ts_ms: the state at each tick's end in which the vehicle was heard of, valid until the next one."""
     tick = (F.expr(f"ts_ms div {tick_ms}") + 1) * tick_ms
     last = updates.withColumn("tick", tick).groupBy("vehicle_id", "tick").agg(_last("event_id"))
-    w = Window.partitionBy("vehicle_id").orderBy("tick")
-    return last.select("vehicle_id", "tick", F.lead("tick").over(w).alias("valid_to"), "p.*")
+    return with_next(last.select("vehicle_id", "tick", "p.*"), "vehicle_id", ["tick"], "tick", "valid_to", limit=limit).select("vehicle_id", "tick", "valid_to", "x", "y", "ts_ms")
 
 
 def vehicle_count(snapshot: DataFrame, bounds=BOUNDS) -> DataFrame:

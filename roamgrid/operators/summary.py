@@ -54,6 +54,32 @@ def latency_summary(df: DataFrame, value_ns: str = "ns", group: str = "grp", exa
     return agg.select(group, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50", "p95", "p99")], F.coalesce(F.when(F.col("n") > 0, mean), F.lit(0.0)).alias("mean"), "n")
 
 
+#: Size of a sketch: for 800, ranks are off by less than SKETCH_ERROR of all rows, with a probability of 99 % for each quantile.
+SKETCH_K, SKETCH_ERROR = 800, 0.01
+
+
+def latency_sketches(df: DataFrame, value_ns: str = "ns", group: str = "grp", ts_ms: str = "ts_ms", shard: str | None = None, width_ms: int = 60_000, k: int = SKETCH_K) -> DataFrame:
+    """A2 in parts that can be kept: one row for each group, shard and stretch of time with a KLL sketch as binary (null without values), sum and count."""
+    at = (F.expr(f"{ts_ms} div {width_ms}") * width_ms).alias("window_ms")
+    keys = [F.col(group), at, *([F.col(shard).alias("shard")] if shard else [])]
+    value = F.col(value_ns).cast("long")
+    return df.groupBy(*keys).agg(F.kll_sketch_agg_bigint(value, k).alias("sketch"), F.sum(value).alias("total"), F.count(value).alias("n"))
+
+
+def summary_of_sketches(sketches: DataFrame, group: str = "grp", from_ms: int | None = None, to_ms: int | None = None, k: int = SKETCH_K) -> DataFrame:
+    """A2 for any period [from_ms, to_ms) of whole stretches, from latency_sketches() merged: columns as latency_summary();
+    quantiles' ranks are within SKETCH_ERROR, mean and count are exact."""
+    some = sketches
+    if from_ms is not None:
+        some = some.filter(F.col("window_ms") >= from_ms)
+    if to_ms is not None:
+        some = some.filter(F.col("window_ms") < to_ms)
+    every = some.groupBy(group).agg(F.kll_merge_agg_bigint(F.when(F.col("n") > 0, F.col("sketch")), k).alias("s"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    at = lambda p: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_bigint("s", F.lit(p)) / 1e6).otherwise(0.0)
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n") / 1e6).otherwise(0.0)
+    return every.select(group, at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), mean.alias("mean"), "n")
+
+
 def throughput(df: DataFrame, ts_ms: str = "ts_ms", group: str = "grp") -> DataFrame:
     """A3: rows per second between the first and the last; null if they coincide."""
     seconds = (F.max(ts_ms) - F.min(ts_ms)) / 1000

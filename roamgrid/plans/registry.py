@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..operators import geofence, graph, spatial, state, summary
-from ..sources import frames, tables
+from ..sources import clustered, frames, tables
 from ..streaming import streams
 from . import fixtures as fx
 from .cut import cut, new_dir
@@ -90,6 +90,20 @@ def range_join(s, d):
     return spatial.range_join(fx.positions(s, d), fx.boxes(s, d)).select("box_id", "event_id")
 
 
+@query("SELECT box_id, event_id FROM p JOIN boxes ON x BETWEEN min_x AND max_x AND y BETWEEN min_y AND max_y")
+def range_join_dense(s, d):
+    """By cells that split where points are dense."""
+    return spatial.dense_range_join(fx.positions(s, d), fx.boxes(s, d), 64).select("box_id", "event_id")
+
+
+@query("SELECT event_id, vehicle_id, ts_ms, x, y FROM p WHERE x BETWEEN 400 AND 600 AND y BETWEEN 400 AND 600")
+def range_query_clustered(s, d):
+    """From files sorted by place."""
+    path = new_dir(s, "clustered")
+    clustered.write_clustered(fx.positions(s, d).select("event_id", "vehicle_id", "ts_ms", "x", "y"), path)
+    return clustered.read_box(s, path, CENTER)
+
+
 @query("SELECT DISTINCT vehicle_id FROM latest WHERE least(49, trunc(x / 20)) BETWEEN 20 AND 30 AND least(49, trunc(y / 20)) BETWEEN 20 AND 30")
 def range_query_coarse(s, d):
     return spatial.range_query_coarse(latest(s, d), CENTER)
@@ -221,6 +235,19 @@ def latency_summary(s, d):
     return summary.latency_summary(fx.latencies(s, d))
 
 
+@query(f"{_LAT} SELECT grp, p, true AS near, sum(ns)::BIGINT / count(ns) / 1e6 AS mean, count(ns) AS n FROM l, (VALUES (50), (95), (99)) q(p) GROUP BY grp, p")
+def latency_from_sketches(s, d):
+    """A sketch for each group, shard and hour, merged; whether each quantile's rank is as near as it should be, by counting."""
+    f = fx.latencies(s, d)
+    path = new_dir(s, "sketches")
+    summary.latency_sketches(f.withColumn("shard", F.col("ns") % 4), shard="shard", width_ms=3_600_000).write.parquet(path)
+    merged = summary.summary_of_sketches(s.read.parquet(path))
+    each = merged.select("grp", "mean", "n", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"p{p}").alias("v")) for p in (50, 95, 99)])).alias("q")).select("grp", "mean", "n", "q.*")
+    ranks = f.join(F.broadcast(each), "grp").groupBy("grp", "p", "mean", "n").agg(F.count_if(F.col("ns") / 1e6 < F.col("v")).alias("less"), F.count_if(F.col("ns") / 1e6 <= F.col("v")).alias("upto"))
+    off = F.greatest(F.col("less") / F.col("n") - F.col("p") / 100, F.col("p") / 100 - F.col("upto") / F.col("n"))
+    return ranks.select("grp", "p", (off <= summary.SKETCH_ERROR).alias("near"), "mean", "n")
+
+
 @query(f"{_LAT} SELECT grp, count(*) / nullif((max(ts_ms) - min(ts_ms)) / 1000, 0) AS throughput FROM l GROUP BY grp")
 def throughput(s, d):
     return summary.throughput(fx.latencies(s, d))

@@ -13,8 +13,8 @@ in three steps, none of which loses a link:
 2. The pairs' bounds are tested on the count vectors and survivors are verified on whole sets. Links
    are joined to components.
 3. In long lists whose sets aren't all in one component yet, an R-tree over count vectors finds the
-   remaining pairs across components within the bound; they are verified too: first the most
-   promising one of each set with each other component, which mostly joins them, then all that are left.
+   remaining pairs across components within the bound; they are verified too: first the few most
+   promising ones of each set, which mostly join a dense group, then all that are left across components.
    Of the lists that two sets share the smallest gives the pair, so that a pair found by many shingles is few rows.
 
 Equal sets are one set throughout; they are told apart by BLAKE2b digests of their shingles' hashes, two
@@ -54,6 +54,8 @@ FREQUENT, MAX_FREQUENT = 3, 400_000
 #: Each set carries so many of its smallest long lists, so that few pairs are found in more than one.
 FIRST_LISTS = 32
 LEAF = 16
+#: Pairs of a set in the first search of the long lists.
+PROMISING = 4
 #: Members of a long list that a task takes, about: as points of its tree, and as queries.
 BLOCK = 4096
 _SETS = "kind int, doc_id long, n long, set_id long, check long, counts binary"
@@ -336,8 +338,8 @@ class CountTree:
 
 
 def _across(most: int | None):
-    """Pairs within the bound across components, for the blocks of lists of one bucket; of each set with
-    each other component all, or the `most` that the bound leaves the greatest overlap. A pair is left to
+    """Pairs within the bound across components, for the blocks of lists of one bucket: of each set in a list
+    all, or the `most` that the bound leaves the greatest overlap. A pair is left to
     the smallest list that both have, as far as `firsts`, the smallest lists of each set, show it."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -363,10 +365,9 @@ def _across(most: int | None):
                     hit = hit[np.array([smaller.isdisjoint(firsts[h]) for h in hit], bool)]
                 if most and len(hit) > most:
                     left = np.minimum(counts[hit], counts[q]).sum(1) / (n[hit] + n[q])
-                    order = np.lexsort((-left, comp[hit]))
-                    hit = hit[order]
-                    first = np.maximum.accumulate(np.where(np.r_[True, comp[hit][1:] != comp[hit][:-1]], np.arange(len(hit)), 0))
-                    hit = hit[np.arange(len(hit)) - first < most]
+                    # Of equal bounds those that are drawn by the pair, so that sets don't all choose the same partners.
+                    drawn = mix((s[hit] ^ s[q]).view(np.uint64))
+                    hit = hit[np.lexsort((drawn, -left))[:most]]
                 a.append(np.minimum(s[hit], s[q]))
                 b.append(np.maximum(s[hit], s[q]))
         both = np.unique(np.stack([np.concatenate(a or [lists[:0]]), np.concatenate(b or [lists[:0]])]), axis=1)
@@ -432,7 +433,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = cut(own_lists.join(sets.select(F.col("set_id").alias("a"), "counts"), "a"))
 
     joined = components(_verify(pairs, sets, d, seed))
-    for most in (1, None):
+    for most in (PROMISING, None):
         labelled = cut(lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")))
         more = _open_lists(labelled, members, buckets).groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
         new = cut(more.join(pairs, ["a", "b"], "left_anti"))

@@ -14,7 +14,7 @@ bytes or words) that also starts in a document with a smaller id.
    Contexts of a hot key (many contexts in a sample of the documents) don't meet: their anchors are
    dealt by context, all that are not settled are looked at again, and of their windows a Spark
    groupBy gives the smallest document of each hash, which is joined back. The sample decides only
-   the way a key takes; the result is the same either way.
+   the way a key takes; the result is the same either way. Hot keys are known by a bitmap of fixed size.
 4. What was found so far is equal by 64-bit hash. Matches of one document with another at one
    distance are joined to spans; of these as many as cover all are kept, and each is verified by BLAKE2b digests of the very texts at
    both ends. If one fails (two texts with one hash), all is done again with other hashes.
@@ -43,9 +43,13 @@ _MARKS = "kind int, doc_id long, spans binary"
 MATCH = np.dtype([("pos", "<i4"), ("at", "<i4"), ("src", "<i8"), ("left", "u1"), ("right", "u1")])
 #: Anchors that a task settles at a time.
 ANCHORS = 1_000_000
-#: A key is hot if one in SAMPLE documents leave it with more than HOT_CONTEXTS contexts: about 16,384 in all.
+#: A key is hot if one in SAMPLE documents leave it with more than HOT_CONTEXTS contexts: about 16,384 in all. Bits that
+#: stand for hot keys: 2 MB, however many there are. A key whose bit another one has set goes the longer way, to the same result.
 SAMPLE = 32
 HOT_CONTEXTS = 512
+HOT_BITS = 1 << 24
+#: Parts of one document that a row has digests made of, about.
+PARTS = 4096
 #: Hash functions that are tried before different texts with equal hashes are an error.
 SEEDS = 4
 
@@ -147,11 +151,22 @@ def _pairs(finder: Finder):
 
 
 def hot_keys(docs: DataFrame, finder: Finder) -> np.ndarray:
-    """Keys with more than HOT_CONTEXTS contexts in one of SAMPLE documents."""
+    """Bits of the keys with more than HOT_CONTEXTS contexts in one of SAMPLE documents, as bytes; for is_hot()."""
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     pairs = some.mapInArrow(_pairs(finder), "key long, ctx long").distinct()
-    hot = pairs.groupBy("key").count().filter(F.col("count") > HOT_CONTEXTS).select("key").collect()
-    return np.array(sorted(r["key"] for r in hot), np.int64).view(np.uint64)
+    hot = pairs.groupBy("key").count().filter(F.col("count") > HOT_CONTEXTS)
+    hot = hot.select(F.col("key").bitwiseAND(F.lit(HOT_BITS - 1)).alias("bit"))
+    words = hot.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+    found = words.toArrow()  # HOT_BITS / 64 rows at most
+    out = np.zeros(max(1, HOT_BITS // 64), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.astype("<i8").view(np.uint8)
+
+
+def is_hot(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which keys have their bit set; their lower 32 bits are enough."""
+    i = (key & key.dtype.type(HOT_BITS - 1)).astype(np.int64)
+    return (bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 > 0
 
 
 def _emit(finder: Finder, buckets: int, hot):
@@ -167,7 +182,7 @@ def _emit(finder: Finder, buckets: int, hot):
                 yield _batch(_ANCHORS, kind=[1] * len(ids), bucket=(ids % buckets).astype(np.int32), doc=[np.int64(i).tobytes() for i in ids], key=none, ctx=none, pos=spans, reach=none)
             key, ctx, doc, pos, left, right = (x[~done] for x in (key, ctx, doc, pos, left, right))
             # Hot keys are dealt by context.
-            bucket = ((np.where(np.isin(key, hot.value), mix(key ^ ctx), key) >> U(32)) % U(buckets)).astype(np.int32)
+            bucket = ((np.where(is_hot(hot.value, key), mix(key ^ ctx), key) >> U(32)) % U(buckets)).astype(np.int32)
             # In each bucket by document, so that ids and places compress well.
             order = np.lexsort((pos, doc, bucket))
             key, ctx, doc, pos, bucket, left, right = (x[order] for x in (key, ctx, doc, pos, bucket, left, right))
@@ -209,8 +224,8 @@ def _meet(hot):
             several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))[group]
         else:
             several = np.zeros(0, bool)
-        # The other contexts of a hot key are in other buckets. Other keys with its lower half are only looked at for nothing.
-        several = several | np.isin(key, hot.value.astype(np.uint32))
+        # The other contexts of a hot key are in other buckets.
+        several = several | is_hot(hot.value, key)
         more, again = _by_doc(doc[several], matches(*(x[several] for x in (pos, pos, doc, left, right))))
         passed = table.filter(pa.array(kind == 1))
         kinds = [1] * (len(ids) + passed.num_rows) + [2] * len(more)
@@ -230,7 +245,7 @@ def _contexts(finder: Finder, buckets: int, hot):
                 pos = np.unique(np.frombuffer(b"".join(spots), MATCH)["pos"]).astype(np.int64)
                 values = finder.units(raw)
                 key = mix(Prefix(values).span(pos, pos + finder.span))
-                rest = ~np.isin(key, hot.value)
+                rest = ~is_hot(hot.value, key)
                 pos, key = pos[rest], key[rest]
                 bucket = ((key >> U(32)) % U(buckets)).astype(np.int32)
                 a, b = finder.reach(pos, len(values))
@@ -270,7 +285,7 @@ def _windows(finder: Finder, hot):
                 values = finder.units(raw)
                 prefix = Prefix(values)
                 key = mix(prefix.span(pos, pos + finder.span))
-                pick = np.isin(key, hot.value)
+                pick = is_hot(hot.value, key)
                 pos, key = pos[pick], key[pick]
                 start = (pos[:, None] - np.arange(finder.window - finder.span + 1)).ravel()
                 key = np.repeat(key, finder.window - finder.span + 1)
@@ -422,7 +437,10 @@ def _verified(spans: DataFrame, known: DataFrame, finder: Finder) -> DataFrame |
     """Spans whose texts have the same digest at both ends, as (doc_id, a, b); None if the hashes of some were equal and the texts not."""
     found = spans.filter("kind = 1").select("doc_id", "a", "b", "src", "at", (F.col("b") - F.col("a")).alias("n"))
     asked = found.select("doc_id", "a", "n").unionByName(found.select(F.col("src").alias("doc_id"), F.col("at").alias("a"), "n")).distinct()
-    parts = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "n")).alias("parts"))
+    # A document of which many parts are asked for has several rows.
+    rows = asked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("split", F.ceil(F.col("rows") / PARTS).cast("long"))
+    dealt = join_with_hot(asked, rows, "doc_id", "rows")
+    parts = dealt.groupBy("doc_id", F.pmod(F.xxhash64("a", "n"), "split").alias("part")).agg(F.collect_list(F.struct("a", "n")).alias("parts"))
     # Rows that repeat an id are taken to repeat its text.
     digests = known.join(parts, "doc_id").select("doc_id", "text", "parts").mapInArrow(_digests(finder), "doc_id long, a int, n int, digest binary")
     digests = cut(digests.groupBy("doc_id", "a", "n").agg(F.min("digest").alias("digest")))
@@ -449,7 +467,7 @@ def _found(known: DataFrame, finder: Finder) -> DataFrame:
     again = marks.filter("kind = 2").groupBy("doc_id").agg(F.collect_list("spans").alias("spots"))
     spots = known.join(again, "doc_id").select("doc_id", "text", "spots")
     more = spots.mapInArrow(_contexts(finder, n, hot), _CONTEXTS).groupBy("bucket").applyInArrow(_compare(finder), _MARKS)
-    if len(keys):
+    if keys.any():
         more = more.unionByName(_compare_hot(spots, finder, hot))
     every = marks.filter("kind = 1").unionByName(more)
     return cut(every.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "spans")).alias("marks")).mapInArrow(_joined, _SPANS))

@@ -32,7 +32,7 @@ def _points(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     # Two hashes of all components and the label stand for the vector.
     rows = rows.withColumn("h1", F.when(F.col("fine"), F.xxhash64("label", "v"))).withColumn("h2", F.when(F.col("fine"), F.xxhash64(F.reverse("v"), "label", F.lit(1))))
-    points = rows.filter("fine").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("point"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
+    points = rows.filter("fine").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v"))
     return rows, points.withColumn("dim", F.size("v"))
 
 
@@ -105,9 +105,10 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     rows in: no rows out. Other columns are ignored.
     """
     rows, points = _points(vectors)
-    points = cut(points)
+    # Ids may be null or those of several vectors, so points have numbers of their own, which are written with them.
+    points = cut(points.withColumn("point", F.monotonically_increasing_id()))
     sizes = points.groupBy("label", "dim").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    p = points.join(sizes, ["label", "dim"]).withColumn("h", F.xxhash64("point"))
+    p = points.join(sizes, ["label", "dim"]).withColumn("h", F.col("h1"))
     dealt = p.withColumn("shard", F.pmod("h", "shards").cast("int"))
     graphs = dealt.select("label", "dim", "shard", "point", "copies", "v").groupBy("label", "dim", "shard").applyInArrow(_build, f"{_KEY}, graph binary")
     graphs = graphs.join(sizes, ["label", "dim"]).select("label", "dim", "shard", "graph", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -116,8 +117,11 @@ def link_vectors(vectors: DataFrame) -> DataFrame:
     found = cut(graphs.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_query, _FOUND))
     counts = found.filter("kind = 0").groupBy("a").agg(F.sum("b").alias("n")).withColumnRenamed("a", "point")
     joined = components(found.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "point")
-    known = points.select("h1", "h2", "point", "copies").join(counts, "point", "left").join(joined, "point", "left")
-    known = known.select(F.concat_ws(":", "h1", "h2").alias("h"), "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "point").alias("component_id"))
+    known = points.select("h1", "h2", "point", "least", "copies").join(counts, "point", "left").join(joined, "point", "left")
+    known = cut(known.withColumn("root", F.coalesce("component", "point")))
+    lowest = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    known = join_with_hot(known, lowest, "root", "rows")
+    known = known.select(F.concat_ws(":", "h1", "h2").alias("h"), "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     fine = rows.filter("fine").select("vec_id", F.concat_ws(":", "h1", "h2").alias("h"))
     out = join_with_hot(fine, known, "h", "copies").select("vec_id", "n_links", "component_id")
     alone = rows.filter("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

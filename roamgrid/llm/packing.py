@@ -9,6 +9,7 @@ length and looks up each rank's place.
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 
 import numpy as np
@@ -183,21 +184,26 @@ def placed(table: np.ndarray, n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarr
     return bin_[i] + k // times[i], offset[i] + k % times[i] * n
 
 
-def pack_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, eos: int = EOS, segment: int = SEGMENT) -> DataFrame:
-    """As pack(), for docs read from files whose order (by file name and row) is to show in the
-    sequences: each `segment` documents in a row are packed by themselves, and sequences are
-    numbered by segment, gapless from 0, and in it by their first document. That takes at most a few
-    sequences more for each segment. Where docs isn't read from files as it is, rows have no order
-    and segments are made by a hash of the id.
+def pack_in_order(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, capacity: int = CAPACITY, eos: int = EOS, segment: int = SEGMENT, place_col: str | None = None) -> DataFrame:
+    """As pack(), for docs whose order is to show in the sequences: each `segment` documents in a row
+    are packed by themselves, and sequences are numbered by segment, gapless from 0, and in it by their first
+    document. That takes at most a few sequences more for each segment. The order is that of place_col,
+    whole numbers from 0 with few gaps, or else of the files that docs is read from, by file name and row. Where docs
+    isn't read from files as it is, its rows have no order: segments are made by a hash of the id, and a warning says so.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")] if _from_files(docs) else []))
-    if "file" in d.columns:
+    named = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    if place_col is None and not _from_files(docs):
+        warnings.warn("docs isn't read from files as it is and has no place_col: its rows have no order", stacklevel=2)
+    if place_col is not None:
+        rows = docs.select(*named, F.col(place_col).cast("long").alias("place"))
+    elif _from_files(docs):
+        d = docs.select(*named, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
         files = d.groupBy("file").agg(F.count(F.lit(1)).alias("n"))  # one row for each file
         earlier = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
         files = files.select("file", F.coalesce(earlier, F.lit(0)).alias("earlier"))
         rows = d.join(F.broadcast(files), "file").select("doc_id", "text", (F.col("earlier") + F.col("row")).alias("place"))
     else:
-        rows = d.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, d.count()))))
+        rows = docs.select(*named).withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count()))))
     pieces = tokenize(rows, vocabulary, capacity, eos)
 
     def fill(table: pa.Table) -> pa.Table:

@@ -108,9 +108,13 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_TRAIN_ROWS):
-    """Fits on at most max_rows of ratings(doc_id, grade) and their texts in docs(doc_id, text). None without any."""
+    """Fits on at most max_rows of ratings(doc_id, grade) and their texts in docs(doc_id, text). None without any.
+
+    Of rows that repeat an id one counts, that with the smallest text: what comes to the driver is bounded by max_rows.
+    """
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
+    rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
@@ -134,7 +138,8 @@ def _score(model, raws):
 
 def classify(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """One row per input row: doc_id, expected_grade, p_tail, kept. Null texts count as empty; empty
-    texts are scored like others. Without ratings everything is kept, with null scores."""
+    texts are scored like others. Without ratings everything is kept, with null scores. Each row is scored by itself,
+    also where ids are null or repeat; a null id has no rating. No rows in: no rows out."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if (model := train(d, ratings, max_rows)) is None:
         return d.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("p_tail"), F.lit(True).alias("kept"))
@@ -149,7 +154,7 @@ def classify(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", tex
 
 
 def keep_good(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns."""
+    """The rows of docs that classify() keeps, with all their columns; nulls, repeated ids and empty tables as there."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if (model := train(d, ratings, max_rows)) is None:
         return docs

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import dist, to_screen
-from ..plans.cut import cut, shared_dir
+from ..plans.cut import cut, discard, remove, shared_dir
 from .search import Graph
 from .spatial import leaf_cells, placed, snap_to_node
 
@@ -119,11 +119,12 @@ def hop_distances(sources: DataFrame, edges: DataFrame, max_rounds: int, goals:
         away = lambda c: F.coalesce(F.greatest(F.col(f"low_{c}") - F.col(c), F.col(c) - F.col(f"high_{c}"), F.lit(0.0)), F.lit(0.0))
         bound = F.col("dist") + SLACK * per_length * F.sqrt(away("x") * away("x") + away("y") * away("y"))
     name = f"costs_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def add(rows, hop):
         new = rows.select("source", "node", "dist", F.lit(hop).alias("hop"))
-        new.write.mode("append").format("parquet").partitionBy("hop").bucketBy(parts, "source", "node").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        new.write.mode("append").format("parquet").partitionBy("hop").bucketBy(parts, "source", "node").option("path", path).saveAsTable(name)
 
     best = lambda: spark.table(name).groupBy("source", "node").agg(F.min("dist").alias("old"))
     add(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist")), 0)
@@ -144,10 +145,13 @@ def hop_distances(sources: DataFrame, edges: DataFrame, max_rounds: int, goals:
                 break
             if goals is not None and hop % BOUND_EVERY == 0:
                 reached = goals.join(best().withColumnsRenamed({"node": "goal", "old": "cost"}), ["source", "goal"], "left")
+                if near is not None:
+                    discard(near)
                 near = cut(boxed.join(reached.groupBy("source").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("most")), "source"))
         return cut(best().withColumnRenamed("old", "dist"))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
 
 
 def shortest_path_cost(requests: DataFrame, nodes: DataFrame, edges: DataFrame, reached: DataFrame | None = None, capacity: int | None = None) -> DataFrame:
@@ -264,8 +268,9 @@ def with_previous(reached: DataFrame, edges: DataFrame) -> DataFrame:
         more = cut(smallest(level.join(known, ["source", "src"], "left_semi")))
         if more.isEmpty():
             break
-        before = cut(before.unionByName(more))
-        level = cut(level.join(more, ["source", "node"], "left_anti"))
+        longer, rest = cut(before.unionByName(more)), cut(level.join(more, ["source", "node"], "left_anti"))
+        discard(before, more)
+        before, level = longer, rest
     return reached.select("source", "node", "dist").join(before, ["source", "node"], "left")
 
 
@@ -293,8 +298,11 @@ def shortest_path_nodes(requests: DataFrame, nodes: DataFrame, edges: DataFrame,
             break
         parts.append(new)
         far = up.select("source", F.col("node").alias("low"), F.col("up").alias("node"))
-        up = cut(far.join(up, ["source", "node"]).select("source", F.col("low").alias("node"), "up"))
+        farther = cut(far.join(up, ["source", "node"]).select("source", F.col("low").alias("node"), "up"))
+        discard(up)
+        up = farther
         step *= 2
+    discard(up, new)
     length = every.groupBy("source", "goal").agg(F.max("back").alias("length"))
     path = requests.select("request_id", F.col("src").alias("source"), F.col("dst").alias("goal")).join(length, ["source", "goal"]).join(every, ["source", "goal"])
     same = requests.filter("src = dst").select("request_id", F.lit(0).alias("seq"), F.col("src").alias("node_id"))

@@ -24,6 +24,20 @@ def new_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """df, written in the shared folder and read back. It stays there, as what is made of it is lazy, until discard()."""
     path = new_dir(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that cut() returned and that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._cut)

@@ -476,7 +476,7 @@ def stream_alert_lines(s, d):
 def stream_update_rate(s, d):
     path = new_dir(s, "stream-out")
     keep = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
-    _stream(s, d, lambda stream, state: _run(streams.update_rate_stream(stream, "1 minute", late="3650 days").writeStream.outputMode("update").foreachBatch(keep), state))
+    _stream(s, d, lambda stream, state: _run(streams.update_rate_stream(stream, "1 minute", late="6 days").writeStream.outputMode("update").foreachBatch(keep), state))
     # A window that several batches changed counts as it was last.
     rows = s.read.schema("window_ms long, shard long, n long, batch long").parquet(path)
     return rows.groupBy("window_ms", "shard").agg(F.max_by("n", "batch").alias("n"))

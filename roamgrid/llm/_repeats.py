@@ -165,7 +165,7 @@ def hot_keys(docs: DataFrame, finder: Finder) -> np.ndarray:
 
 def is_hot(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which keys have their bit set; their lower 32 bits are enough."""
-    i = (key & key.dtype.type(HOT_BITS - 1)).astype(np.int64)
+    i = (key & key.dtype.type(8 * len(bits) - 1)).astype(np.int64)
     return (bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 > 0
 
 

@@ -365,13 +365,15 @@ def _tree(points: DataFrame, capacity: int, max_depth: int):
     depths = F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
     up = counts.select("_fine", "n", depths)
     shift = lambda c, d: F.expr(f"shiftright(_fine.{c}, {max_depth} - {d})")
-    cells = up.groupBy("depth", shift("ix", "depth").alias("cx"), shift("iy", "depth").alias("cy")).agg(F.sum("n").alias("n"))
-    small = cells.filter((F.col("n") <= capacity) | (F.col("depth") == max_depth)).select("depth", "cx", "cy")
-    # Of the cells above a finest one that are small enough, the largest is its leaf.
-    met = up.select("_fine", "depth", shift("ix", "depth").alias("cx"), shift("iy", "depth").alias("cy")).join(small, ["depth", "cx", "cy"])
+    cells = up.groupBy("depth", shift("ix", "depth").alias("cx"), shift("iy", "depth").alias("cy")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("fine"))
+    # Below one finest cell there is nothing to part.
+    small = cells.filter((F.col("n") <= capacity) | (F.col("fine") == 1) | (F.col("depth") == max_depth)).select("depth", "cx", "cy")
+    # Of the cells above a finest one that are small enough, the largest is its leaf. These tables grow with the points, however
+    # small their files are: none is broadcast.
+    met = up.select("_fine", "depth", shift("ix", "depth").alias("cx"), shift("iy", "depth").alias("cy")).join(small.hint("merge"), ["depth", "cx", "cy"])
     of_fine = cut(met.groupBy("_fine").agg(F.min(F.struct("depth", "cx", "cy")).alias("_leaf")))
     leaves = of_fine.select("_leaf").distinct()
-    return dealt.join(of_fine, "_fine").drop("_fine"), leaves, (x0, y0, side)
+    return dealt.join(of_fine.hint("merge"), "_fine").drop("_fine"), leaves, (x0, y0, side)
 
 
 def leaf_cells(points: DataFrame, capacity: int, max_depth: int = 24) -> DataFrame:
@@ -387,6 +389,10 @@ def leaf_cells(points: DataFrame, capacity: int, max_depth: int = 24) -> DataFra
     return found[0].withColumn("cell", first("cx") * (1 << max_depth) + first("cy")).drop("_leaf").unionByName(rest)
 
 
+#: Boxes that are broadcast, at most.
+FEW_BOXES = 1000
+
+
 def dense_range_join(points: DataFrame, boxes: DataFrame, capacity: int = 1000, max_depth: int = 24) -> DataFrame:
     """J2 (and J11) for points of any density: as range_join(), but points meet boxes by leaves of A5's tree, which split where
     points are dense, so that no key has more than `capacity` points (but for those at one place). A box goes to the leaves that it meets.
@@ -411,10 +417,18 @@ def dense_range_join(points: DataFrame, boxes: DataFrame, capacity: int = 1000,
     above = F.array_distinct(F.flatten(F.transform(own, lambda c: F.transform(F.sequence(F.lit(0), F.col("_depth")), lambda d: F.struct(d.alias("depth"), _up(c["cx"], F.col("_depth") - d).alias("cx"), _up(c["cy"], F.col("_depth") - d).alias("cy"))))))
     keyed = F.concat(F.transform(above, lambda c: F.struct(F.lit(False).alias("below"), c.alias("c"))), F.transform(own, lambda c: F.struct(F.lit(True).alias("below"), c.alias("c"))))
     asked = b.withColumn(CELL, F.explode(keyed))
-    under = leaves.filter("_leaf.depth > 0").select("_leaf", F.explode(F.sequence(F.lit(0), F.col("_leaf.depth") - 1)).alias("d"))
+    depths = [r["_depth"] for r in b.select("_depth").distinct().collect()]  # max_depth + 1 at most
+    under = leaves.select("_leaf", F.explode(F.array(*[F.lit(x) for x in depths]).cast("array<int>")).alias("d")).filter("d < _leaf.depth")
     under = under.select("_leaf", F.struct(F.lit(True).alias("below"), F.struct("d", _up(F.col("_leaf.cx"), F.col("_leaf.depth") - F.col("d")), _up(F.col("_leaf.cy"), F.col("_leaf.depth") - F.col("d"))).cast("struct<depth:int,cx:bigint,cy:bigint>").alias("c")).alias(CELL))
     same = leaves.select("_leaf", F.struct(F.lit(False).alias("below"), F.col("_leaf").cast("struct<depth:int,cx:bigint,cy:bigint>").alias("c")).alias(CELL))
-    met = asked.join(same.unionByName(under), CELL).drop(CELL, "_box", "_depth")
+    # Few boxes are broadcast; the leaves are as many as there are places, so they never are.
+    found = same.unionByName(under)
+    few = len(boxes.select(F.lit(1)).head(FEW_BOXES + 1)) <= FEW_BOXES
+    met = F.broadcast(asked).join(found, CELL) if few else asked.join(found.hint("merge"), CELL)
+    # A leaf that lies below one of the box's cells may still be beside the box.
+    edge = lambda c, a, i: (F.col(f"_leaf.c{c}") + i) * (side / F.pow(F.lit(2.0), F.col("_leaf.depth"))) + a
+    beside = [(edge(c, a, 0) > high[c] + slack) | (edge(c, a, 1) < low[c] - slack) for c, a in (("x", x0), ("y", y0))]
+    met = met.filter(~(beside[0] | beside[1])).drop(CELL, "_box", "_depth")
     return dealt.join(met, "_leaf").filter(in_box("x", "y", *BOX)).drop("_leaf").select(*points.columns, *boxes.columns)
 
 

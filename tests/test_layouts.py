@@ -104,6 +104,22 @@ def test_dense_points_do_not_meet_in_one_cell(spark):
     assert dealt.groupBy("_leaf").count().agg(F.max("count")).first()[0] <= 200 and dealt.count() == 20_000 and leaves.count() > 100
 
 
+def test_tables_of_places_are_not_broadcast(spark):
+    """Places that many points share: nothing that grows with them reaches the driver, and their cells don't split below what parts them."""
+    p = spark.range(5000).select(F.col("id").alias("vehicle_id"), (F.col("id") % 10).cast("double").alias("x"), (F.floor(F.col("id") / 10) % 10).cast("double").alias("y"))
+    dealt, leaves, _ = spatial._tree(p, 5, 24)
+    assert "Broadcast" not in dealt._jdf.queryExecution().toString()
+    assert leaves.count() == 100 and leaves.agg(F.max("_leaf.depth")).first()[0] < 8
+    b = boxes_of(spark, [(2, 2, 4, 3.5), (-9, 9, 99, 9), (0.5, 0.5, 0.9, 0.9)])
+    want = sorted(map(tuple, spatial.range_join(p, b).select("box_id", "vehicle_id").collect()))
+    for few in (0, 1000):
+        spatial.FEW_BOXES, before = few, spatial.FEW_BOXES
+        try:
+            assert sorted(map(tuple, spatial.dense_range_join(p, b, 5).select("box_id", "vehicle_id").collect())) == want and want
+        finally:
+            spatial.FEW_BOXES = before
+
+
 UPDATES = "event_id long, vehicle_id long, ts_ms long, x double, y double"
 
 

@@ -189,53 +189,84 @@ def write_snapshots(
 EVENTS = "vehicle_id long, zone_id string, event_type string, ts_ms long"
 
 
+#: Vehicles are dealt to so many groups, whose vehicles share a row of state: a call of Python and its trips to the state store are for a group, not for a vehicle.
+GROUPS = 4096
+#: The group of updates without a vehicle, which count as one.
+UNKNOWN = -1
+
+
 class ZoneTracker(StatefulProcessor):
-    """Per vehicle the zones that it is in, and its newest update; with silent_ms also a timer for when it has said nothing for so long."""
+    """Per vehicle of a group the zones that it is in, and its newest update; with silent_ms also a timer for when the first of them has said nothing for so long."""
 
     def __init__(self, silent_ms: int | None):
         self.silent_ms = silent_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "ts_ms long, event_id long, zones array<string>")
+        self.seen = handle.getValueState("seen", "vehicle_id array<bigint>, ts_ms array<bigint>, event_id array<bigint>, zones array<array<string>>, timer bigint")
+
+    def _load(self) -> tuple[dict, int | None]:
+        """(ts_ms, event_id, zones) by vehicle, and the timer that is set."""
+        if not self.seen.exists():
+            return {}, None
+        vehicle, at, event, zones, timer = self.seen.get()
+        return dict(zip(vehicle, zip(at, event, zones, strict=True), strict=True)), timer
+
+    def _store(self, seen: dict, timer: int | None, fired: int | None = None) -> None:
+        """Also sets the timer anew where the first vehicle to fall silent is another one; one that fired goes by itself."""
+        due = min(at for at, _, _ in seen.values()) + self.silent_ms if seen and self.silent_ms is not None else None
+        if due != timer:
+            if timer is not None and timer != fired:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if seen:
+            at, event, zones = (list(c) for c in zip(*seen.values(), strict=True))
+            self.seen.update((list(seen), at, event, zones, due))
+        else:
+            self.seen.clear()
 
-    def _events(self, vehicle, rows):
-        zone, kind, ts = zip(*rows, strict=True)
-        return pd.DataFrame({"vehicle_id": [vehicle] * len(rows), "zone_id": zone, "event_type": kind, "ts_ms": ts})
+    def _events(self, rows):
+        vehicle, zone, kind, ts = zip(*rows, strict=True)
+        return pd.DataFrame({"vehicle_id": vehicle, "zone_id": zone, "event_type": kind, "ts_ms": ts})
 
     def handleInputRows(self, key, rows, timerValues):
         """rows: one or more for each update, with a zone that it lies in or none."""
-        at, event, zones = self.seen.get() if self.seen.exists() else (None, None, [])
-        before, inside = at, set(zones)
+        seen, timer = self._load()
         updates: dict = {}
         for pdf in rows:
-            for ts, e, zone in zip(pdf["ts_ms"].tolist(), pdf["event_id"].tolist(), pdf["zone_id"].tolist(), strict=True):
-                if at is None or (ts, e) >= (at, event):
-                    held = updates.setdefault((ts, e), set())
+            vehicles = [None] * len(pdf) if key[0] == UNKNOWN else pdf["vehicle_id"].tolist()
+            for vehicle, ts, e, zone in zip(vehicles, *(pdf[c].tolist() for c in ("ts_ms", "event_id", "zone_id")), strict=True):
+                if (before := seen.get(vehicle)) is None or (ts, e) >= before[:2]:
+                    held = updates.setdefault(vehicle, {}).setdefault((ts, e), set())
                     if isinstance(zone, str):
                         held.add(zone)
         out = []
-        for (ts, e), now in sorted(updates.items(), key=lambda u: u[0]):
-            if self.silent_ms is not None and at is not None and ts > at + self.silent_ms:
-                out += [(z, "EXIT", at + self.silent_ms) for z in sorted(inside)]
-                inside = set()
-            out += [(z, "EXIT", ts) for z in sorted(inside - now)] + [(z, "ENTER", ts) for z in sorted(now - inside)]
-            at, event, inside = ts, e, now
+        for vehicle, own in updates.items():
+            at, event, zones = seen.get(vehicle, (None, None, ()))
+            inside = set(zones)
+            for (ts, e), now in sorted(own.items(), key=lambda u: u[0]):
+                if self.silent_ms is not None and at is not None and ts > at + self.silent_ms:
+                    out += [(vehicle, z, "EXIT", at + self.silent_ms) for z in sorted(inside)]
+                    inside = set()
+                if inside != now:
+                    out += [(vehicle, z, "EXIT", ts) for z in sorted(inside - now)] + [(vehicle, z, "ENTER", ts) for z in sorted(now - inside)]
+                at, event, inside = ts, e, now
+            seen[vehicle] = (at, event, sorted(inside))
         if updates:
-            self.seen.update((at, event, sorted(inside)))
-            if self.silent_ms is not None:
-                if before is not None:
-                    self.handle.deleteTimer(before + self.silent_ms)
-                self.handle.registerTimer(at + self.silent_ms)
+            self._store(seen, timer)
         if out:
-            yield self._events(key[0], out)
+            yield self._events(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        """The vehicle leaves its zones and is forgotten."""
-        at, _, zones = self.seen.get()
-        self.seen.clear()
-        if zones:
-            yield self._events(key[0], [(z, "EXIT", at + self.silent_ms) for z in zones])
+        """Vehicles that are silent by now leave their zones and are forgotten."""
+        seen, timer = self._load()
+        fired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        silent = lambda at: at + self.silent_ms <= fired or at + self.silent_ms < now
+        out = [(v, z, "EXIT", at + self.silent_ms) for v, (at, _, zones) in seen.items() if silent(at) for z in zones]
+        self._store({v: s for v, s in seen.items() if not silent(s[0])}, timer, fired)
+        if out:
+            yield self._events(out)
 
     def close(self) -> None:
         pass
@@ -262,7 +293,8 @@ def zone_event_stream(stream: DataFrame, zones: DataFrame, *, cell: float = 50.0
     held = rows.join(cells, CELL, "left").withColumn("zone_id", F.when(in_box("x", "y", *BOX) & in_zone_cell(), F.col("zone_id")))
     held = held.filter(F.col(CELL).isNull() | F.col("zone_id").isNotNull()).select("vehicle_id", "ts_ms", "event_id", "zone_id", *(["at"] if silent_ms is not None else []))
     mode = "none" if silent_ms is None else "eventTime"
-    return held.groupBy("vehicle_id").transformWithStateInPandas(ZoneTracker(silent_ms), EVENTS, "Append", mode)
+    held = held.withColumn("group", F.when(F.col("vehicle_id").isNull(), UNKNOWN).otherwise(F.pmod(F.xxhash64("vehicle_id"), F.lit(GROUPS))))
+    return held.groupBy("group").transformWithStateInPandas(ZoneTracker(silent_ms), EVENTS, "Append", mode)
 
 
 def update_rate_stream(stream: DataFrame, width: str = "1 second", n: int = 2, late: str = "10 minutes") -> DataFrame:

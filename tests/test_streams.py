@@ -44,6 +44,18 @@ def test_silent_vehicles_leave_their_zones(spark, tmp_path):
     assert same() == sorted(want)
 
 
+def test_vehicles_that_share_a_row_of_state(spark, tmp_path, monkeypatch):
+    """All vehicles in one group: each has its own zones and falls silent by itself; updates without a vehicle are one more."""
+    monkeypatch.setattr(streams, "GROUPS", 1)
+    test_silent_vehicles_leave_their_zones(spark, f"{tmp_path}/a")
+    zones = tables.demo_zones(spark)
+    feed(spark, f"{tmp_path}/b/in", [(1, None, 10, 500.0, 500.0), (2, 7, 10, 500.0, 500.0)], [(3, None, 20, 0.0, 0.0)])
+    out = streams.zone_event_stream(tables.read_position_stream(spark, f"{tmp_path}/b/in", 1), zones).writeStream.format("parquet").option("path", f"{tmp_path}/b/out")
+    out.option("checkpointLocation", f"{tmp_path}/b/state").trigger(availableNow=True).start().awaitTermination()
+    got = {(r["vehicle_id"], r["ts_ms"], r["event_type"]) for r in spark.read.schema(streams.EVENTS).parquet(f"{tmp_path}/b/out").collect()}
+    assert got == {(None, 10, "ENTER"), (7, 10, "ENTER"), (None, 20, "EXIT")}
+
+
 def test_ten_thousand_zones(spark, tmp_path):
     """A table of zones, not literals: one square for each tenth of the map's sides, and a change of zones at the restart."""
     square = lambda a, b: F.array(*[F.struct(F.lit(x).cast("double").alias("x") if isinstance(x, float) else x.alias("x"), y.alias("y")) for x, y in ((a, b), (a + 10, b), (a + 10, b + 10), (a, b + 10))])

@@ -58,6 +58,8 @@ LEAF = 16
 PROMISING = 4
 #: Members of a long list that a task takes, about: as points of its tree, and as queries.
 BLOCK = 4096
+#: Posts of one bucket of prefixes, and rows of one bucket of cells, about: a task holds one bucket at a time.
+BUCKET_POSTS, BUCKET_ROWS = 250_000, 16_384
 _SETS = "kind int, doc_id long, n long, set_id long, check long, counts binary"
 
 
@@ -152,7 +154,7 @@ def _post(buckets: int, frequent, seed: int):
                 prefix = s[np.lexsort((mix(s), rank))][:longer]
                 held.append((mix(prefix), set_id, len(s), shorter))
                 size += longer
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     size = 0
         if held:
@@ -161,6 +163,11 @@ def _post(buckets: int, frequent, seed: int):
     return run
 
 
+def _buckets(spark, rows: int | None, each: int) -> int:
+    """So many that one holds about `each` of the rows, whatever the size of the input."""
+    return max(4 * partitions(spark), -(-(rows or 0) // each))
+
+
 def _fits(n_short, n_long):
     return 100 * n_short >= PERCENT * n_long
 
@@ -376,13 +383,15 @@ def _across(most: int | None):
     return run
 
 
-def _open_lists(labelled: DataFrame, members: DataFrame, buckets: int) -> DataFrame:
+def _open_lists(labelled: DataFrame, members: DataFrame) -> DataFrame:
     """Members of lists that hold several components, dealt to cells. A list of up to BLOCK members is one
     cell, where each is point and query (role 2); a longer one is cut into blocks, and each block of points
     (role 0) meets each block of queries (role 1) in a cell of its own. main: the component that most members of the list have."""
     each = labelled.groupBy("list", "component").agg(F.count(F.lit(1)).alias("rows"))
     found = each.groupBy("list").agg(F.count(F.lit(1)).alias("several"), F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("rows").alias("rows"))
     found = cut(found.filter("several > 1").select("list", "main", "rows", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")))
+    dealt_rows = found.agg(F.sum(F.col("rows") * F.when(F.col("blocks") == 1, 1).otherwise(2 * F.col("blocks")))).first()[0]
+    buckets = _buckets(labelled.sparkSession, dealt_rows, BUCKET_ROWS)
     mixed = join_with_hot(labelled, found, "list", "rows").filter("main is not null")
     own = F.pmod(F.xxhash64("a"), "blocks").cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -404,7 +413,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    buckets = 4 * partitions(spark)
     for seed in range(SEEDS):
         described = cut(d.mapInArrow(partial(_describe, seed=seed), _SETS))
         own = described.filter("kind = 0").drop("kind")
@@ -417,6 +425,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     value, count = often.column("set_id").to_numpy().view(np.uint64), often.column("n").to_numpy()
     order = np.argsort(value)
     frequent = spark.sparkContext.broadcast((value[order], count[order]))  # MAX_FREQUENT rows at most
+    shown = own.filter("n > 0").agg(F.sum(F.expr(f"n - ceil({PERCENT} * n / 100) + 1"))).first()[0]  # as prefix_lengths(), with all copies
+    buckets = _buckets(spark, shown, BUCKET_POSTS)
     posts = d.select("text").mapInArrow(_post(buckets, frequent, seed), _POSTS)
     found = cut(posts.groupBy("bucket").applyInArrow(_pairs, _PAIRS))
     # One hub for each set: that links most of a dense group, and what it leaves is found in the lists.
@@ -435,7 +445,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     joined = components(_verify(pairs, sets, d, seed))
     for most in (PROMISING, None):
         labelled = cut(lists.join(joined.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")))
-        more = _open_lists(labelled, members, buckets).groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
+        more = _open_lists(labelled, members).groupBy("bucket").applyInArrow(_across(most), "a long, b long").distinct()
         new = cut(more.join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.unionByName(new)
         joined = components(joined.toDF("a", "b").unionByName(_verify(new, sets, d, seed)))

@@ -49,3 +49,18 @@ def test_long_lists_lose_no_link(spark, monkeypatch, first_lists):
     want = brute_force(rows)
     assert len(set(want.values())) > 5
     assert got == want
+
+
+def test_buckets_grow_with_the_input(spark, monkeypatch):
+    """A task holds a bucket of prefixes, or of cells, at a time: with more sets there are more of them, not larger ones."""
+    asked, post = [], jaccard_join._post
+    monkeypatch.setattr(jaccard_join, "_post", lambda buckets, *more: asked.append(buckets) or post(buckets, *more))
+    monkeypatch.setattr(jaccard_join, "BUCKET_POSTS", 20)
+    monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 20)
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(i, " ".join(passage + [f"g{i % 60}-{k}" for k in range(12)] + [f"x{rng.randrange(10**6)}" for _ in range(i % 3)])) for i in range(240)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows)
+    posts = sum(jaccard_join.prefix_lengths(len(shingles(t)))[0] for _, t in rows)
+    assert asked == [-(-posts // 20)] and asked[0] > 100

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import _LOWER, Prefix, byte_values, mix, texts
-from ._common import documents
+from ._common import cut, documents
 
 U = np.uint64
 GRADES = 3
@@ -59,7 +59,16 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(index: list, value: list, grade: np.ndarray, *, epochs: int = 25, batch: int = 256, rate: float = 0.3, ridge: float = 1e-5, least: int = 20, z: float = 8.0):
+#: Features of fewer than LEAST rows, or with a mean grade less than FAR standard errors from that of all, get no weight.
+LEAST, FAR = 20, 8.0
+
+
+def telling(seen: np.ndarray, total: np.ndarray, grade: np.ndarray, z: float = FAR) -> np.ndarray:
+    """Which features, seen in so many rows with such a sum of grades, have a mean grade far enough from that of all."""
+    return np.abs(total / seen - grade.mean()) >= z * grade.std() / np.sqrt(seen)
+
+
+def fit(index: list, value: list, grade: np.ndarray, *, epochs: int = 25, batch: int = 256, rate: float = 0.3, ridge: float = 1e-5, least: int = LEAST, z: float = FAR):
     """Weights and thresholds by minibatches with rates that adapt to each weight. Features of fewer than `least` rows get no weight, nor do those whose rows' mean grade is less than `z` standard errors from that of all: many small weights would only add up with a text's length."""
     seen, total = np.zeros(DIMENSIONS, np.int32), np.zeros(DIMENSIONS, np.float32)
     for i, y in zip(index, grade, strict=True):  # row by row: all indices at once would take much memory
@@ -67,8 +76,7 @@ def fit(index: list, value: list, grade: np.ndarray, *, epochs: int = 25, batch:
         seen[i] += 1
         total[i] += y
     enough = np.flatnonzero(seen >= least)
-    far = np.abs(total[enough] / seen[enough] - grade.mean()) >= z * grade.std() / np.sqrt(seen[enough])
-    known = np.union1d(enough[far], _FORMS)
+    known = np.union1d(enough[telling(seen[enough], total[enough], grade, z)], _FORMS)
     rows_of = []
     for i, v in zip(index, value, strict=True):
         at = np.minimum(np.searchsorted(known, i), len(known) - 1)
@@ -110,7 +118,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_TRAIN_ROWS):
     """Fits on at most max_rows of ratings(doc_id, grade) and their texts in docs(doc_id, text). None without any.
 
-    Of rows that repeat an id one counts, that with the smallest text: what comes to the driver is bounded by max_rows.
+    Of rows that repeat an id one counts, that with the smallest text: what comes to the driver is bounded by max_rows, and of
+    these rows it gets the features that tell grades apart.
     """
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_rows rows of two numbers
@@ -121,9 +130,31 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_TRAIN_ROWS):
             got = [features(raw) for raw in texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([x[0].astype(np.int32) for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.float32()))], names=["grade", "index", "value"])
 
-    found = rows.mapInArrow(run, "grade int, index array<int>, value array<float>").toArrow()
-    if not found.num_rows:
+    def counted(batches):
+        every = [(np.unique(i.values.to_numpy()), g) for batch in batches for i, g in zip(batch.column("index"), batch.column("grade").to_pylist(), strict=True)]
+        if every:
+            index = np.concatenate([i for i, _ in every])
+            value, at = np.unique(index, return_inverse=True)
+            total = np.bincount(at, np.repeat([g for _, g in every], [len(i) for i, _ in every]))
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int32)), pa.array(np.bincount(at)), pa.array(total.astype(np.int64))], names=["index", "seen", "total"])
+
+    # Features that fit() would leave out anyway, which most are, stay where they are: few KB a row would be many MB on the driver.
+    shown = cut(rows.mapInArrow(run, "grade int, index array<int>, value array<float>"))
+    grade = shown.select("grade").toArrow().column("grade").to_numpy()
+    if not len(grade):
         return None
+    often = shown.select("grade", "index").mapInArrow(counted, "index int, seen long, total long").groupBy("index").agg(F.sum("seen").alias("seen"), F.sum("total").alias("total"))
+    index, seen, total = (c.to_numpy() for c in often.filter(F.col("seen") >= LEAST).select("index", "seen", "total").toArrow().columns)
+    # A hair wider than fit()'s own test, which decides.
+    known = np.union1d(index[telling(seen, total, grade, FAR * (1 - 1e-3))], _FORMS).astype(np.int32)
+
+    def told(batches):
+        for batch in batches:
+            got = [(i.values.to_numpy(), v.values.to_numpy()) for i, v in zip(batch.column("index"), batch.column("value"), strict=True)]
+            ok = [np.isin(i, known) for i, _ in got]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array([i[k] for (i, _), k in zip(got, ok, strict=True)], pa.list_(pa.int32())), pa.array([v[k] for (_, v), k in zip(got, ok, strict=True)], pa.list_(pa.float32()))], names=["grade", "index", "value"])
+
+    found = shown.mapInArrow(told, "grade int, index array<int>, value array<float>").toArrow()
     listed = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in found.column(c)]
     return fit(listed("index"), listed("value"), found.column("grade").to_numpy())
 

@@ -1,6 +1,7 @@
 """Empty tables, repeated and null ids, and columns with clashing names, for the operators and stages that had no such test."""
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from roamgrid.llm import chat_format, embedding_dedup, exact_dedup, jaccard_join, mixing, packing, quality, suffix_dedup
@@ -51,3 +52,18 @@ def test_rows_that_repeat_a_rated_id_count_once(spark, monkeypatch):
     assert quality.classify(docs, ratings).count() == 5 * 400 + 2 and seen == [400]
     quality.train(docs, ratings, 50)
     assert seen[1] <= 50
+
+
+def test_only_telling_features_reach_the_driver(spark, monkeypatch):
+    """The fit gets no feature that it would drop, and drops no other than with all of them."""
+    rows = rated(400)
+    docs = spark.createDataFrame([(i, f"{t} rare{i} seldom{i}") for i, t, _ in rows], "doc_id long, text string")
+    given, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda index, value, grade, **k: given.extend(index) or fit(index, value, grade, **k))
+    weights, _ = quality.train(docs, spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int"))
+    every = {i: quality.features(np.frombuffer(t.encode(), np.uint8)) for i, t in docs.collect()}
+    grade = dict((i, g) for i, _, g in rows)
+    whole, _ = fit([x for x, _ in every.values()], [v for _, v in every.values()], np.array([grade[i] for i in every]))
+    assert np.array_equal(np.flatnonzero(weights), np.flatnonzero(whole))
+    count = np.bincount(np.concatenate([np.unique(x) for x, _ in every.values()]), minlength=quality.DIMENSIONS)
+    assert len(given) == 400 and all(count[i] >= quality.LEAST or i in quality._FORMS for x in given for i in x)
